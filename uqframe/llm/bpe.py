@@ -83,13 +83,13 @@ class _Pieces(dict):
         if len(self) >= MEMORY_ENTRIES:
             self.clear()
         c = self.coder
-        if piece.isalpha():
+        if c.letters(piece):
             ids = c.whole(self.lead + piece)
-        elif piece[-1:] in c.stops and piece[:-1].isalpha():  # not kept: the word and the mark are
+        elif piece[-1:] in c.stops and c.letters(piece[:-1]):  # not kept: the word and the mark are
             return self[piece[:-1]] + c.tokens[piece[-1]]
         else:
             later, tokens = c.later, c.tokens
-            ids = tuple(chain.from_iterable([later[t[1:]] if t[0] == " " and t[1:].isalpha() else tokens[t] for t in c.split(self.lead + piece)]))
+            ids = tuple(chain.from_iterable([later[t[1:]] if t[0] == " " and c.letters(t[1:]) else tokens[t] for t in c.split(self.lead + piece)]))
         self[piece] = ids
         return ids
 
@@ -124,6 +124,7 @@ class Coder:
             self.bytes_of[i] = k
         self.decimal = list(map(str, range(len(self.bytes_of))))
         self.split = regex.compile(pattern).findall
+        self.word = regex.compile(r"\p{L}+").fullmatch
         #: Marks that end a word's piece as a pre-token of their own.
         self.stops = frozenset(".,;:!?")
         self.tokens = _Tokens(self)
@@ -131,6 +132,10 @@ class Coder:
         self.wide = re.compile(r" (?:\s|$)").search
         self.cut = re.compile(r" (?=\S)").split
 
+    def letters(self, piece: str) -> bool:
+        """True if the pattern's letter class takes all of ``piece``; str.isalpha() may know another Unicode version."""
+        return piece.isalpha() if piece.isascii() else self.word(piece) is not None
+
     def whole(self, token: str) -> tuple[int, ...]:
         """The ids of one pre-token: the perfect hash if it is in the vocabulary, else the heap."""
         raw = token.encode()
