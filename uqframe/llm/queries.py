@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import bpe, chat, fingerprint, quality, ranker, url_filter
+from uqframe.llm import bpe, chat, fingerprint, jaccard_join, quality, ranker, url_filter
 from uqframe.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_fingerprints": op5_fingerprints,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_quality_ranker": op8_quality_ranker,
         "op10_chat_format": op10_chat_format,
     }
