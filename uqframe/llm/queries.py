@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import bpe, chat, fingerprint, jaccard_join, quality, ranker, url_filter
+from uqframe.llm import bpe, chat, fingerprint, jaccard_join, mixing, quality, ranker, url_filter
 from uqframe.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", F.col("__pass").alias("pass"), mixing.token_count(F.col("text")).alias("n_tokens"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -79,6 +84,7 @@ FROM sized GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_url_filter": op2_url_filter,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
