@@ -289,3 +289,11 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = members.where("n > 0").join(named, "key").select("doc_id", "n", "component_id")
     alone = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return placed.union(alone).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that of the least key, all its columns as they were; rows without a key stay."""
+    found = join_components(docs, key, text)
+    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
+    one = docs.join(first, docs[key] == first["__kept"], "left_semi").dropDuplicates([key])
+    return one.unionByName(docs.where(F.col(key).isNull()))
