@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import bpe, chat, fingerprint, jaccard_join, mixing, quality, ranker, url_filter
-from uqframe.llm.common import table
+from uqframe.llm import bpe, chat, fingerprint, jaccard_join, mixing, quality, ranker, url_filter, warc
+from uqframe.llm.common import shared_path, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -35,6 +35,24 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    warc.write(warc.with_kinds(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).collect()
+    back = warc.read(spark, folder)
+    return back.select(F.col("rid").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").try_cast("bigint").alias("refers_to"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT t, max(page_id) AS first FROM p GROUP BY t)
+SELECT p.page_id, strlen(p.t)::BIGINT AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(b, i, 5))::INT + 1, 1), '' ORDER BY i) FROM (SELECT unnest(range(1, 161, 5)) AS i)) AS payload_digest,
+  CASE WHEN p.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> g.first THEN g.first END AS refers_to
+FROM (SELECT *, array_to_string(list_transform(range(0, 20), lambda k: lpad(bin(('0x' || substr(sha1(t), (2 * k + 1)::INT, 2))::INT), 8, '0')), '') AS b FROM p) p JOIN g USING (t)
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -89,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_fingerprints": op5_fingerprints,
+        "op6_warc": op6_warc,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_quality_ranker": op8_quality_ranker,
         "op10_chat_format": op10_chat_format,
@@ -96,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_chat_format": OP10_SQL}
