@@ -22,7 +22,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """All maximal runs of characters outside the white space class; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+
+
+def hashes(ws: Column) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
 def ascii_lower(text: Column) -> Column:

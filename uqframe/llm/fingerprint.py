@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from uqframe.llm.common import ascii_lower, let, shuffle_partitions, words
+from uqframe.llm.common import ascii_lower, hashes, let, shuffle_partitions, words
 
 #: Words in a shingle; a shorter text is one shingle, a text without words has none.
 WIDTH = 5
@@ -32,7 +32,7 @@ def sketch(text: Column, width: int = WIDTH, k: int = K) -> Column:
         whole = F.transform(starts, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
         return F.slice(F.array_sort(F.array_distinct(whole)), 1, k)
 
-    return let(F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)), of)
+    return let(hashes(words(ascii_lower(text))), of)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

@@ -11,44 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import WHITE, let, words
+from uqframe.llm.common import WHITE, hashes, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Buckets of both multinomials; the weights, one double a bucket, are all that reaches the scoring tasks.
 BUCKETS = 1 << 16
 #: Added to every bucket's count.
-SMOOTHING = 4.0
+SMOOTHING = 32.0
 #: Mean log-likelihood ratio from which a document is kept.
-THRESHOLD = -0.12
+THRESHOLD = -0.1
 
 _POSITION_BITS = 31
 _POSITION = (1 << _POSITION_BITS) - 1
 
 
-def _adjacent(a: Column, i: Column, same) -> Column:
-    """True where entry i of the sorted array ``a`` has an equal neighbour, as ``same(x, y)`` tells."""
-    x = F.get(a, i)
-    return F.coalesce(same(x, F.get(a, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(a, i + 1)), F.lit(False))
+def _adjacent(a: Column, x: Column, i: Column, same) -> Column:
+    """True where ``x``, entry i of the sorted array ``a``, has an equal neighbour, as ``same`` tells; null or false where not."""
+    return same(x, F.get(a, i - 1)) | same(x, F.get(a, i + 1))
 
 
-def repeated_words(ws: Column, width: int = 3) -> Column:
-    """How many words stand in a window of ``width`` words that occurs at least twice in ``ws``.
+def repeated_words(ws: Column, h: Column, width: int = 3) -> Column:
+    """How many words stand in a window of ``width`` words that occurs at least twice in ``ws``; ``h`` are the words' hashes.
 
     Windows are found by sorting 33 hash bits joined with the position, then compared as text, so the count is exact.
     """
-
-    def candidates(h: Column) -> Column:
-        starts = F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0)))
-        packed = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)]).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))
-        same = lambda x, y: F.shiftright(x, _POSITION_BITS) == F.shiftright(y, _POSITION_BITS)
-        return let(F.sort_array(packed), lambda s: F.transform(F.filter(s, lambda x, i: _adjacent(s, i, same)), lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int")))
+    starts = F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0)))
+    packed = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)]).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))
+    alike = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), _POSITION_BITS) == 0
+    candidates = let(F.sort_array(packed), lambda s: F.transform(F.filter(s, lambda x, i: _adjacent(s, x, i, alike)), lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int")))
 
     def confirmed(at: Column) -> Column:
         windows = F.sort_array(F.transform(at, lambda p: F.struct(F.concat_ws(" ", *[F.get(ws, p + k) for k in range(width)]).alias("w"), p.alias("p"))))
-        return let(windows, lambda s: F.transform(F.filter(s, lambda x, i: _adjacent(s, i, lambda a, b: a["w"] == b["w"])), lambda x: x["p"]))
+        return let(windows, lambda s: F.transform(F.filter(s, lambda x, i: _adjacent(s, x, i, lambda a, b: a["w"] == b["w"])), lambda x: x["p"]))
 
     covered = F.aggregate(
-        F.sort_array(let(candidates_of(ws, candidates), confirmed)),
+        F.sort_array(let(candidates, confirmed)),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(width), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
@@ -56,10 +53,6 @@ def repeated_words(ws: Column, width: int = 3) -> Column:
     return F.when(F.size(ws) < width, F.lit(0).cast("long")).otherwise(covered)
 
 
-def candidates_of(ws: Column, of_hashes) -> Column:
-    return let(F.transform(ws, lambda w: F.xxhash64(w)), of_hashes)
-
-
 def base_columns(text: Column) -> dict[str, Column]:
     """The counts of one text as columns; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -76,14 +69,16 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def ngram_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of each word and of each pair of neighbouring words."""
+def _by_ngram(h: Column, buckets: int, of_bucket) -> tuple[Column, Column]:
+    """``of_bucket(bucket)`` for each word, and for each pair of neighbouring words, of the words' hashes ``h``."""
+    bucket = lambda x: of_bucket(F.pmod(x, F.lit(buckets)).cast("int"))
+    pairs = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    return F.transform(h, lambda x: bucket(x)), F.transform(pairs, lambda x, i: bucket(F.xxhash64(x, F.get(h, i + 1))))
 
-    def of(h: Column) -> Column:
-        pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
-    return let(F.transform(ws, lambda w: F.xxhash64(w)), of)
+def ngram_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
+    """Bucket of each word and of each pair of neighbouring words."""
+    return let(hashes(ws), lambda h: F.concat(*_by_ngram(h, buckets, lambda b: b)))
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -105,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     half, or without any document, its weights are 0.
     """
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    seen = own.join(trusted_ids(labels, key), F.col("k") == F.col("trusted_key"), "left").select((1 - fold(F.col("k"))).alias("serves"), F.col("trusted_key").isNotNull().cast("long").alias("trusted"), F.explode(ngram_buckets(words(F.col("t")), buckets)).alias("bucket"))
+    # the same plan at every size: labels grow with the corpus, so they are never broadcast
+    seen = own.join(trusted_ids(labels, key).hint("merge"), F.col("k") == F.col("trusted_key"), "left").select((1 - fold(F.col("k"))).alias("serves"), F.col("trusted_key").isNotNull().cast("long").alias("trusted"), F.explode(ngram_buckets(words(F.col("t")), buckets)).alias("bucket"))
     counts = seen.groupBy("serves", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     every = docs.sparkSession.range(2 * buckets).select((F.col("id") / buckets).cast("int").alias("serves"), (F.col("id") % buckets).cast("int").alias("bucket"))
     listed = every.join(counts, ["serves", "bucket"], "left").na.fill(0).groupBy("serves").agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
@@ -115,9 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return listed.select(F.struct("serves", ratio.alias("w")).alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("weights"))
 
 
-def score(ws: Column, weights: Column, buckets: int = BUCKETS) -> Column:
-    """Mean weight of the n-grams of ``ws``; null without words. ``weights`` is one fold's array."""
-    return let(ngram_buckets(ws, buckets), lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(weights, x)) / F.nullif(F.size(b), F.lit(0)))
+def score(h: Column, weights: Column, buckets: int = BUCKETS) -> Column:
+    """Mean weight of the n-grams of words with the hashes ``h``; null without words. ``weights`` is one fold's array."""
+    total = [F.aggregate(x, F.lit(0.0), lambda s, w: s + w) for x in _by_ngram(h, buckets, lambda b: F.get(weights, b))]
+    return (total[0] + total[1]) / F.nullif(2 * F.size(h) - 1, F.lit(-1))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
@@ -128,11 +125,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     weights = fit(docs, labels, key, text, buckets, smoothing).scalar()
     own = docs.select(F.col(key), F.col(text).alias("__text"))
-    seen = let(words(F.col("__text")), lambda ws: F.struct(
+    seen = let(words(F.col("__text")), lambda ws: let(hashes(ws), lambda h: F.struct(
         F.size(ws).cast("long").alias("n_words"),
-        repeated_words(ws).alias("n_repeat_words"),
-        score(ws, F.col("__w"), buckets).alias("score"),
-    ))
+        repeated_words(ws, h).alias("n_repeat_words"),
+        score(h, F.col("__w"), buckets).alias("score"),
+    )))
     judged = own.withColumn("__w", F.get(weights, fold(F.col(key)))).select(key, *[c.alias(n) for n, c in base_columns(F.col("__text")).items()], seen.alias("__seen"))
     judged = judged.select(key, "__seen.n_words", "word_chars", "n_symbols", "n_dup_lines", "__seen.n_repeat_words", "__seen.score")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
@@ -144,5 +141,5 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     key, text = options.get("key", "doc_id"), options.get("text", "text")
     threshold, buckets = options.get("threshold", THRESHOLD), options.get("buckets", BUCKETS)
     weights = fit(docs, labels, key, text, buckets, options.get("smoothing", SMOOTHING)).scalar()
-    verdict = let(words(F.col(text)), lambda ws: ~base_failed(F.size(ws), repeated_words(ws)) & F.coalesce(score(ws, F.col("__w"), buckets) >= threshold, F.lit(False)))
+    verdict = let(words(F.col(text)), lambda ws: let(hashes(ws), lambda h: ~base_failed(F.size(ws), repeated_words(ws, h)) & F.coalesce(score(h, F.col("__w"), buckets) >= threshold, F.lit(False))))
     return docs.withColumn("__w", F.get(weights, fold(F.col(key)))).where(verdict).select(*docs.columns)
