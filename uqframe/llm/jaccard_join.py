@@ -8,8 +8,8 @@ frequent tokens fall into g classes by hash, the prefix grows to k = g + 1, so t
 g grows with the set's size, so combinations stay in proportion to it; sets near a step of g index both sides.
 
 Rows that share an index entry are candidates. First every row of an entry is verified against the entry's least key
-only, and links become components. Then what is left, rows of one entry in different components, is verified pair by
-pair. Pairs inside a component need no check, so a group of copies costs rows, not pairs, and no link between
+only, and links become components. In a few turns more, rows of one entry in different components meet other leaders. Then what is left is
+verified pair by pair. Pairs inside a component need no check, so a group of copies costs rows, not pairs, and no link between
 components is lost. Equal sets are one node from the start.
 """
 
@@ -36,6 +36,10 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 20
 #: Tokens a task counts before it hands them on, and tokens of a counting group.
 FLUSH, GROUP = 2_000_000, 2_000_000
+#: Turns in which each entry's rows meet one leader, before what is left meets pair by pair; orders of leaders in a turn.
+ROUNDS, LEADERS = 3, 4
+#: Bits of the map that tells unlike sets apart before they are compared in full.
+MAP_BITS = 1024
 #: Bits of the filter that lets only wanted documents be tokenised again for verification.
 FILTER_BITS = 1 << 23
 
@@ -69,20 +73,17 @@ def set_key(own: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, sizes = [], []
-        for t in batch.column(1):
-            own = tokens(t.as_py())
-            keys.append(set_key(own))
-            sizes.append(len(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "key", "n"])
+def bit_map(own: np.ndarray) -> bytes:
+    """MAP_BITS parities of the tokens by hash: two sets differ in at least as many tokens as their maps in bits."""
+    return np.packbits(np.bincount((own >> np.uint64(7)).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str | None]:
-    for batch in batches:
-        for t in batch.column(column):
-            yield t.as_py()
+_SCAN = (("doc_id", pa.int64(), "bigint"), ("key", pa.int64(), "bigint"), ("n", pa.int64(), "bigint"), ("map", pa.binary(), "binary"), ("part", pa.int32(), "int"), ("size", pa.int64(), "bigint"), ("packed", pa.binary(), "binary"))
+
+
+def _scanned(**columns: pa.Array) -> pa.RecordBatch:
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(rows, k)) for n, k, _ in _SCAN], names=[n for n, _, _ in _SCAN])
 
 
 @dataclass(frozen=True)
@@ -106,18 +107,25 @@ class _Counter:
                 part.append(p)
                 packed.append(pa.compress(planes, codec="zstd", asbytes=True))
         sizes = [len(x) for x in np.split(seen, at) if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["part", "size", "packed"])
-
-    def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size = [], 0
-        for t in _texts(batches, 0):
-            own = self.fingerprints(tokens(t))
-            gathered.append(own)
-            size += len(own)
-            if size >= FLUSH:
-                yield from self.pack(gathered)
-                gathered, size = [], 0
-        if size:
+        yield _scanned(part=pa.array(part, pa.int32()), size=pa.array(sizes, pa.int64()), packed=pa.array(packed, pa.binary()))
+
+    def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass: a row for each document (doc_id, key, n, map), and packed fingerprints whenever FLUSH are gathered."""
+        gathered, total = [], 0
+        for batch in batches:
+            keys, sizes, maps = [], [], []
+            for t in batch.column(1):
+                own = tokens(t.as_py())
+                keys.append(set_key(own))
+                sizes.append(len(own))
+                maps.append(bit_map(own))
+                gathered.append(self.fingerprints(own))
+                total += len(own)
+                if total >= FLUSH:
+                    yield from self.pack(gathered)
+                    gathered, total = [], 0
+            yield _scanned(doc_id=batch.column(0), key=pa.array(keys, pa.int64()), n=pa.array(sizes, pa.int64()), map=pa.array(maps, pa.binary()))
+        if total:
             yield from self.pack(gathered)
 
     @staticmethod
@@ -132,12 +140,17 @@ class _Counter:
         return pa.table({"fingerprint": pa.array(found[often].astype(np.int64)), "df": pa.array(n[often], pa.int64())})
 
 
-def frequent_tokens(docs: DataFrame, text: str = "text") -> tuple[_Counter, np.ndarray]:
-    """Sorted fingerprints of the frequent tokens, counted over all documents; never more than MOST_FREQUENT."""
-    size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+def scan(docs: DataFrame) -> tuple[_Counter, DataFrame]:
+    """doc_id and text of all documents, read once: what ``_Counter.scan`` yields, written to the shared folder."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     likely = max(size // 6, 1)
     counter = _Counter(bits=min(62, max(32, likely.bit_length() + 4)), parts=max(64, -(-likely // GROUP)))
-    packed = docs.select(text).mapInArrow(counter.emit, "part int, size bigint, packed binary")
+    return counter, cut(docs.select("doc_id", "text").mapInArrow(counter.scan, ", ".join(f"{n} {t}" for n, _, t in _SCAN)), "scan")
+
+
+def frequent_tokens(scanned: DataFrame) -> np.ndarray:
+    """Sorted fingerprints of the frequent tokens, counted over all documents; never more than MOST_FREQUENT."""
+    packed = scanned.where("part is not null").select("part", "size", "packed")
     counts = cut(packed.groupBy("part").applyInArrow(_Counter.count, "fingerprint bigint, df bigint"), "frequent")
     steps = counts.groupBy(F.floor(F.log2("df") * 4).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("df").alias("least")).orderBy(F.desc("step")).collect()
     bound, total = None, 0
@@ -147,9 +160,9 @@ def frequent_tokens(docs: DataFrame, text: str = "text") -> tuple[_Counter, np.n
             break
         bound = s.least
     if bound is None:
-        return counter, np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     own = counts.where(F.col("df") >= bound).select("fingerprint").toPandas()["fingerprint"].to_numpy().astype(np.uint64)
-    return counter, np.sort(own)
+    return np.sort(own)
 
 
 def needed(n: int) -> int:
@@ -188,10 +201,10 @@ def signatures(own: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch], counter: _Counter, shared) -> Iterator[pa.RecordBatch]:
-    """(entry, key, n) of each set, once a task for equal sets."""
+    """(entry, key) of each set, once a task for equal sets."""
     frequent, seen = shared.value, set()
     for batch in batches:
-        entries, keys, sizes, lengths = [], [], [], []
+        entries, keys, lengths = [], [], []
         for t in batch.column(0):
             own = tokens(t.as_py())
             key = set_key(own)
@@ -204,10 +217,9 @@ def _index(batches: Iterator[pa.RecordBatch], counter: _Counter, shared) -> Iter
             sig = signatures(own, is_frequent)
             entries.append(sig)
             keys.append(key)
-            sizes.append(len(own))
             lengths.append(len(sig))
         if entries:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["entry", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], names=["entry", "key"])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -240,12 +252,34 @@ def _bits(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their whole sets."""
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and bit maps do not rule out; no similar pair is lost.
+
+    The sets differ in at least as many tokens as their maps in bits, so (n + m - bits) / 2 bounds their overlap.
+    """
+    words_ = lambda c: [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(MAP_BITS // 64)]
+    split = classes.select("key", "n", F.array(*words_("map")).alias("m"))
+    both = pairs.join(split.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("m").alias("am")), "a").join(split.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm")), "b")
+    differ = F.aggregate(F.zip_with("am", "bm", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.floor((F.col("an") + F.col("bn") - differ) / 2)
+    fits = 100 * F.least(F.col("an"), F.col("bn")) >= PERCENT * F.greatest(F.col("an"), F.col("bn"))
+    return both.where(fits).where(100 * most >= PERCENT * (F.col("an") + F.col("bn") - most)).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by their whole sets.
+
+    Only sets that stand in a pair are made again, each from one document; a bit filter of fixed size spares the others,
+    and what it lets through by chance finds no pair.
+    """
+    spark = docs.sparkSession
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("least")
+    bits = spark.sparkContext.broadcast(_bits(wanted, "least"))
+    sets = cut(docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(lambda it: _wanted_sets(it, bits), "key bigint, tokens array<bigint>"), f"{name}-sets")
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return cut(pairs.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b"), name)
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,36 +288,33 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null and empty texts have no shingles and link with nothing. Rows with equal shingle sets are one node, whatever
     their number; a null key is never the least one. Repeated keys are rows of their own.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    members = cut(own.mapInArrow(_members, "doc_id bigint, key bigint, n bigint"), "members")
-    classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    counter, scanned = scan(own)
+    members = scanned.where("part is null").select("doc_id", "key", "n", "map")
+    classes = cut(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("map").alias("map")), "classes")
 
-    counter, frequent = frequent_tokens(own)
-    shared = spark.sparkContext.broadcast(frequent)
-    index = own.select("text").mapInArrow(lambda it: _index(it, counter, shared), "entry bigint, key bigint, n int")
+    shared = own.sparkSession.sparkContext.broadcast(frequent_tokens(scanned))
+    index = own.select("text").mapInArrow(lambda it: _index(it, counter, shared), "entry bigint, key bigint")
     by_entry = Window.partitionBy("entry").orderBy("key")
-    listed = index.withColumns({"leader": F.first("key").over(by_entry), "leader_n": F.first("n").over(by_entry), "before": F.lag("key").over(by_entry), "after": F.lead("key").over(by_entry)})
-    several = cut(listed.where("(before is not null and before <> key) or (before is null and after <> key) or (before is null and after is not null)").select("entry", "key", "n", "leader", "leader_n"), "several")
-
-    fits = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-    wanted = several.select("key").distinct().join(classes, "key").select("least")
-    bits = spark.sparkContext.broadcast(_bits(wanted, "least"))
-    sets = cut(own.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(lambda it: _wanted_sets(it, bits), "key bigint, tokens array<bigint>").join(several.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-
-    stars = several.where((F.col("leader") != F.col("key")) & fits(F.col("leader_n"), F.col("n"))).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    links = cut(verified(stars, sets), "links")
-    first = connected_components(links)
-
-    known = several.join(first, several["key"] == first["node"], "left").select("entry", "key", "n", F.coalesce("component", "key").alias("c"))
-    mixed = known.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
-    rest = cut(known.join(mixed, "entry", "left_semi").distinct(), "rest")
-    other = rest.select("entry", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    pairs = rest.select("entry", F.col("key").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")).join(other, "entry").where((F.col("ac") < F.col("bc")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    found = verified(pairs.join(links.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), sets)
-    every = connected_components(links.union(found))
+    listed = index.withColumns({"leader": F.first("key").over(by_entry), "before": F.lag("key").over(by_entry), "after": F.lead("key").over(by_entry)})
+    several = cut(listed.where("(before is not null and before <> key) or (before is null and after is not null)").select("entry", "key", "leader"), "several")
+
+    stars = several.where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    links = verified(cut(plausible(stars, classes), "stars"), own, classes, "links")
+    labels = connected_components(links)
+    known = several.select("entry", "key").join(labels, several["key"] == labels["node"], "left").select("entry", "key", F.coalesce("component", "key").alias("c"))
+    rest = _mixed(known)
+    for turn in range(ROUNDS):
+        found = verified(cut(plausible(_led(rest, turn), classes), "stars"), own, classes, "links")
+        if found.isEmpty():
+            break
+        labels, rest = _merged(labels, rest, found)
+    other = rest.select("entry", F.col("key").alias("b"), F.col("c").alias("bc"))
+    pairs = rest.select("entry", F.col("key").alias("a"), F.col("c").alias("ac")).join(other, "entry").where("ac < bc").select("a", "b").distinct()
+    found = verified(cut(plausible(pairs, classes), "pairs"), own, classes, "links")
+    labels, _ = _merged(labels, rest, found)
 
-    node = classes.join(every, classes["key"] == every["node"], "left").select("key", "least", F.coalesce("component", "key").alias("c"))
+    node = classes.join(labels, classes["key"] == labels["node"], "left").select("key", "least", F.coalesce("component", "key").alias("c"))
     least = node.groupBy("c").agg(F.min("least").alias("component_id"))
     named = node.join(least, "c").select("key", "component_id")
     placed = members.where("n > 0").join(named, "key").select("doc_id", "n", "component_id")
@@ -291,6 +322,29 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return placed.union(alone).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _mixed(known: DataFrame) -> DataFrame:
+    """Rows (entry, key, c) of the entries whose rows are in several components."""
+    several = known.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
+    return cut(known.join(several, "entry", "left_semi"), "rest")
+
+
+def _led(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each entry's leader of this turn with the entry's rows of other components. Entries share LEADERS orders of keys."""
+    order = F.xxhash64("key", F.pmod("entry", F.lit(LEADERS)), F.lit(turn))
+    leaders = rest.groupBy("entry").agg(F.min_by(F.struct("key", "c"), order).alias("l")).select("entry", F.col("l.key").alias("a"), F.col("l.c").alias("ac"))
+    return rest.join(leaders, "entry").where("c <> ac").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, rest: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and remaining rows after new links: only the components that they touch are joined anew."""
+    at = lambda side: found.select("a", "b").join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").select("a", "b", F.coalesce(f"c{side}", side).alias(f"c{side}"))
+    touched = at("a").join(at("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = cut(connected_components(touched).select(F.col("node").alias("c"), F.col("component").alias("to")), "moved")
+    every = labels.select("node", F.col("component").alias("c")).unionByName(moved.select(F.col("c").alias("node"), "c").join(labels.select("node"), "node", "left_anti"))
+    new = cut(every.join(moved, "c", "left").select("node", F.coalesce("to", "c").alias("component")), "labels")
+    return new, _mixed(rest.join(moved, "c", "left").select("entry", "key", F.coalesce("to", "c").alias("c")))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, that of the least key, all its columns as they were; rows without a key stay."""
     found = join_components(docs, key, text)
