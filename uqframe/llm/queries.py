@@ -37,8 +37,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
-    warc.write(warc.with_kinds(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).collect()
-    back = warc.read(spark, folder)
+    back = warc.read(spark, folder, warc.write(warc.with_kinds(table(spark, sf_dir, "pages")), folder))
     return back.select(F.col("rid").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").try_cast("bigint").alias("refers_to"))
 
 

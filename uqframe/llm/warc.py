@@ -3,8 +3,9 @@
 Every record is a gzip member of its own. The reader cuts files into byte ranges. A task scans its range for gzip
 magic, takes a hit as a record only if it inflates to a WARC version line and complete headers, and owns the records that start
 inside its range; the last of them may end in the next one. So any range size gives each record exactly once.
-Files are written and read through pyarrow's file systems, by the URI of a folder that all executors share; a file
-appears under its name only when it is whole, so a task that is run again does no harm.
+Files are written and read through pyarrow's file systems, by the URI of a folder that all executors share. Each
+attempt of a task writes files of its own names, and only those of the attempts that succeed are in the list that
+``write`` commits and ``read`` takes, so a task that is run again, even at the same time, does no harm.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uqframe.llm.common import cut
+
 MAGIC = b"\x1f\x8b\x08"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 #: Bytes of one read range, and bytes read ahead at a time.
@@ -143,34 +146,30 @@ def records_in(data: _Bytes, start: int, end: int) -> Iterator[tuple[int, dict[s
 
 
 def write(df: DataFrame, folder: str, rows_per_file: int = FILE_RECORDS) -> DataFrame:
-    """Write rows (rid, uri, payload, kind, refers_to) as ``*.warc.gz`` below ``folder``; returns (path, records, bytes).
+    """Write rows (rid, uri, payload, kind, refers_to) as ``*.warc.gz`` below ``folder``; returns the files (path, records, bytes).
 
-    A file's name comes from its partition, and its whole content replaces what stood there before.
+    The list of files is itself written to the shared folder: reading it again writes nothing. No rows make no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         fs, root = file_system(folder)
-        part, k, out, n = TaskContext.get().partitionId(), 0, None, 0
+        out, n = None, 0
         done: list[tuple[str, int, int]] = []
 
         def close() -> None:
             nonlocal out
             if out is not None:
-                stream, temporary, name = out
+                stream, name = out
                 size = stream.tell()
                 stream.close()
-                fs.move(temporary, name)
                 done.append((name, n, size))
                 out = None
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"{root}/part-{part:06d}-{k:04d}.warc.gz"
-                    temporary = f"{root}/.{uuid.uuid4().hex}"
-                    out, n, k = (fs.open_output_stream(temporary), temporary, name), 0, k + 1
+                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
+                    out, n = (fs.open_output_stream(name, compression=None), name), 0
                 out[0].write(record(row["kind"], row["uri"] or "", row["rid"], (row["payload"] or "").encode(), row["refers_to"]))
                 n += 1
                 if n >= rows_per_file:
@@ -180,21 +179,26 @@ def write(df: DataFrame, folder: str, rows_per_file: int = FILE_RECORDS) -> Data
 
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
-    return df.select("rid", "uri", "payload", "kind", "refers_to").mapInArrow(run, "path string, records bigint, bytes bigint")
+    return cut(df.select("rid", "uri", "payload", "kind", "refers_to").mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-files")
 
 
 SCHEMA = "path string, offset bigint, rid string, kind string, uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 
 
-def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
-    """One row a record (SCHEMA), by byte ranges of ``split`` bytes. Only file names and sizes are listed on the driver.
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The files (path, bytes) of a folder of archives from elsewhere; names and sizes come from the driver's listing."""
+    fs, root = file_system(folder)
+    files = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".gz") and not os.path.basename(f.path).startswith(".")]
+    return spark.createDataFrame(files, "path string, bytes long")
+
+
+def read(spark: SparkSession, folder: str, files: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
+    """One row a record (SCHEMA) of ``files`` (path, bytes; all of ``folder`` if not given), by byte ranges of ``split`` bytes.
 
     ``payload`` is the block behind its HTTP head, empty for a revisit. ``payload_bytes`` and ``payload_digest`` are of the full payload:
     computed for a response, taken from the headers for a revisit. Bytes that aren't a whole record are skipped.
     """
-    fs, root = file_system(folder)
-    files = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".gz") and not os.path.basename(f.path).startswith(".")]
-    sizes = spark.createDataFrame(files, "path string, size long")
+    sizes = (listed(spark, folder) if files is None else files).select("path", F.col("bytes").alias("size"))
     ranges = sizes.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +219,8 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
                 kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[k]) for c, k in (x.split() for x in SCHEMA.split(", "))], names=list(rows))
 
-    n = max(1, sum(max(1, -(-size // split)) for _, size in files))
-    return ranges.repartition(min(n, 20_000), "path", "start").mapInArrow(run, SCHEMA)
+    n = ranges.count()
+    return ranges.repartition(max(1, min(n, 20_000)), "path", "start").mapInArrow(run, SCHEMA)
 
 
 def with_kinds(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
