@@ -123,7 +123,9 @@ def draw_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text
     per_block = cut(placed.groupBy("s", "block_hash").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), "mixing-blocks")
     upto = per_block.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("block_hash")))
     last = upto.where("upto >= rest and upto - n < rest").select("s", "block_hash", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
-    inside = placed.drop("rest").join(F.broadcast(last), ["s", "block_hash"]).withColumn("upto", F.sum("n").over(Window.partitionBy("s", "block_hash").orderBy("row_hash")))
+    # equal rows count together: their peers must not push each other over the end
+    rows_inside = placed.join(F.broadcast(last), ["s", "block_hash"]).groupBy("s", "block_hash", "row_hash").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    inside = rows_inside.withColumn("upto", F.sum("n").over(Window.partitionBy("s", "block_hash").orderBy("row_hash")))
     ends = inside.where("upto - n < left").groupBy("s", "block_hash").agg(F.max("row_hash").alias("row_hash")).select("s", F.col("block_hash").alias("end_block"), F.col("row_hash").alias("end_row"))
     return sources.join(ends, "s", "left"), plan
 
