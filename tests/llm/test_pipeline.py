@@ -6,6 +6,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -74,3 +75,12 @@ def test_entry_registers_all():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_the_classifier_decides_where_the_rules_left_one_class(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    bad = labels.where(~ranker.held_out(F.col("doc_id")) & (F.col("quality") == 0))
+    left = docs.join(bad, "doc_id", "left_anti")
+    kept = corpus_pipeline.quality_classifier(spark, left, sf_dir)
+    want = ranker.judge(docs, labels).where("predicted = 1").join(left, "doc_id", "left_semi")
+    assert ids(kept) == ids(want) and 0 < kept.count() < left.count()
