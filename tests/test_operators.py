@@ -186,3 +186,46 @@ def test_model_over_batches(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 2.0], 1)], "id bigint, v array<double>, label int")
     assert sorted((r.id, r.pred) for r in scorer.centroid_scores(df, scorer.centroids(df, "label", "v"), "id", "v").collect()) == [(1, 0), (2, 1)]
     assert scorer.apply_model(df, "id", "v", lambda x: x / x.sum(axis=1, keepdims=True)).count() == 2
+
+
+def test_resampled_cells_are_a_bootstrap(spark):
+    cells = spark.createDataFrame([(i, 1 + i % 5, i % 3) for i in range(12)], "c int, n bigint, block int")
+    seen = {}
+    for r in resample.resample_cells(cells, [], ["c"], lambda f, k: {"k": k.tolist()}, "k array<bigint>", 2000).collect():
+        seen.setdefault(r.rep, {})[r.block] = r.k
+    draws = np.array([[d[i % 3][i // 3] for i in range(12)] for _, d in sorted(seen.items())])
+    n = np.array([1 + i % 5 for i in range(12)])
+    assert draws.shape == (2000, 12) and (draws.sum(axis=1) == n.sum()).all()
+    cov = np.diag(n) - np.outer(n, n) / n.sum()  # of the multinomial
+    assert np.abs(draws.mean(axis=0) - n).max() < 0.2 and np.abs(np.cov(draws.T) - cov).max() < 0.5
+
+
+def test_resampled_auroc_and_f1_are_the_reference_s(spark):
+    rng = np.random.default_rng(5)
+    score, ok, label = rng.integers(0, 40, 300) / 40, rng.random(300) < 0.6, rng.integers(0, 4, 300)
+    a, b = (np.where(rng.random(300) < p, label, rng.integers(0, 4, 300)) for p in (0.5, 0.7))
+    df = spark.createDataFrame([(float(s), bool(~o)) for s, o in zip(score, ok)], "score double, positive boolean").withColumn("g", F.lit("x"))
+    preds = spark.createDataFrame([tuple(map(int, r)) for r in zip(label, a, b)], "label int, a int, b int")
+
+    def auroc(i):
+        up, down = score[i][~ok[i]], score[i][ok[i]]
+        return ((up[:, None] > down) + 0.5 * (up[:, None] == down)).mean()
+
+    def macro(y, p):
+        return np.mean([2 * ((y == k) & (p == k)).sum() / max(1, (y == k).sum() + (p == k).sum()) for k in range(4)])
+
+    drawn = rng.integers(0, 300, (2000, 300))
+    for got, want in (
+        (resample.interval(resample.auroc_resamples(df, ["g"], 2000, blocks=6), [], "auroc").head(), [auroc(i) for i in drawn]),
+        (resample.interval(resample.macro_f1_delta_resamples(preds, 4, 2000), [], "v").head(), [macro(label[i], b[i]) - macro(label[i], a[i]) for i in drawn]),
+    ):
+        lo, hi = np.quantile(want, [0.025, 0.975])
+        assert abs(got.lo - lo) < 0.1 * (hi - lo) and abs(got.hi - hi) < 0.1 * (hi - lo)
+
+
+def test_verdicts_rest_on_the_reference_s_resamples(spark, sf_dir, monkeypatch):
+    from uqframe.plans import registry
+
+    seen, interval = [], resample.interval
+    monkeypatch.setattr(resample, "interval", lambda df, *a: seen.append(df.select("rep").distinct().count()) or interval(df, *a))
+    assert registry.queries()["claim_verdicts"](spark, sf_dir).count() == 5 and seen == [2000, 2000]

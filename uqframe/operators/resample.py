@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from uqframe.operators.ranking import running
 
@@ -83,6 +84,79 @@ def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, b
     return blocks.mapInPandas(run, "rep bigint, " + ", ".join(f"{c} double" for c in columns))
 
 
+def ranges(cells: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
+    """``cells`` with ``block``: which of ``count`` ranges of ``order``, cut at each group's quantiles; equal values share a block."""
+    at = F.percentile_approx(F.col(order), [i / count for i in range(1, count)], 10_000)
+    bounds = cells.groupBy(*keys).agg(F.array_distinct(at).alias("__b"))
+    return cells.join(bounds, keys).withColumn("block", F.size(F.filter("__b", lambda b: b < F.col(order)))).drop("__b")
+
+
+def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statistic: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], schema: str, reps: int, seed: int = 42) -> DataFrame:
+    """``statistic`` of each block's cells in each resample: keys, block, rep and the columns of ``schema``.
+
+    ``cells`` has ``n`` rows of the sample each, and ``block``. Resampling the rows with replacement gives a cell a
+    multinomial count, so counts are drawn instead of rows: first the blocks' totals of each resample, the same in
+    every task, then the counts within a block. ``statistic`` gets a block's cells in ``order`` and a matrix of some
+    resamples by cells. Groups of ``keys`` are drawn apart; what must share its draws belongs into one cell.
+    """
+    sizes: dict[tuple, dict[int, int]] = {}
+    for r in cells.groupBy(*keys, "block").agg(F.sum("n").alias("n")).orderBy(*keys, "block").collect():
+        sizes.setdefault(tuple(r[k] for k in keys), {})[r["block"]] = r["n"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, ignore_index=True)
+        group, block = tuple(frame[k].iloc[0] for k in keys), int(frame["block"].iloc[0])
+        own = sizes[group]
+        of_blocks = np.array(list(own.values()), dtype=np.float64)
+        totals = np.random.default_rng(seed).multinomial(int(of_blocks.sum()), of_blocks / of_blocks.sum(), size=reps)[:, list(own).index(block)]
+        share, rng, out = frame["n"].to_numpy(np.float64), np.random.default_rng([seed, block]), []
+        share, step = share / share.sum(), max(1, 2_000_000 // len(frame))
+        for start in range(0, reps, step):
+            out.append(pd.DataFrame({"rep": np.arange(start, min(reps, start + step)), **statistic(frame, rng.multinomial(totals[start : start + step], share))}))
+        made = pd.concat(out)
+        for k in [*keys, "block"]:
+            made[k] = frame[k].iloc[0]
+        return made
+
+    types = dict(cells.dtypes)
+    # a fixed number of partitions: a cell is a few bytes but thousands of draws, so small partitions must not be merged
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "block")
+    return dealt.groupBy(*keys, "block").applyInPandas(run, ", ".join([f"{k} {types[k]}" for k in [*keys, "block"]] + ["rep bigint", schema]))
+
+
+def auroc_resamples(df: DataFrame, keys: list[str], reps: int, score: str = "score", positive: str = "positive", blocks: int | None = None) -> DataFrame:
+    """keys, rep, auroc: rows are summed to cells of equal score and class, and a block gives its own area and totals only."""
+    cells = df.groupBy(*keys, score, positive).agg(F.count(F.lit(1)).alias("n"))
+    count = blocks or max(8, min(1_000, cells.count() // 20_000))
+
+    def area(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
+        up = frame[positive].to_numpy(bool)
+        first = np.flatnonzero(np.r_[True, frame[score].to_numpy()[1:] != frame[score].to_numpy()[:-1]])
+        pos, neg = (np.add.reduceat(np.where(x, counts, 0), first, axis=1).astype(np.float64) for x in (up, ~up))
+        return {"pos": pos.sum(axis=1), "neg": neg.sum(axis=1), "area": (pos * (neg.cumsum(axis=1) - 0.5 * neg)).sum(axis=1)}
+
+    parts = resample_cells(ranges(cells, keys, score, count), keys, [score, positive], area, "pos double, neg double, area double", reps)
+    below = Window.partitionBy(*keys, "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    return whole.groupBy(*keys, "rep").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auroc"))
+
+
+def macro_f1_delta_resamples(df: DataFrame, classes: int, reps: int) -> DataFrame:
+    """rep, v: macro F1 of ``b`` less that of ``a`` over fixed classes; ``df`` has label, a and b, the predictions of two systems."""
+    cells = df.groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.lit(0))
+
+    def delta(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
+        hot = {c: (frame[c].to_numpy()[:, None] == np.arange(classes)).astype(np.float64) for c in ("label", "a", "b")}
+
+        def macro(c: str) -> np.ndarray:
+            both = counts @ hot["label"] + counts @ hot[c]
+            return np.where(both > 0, 2 * (counts @ (hot["label"] * hot[c])) / np.maximum(both, 1), 0.0).sum(axis=1) / classes
+
+        return {"v": macro("b") - macro("a")}
+
+    return resample_cells(cells, [], ["label", "a", "b"], delta, "v double", reps).select("rep", "v")
+
+
 def map_resamples(df: DataFrame, resamples: DataFrame, statistic: Callable[[pd.DataFrame], dict[str, float]], columns: list[str], schema: str) -> DataFrame:
     """Any weighted statistic of a resample: ``statistic`` gets ``columns`` and ``cnt`` of one resample and gives a row.
 

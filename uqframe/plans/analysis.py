@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, resample, rounded, rules, selective, sql, table, test_rows
 
+#: Resamples of the queries that have SQL, as it says.
 REPS = 20
+#: Resamples behind the verdicts, as many as the reference draws.
+VERDICT_REPS = 2_000
 _NAMES = {"A": SERVED, "B": POOLED, "C": ("imgB", "pgs", "pgs"), "D": ("imgC", "pgs", "pgs"), "E": ("imgA", "cb", "argmax")}
 
 
@@ -287,11 +290,23 @@ def reproduction_check(spark, sf_dir):
     return acc.join(F.broadcast(e), "image").groupBy(*SYS, r6("accuracy").alias("accuracy")).agg(F.min_by("v", off).alias("nearest"), F.round(F.min(off) * 100, 4).alias("off_pp"), F.bool_or(F.round("accuracy", 4) == F.col("v")).alias("reproduced"))
 
 
+def _verdict_f1(spark, sf_dir):
+    rows = test_rows(spark, sf_dir, (SERVED, POOLED))
+    pred = lambda mode: F.max(F.when(F.col("mode") == mode, F.col("pred")))
+    wide = rows.groupBy("row_id").agg(F.max("label").alias("label"), pred("argmax").alias("a"), pred("pgs").alias("b"))
+    return rounded(resample.interval(resample.macro_f1_delta_resamples(wide, S.CLASSES, VERDICT_REPS), [], "v"))
+
+
+def _verdict_auroc(spark, sf_dir):
+    rows = _score_rows(spark, sf_dir).where("score_id in ('S1', 'S5')").withColumn("positive", ~F.col("ok"))
+    return rounded(resample.interval(resample.auroc_resamples(rows, ["score_id"], VERDICT_REPS), ["score_id"], "auroc"))
+
+
 @query()
 def claim_verdicts(spark, sf_dir):
     t = paired.holm(_paired(spark, sf_dir), "family")
-    f1 = boot_macro_f1_delta_ci(spark, sf_dir).select(F.col("lo").alias("f1_lo"), F.col("hi").alias("f1_hi"))
-    ci = boot_auroc_ci(spark, sf_dir).join(rounded(_auroc(spark, sf_dir)), "score_id")
+    f1 = _verdict_f1(spark, sf_dir).select(F.col("lo").alias("f1_lo"), F.col("hi").alias("f1_hi"))
+    ci = _verdict_auroc(spark, sf_dir).join(rounded(_auroc(spark, sf_dir)), "score_id")
     s = ci.agg(*[F.max(F.when(F.col("score_id") == k, F.col(c))).alias(f"{c}_{k}") for k in ("S1", "S5") for c in ("auroc", "lo", "hi")])
     one = t.agg(*[F.max(F.when(F.col("row") == r, F.col(c))).alias(f"{c}_{r}") for r in ("R1", "R4", "R5") for c in ("d_accuracy", "p", "p_holm", "differ")]).join(F.broadcast(f1)).join(F.broadcast(s))
     c = F.col
