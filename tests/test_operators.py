@@ -229,3 +229,43 @@ def test_verdicts_rest_on_the_reference_s_resamples(spark, sf_dir, monkeypatch):
     seen, interval = [], resample.interval
     monkeypatch.setattr(resample, "interval", lambda df, *a: seen.append(df.select("rep").distinct().count()) or interval(df, *a))
     assert registry.queries()["claim_verdicts"](spark, sf_dir).count() == 5 and seen == [2000, 2000]
+
+
+def test_parts_of_the_stream_are_numpy_s(spark):
+    for n in (2, 101, 3_000_000_000):  # the last one rejects three words of ten
+        values, ok = resample.stream_words(42, 0, 4000, n)
+        assert np.array_equal(np.concatenate([v[k] for v, k in (resample.stream_words(42, s, 500, n) for s in range(0, 4000, 500))]), values[ok])
+        assert np.array_equal(values[ok], np.random.default_rng(42).integers(0, n, int(ok.sum())))
+
+
+def test_exact_stream_has_no_most_and_keeps_rows_off_the_driver(spark, monkeypatch):
+    def refuse(self):
+        raise AssertionError("rows sent to the driver")
+
+    monkeypatch.setattr(resample, "MOST_EXACT", 100, raising=False)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", refuse)
+    for n, block in ((101, 64), (1, 64), (7, 1 << 20)):
+        x = np.random.default_rng(0).random(n)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "row_id bigint, x double")
+        got = [r.x for r in resample.exact_stream(df, ["x"], 23, block=block).orderBy("rep").collect()]
+        assert np.allclose(got, x[np.random.default_rng(42).integers(0, n, (23, n))].mean(axis=1))
+
+
+def test_a_hot_stratum_is_ranked_by_many_tasks(spark):
+    import hashlib
+
+    rows = [(i, "a" if i % 10 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = prep.stratified_split(df, "s", "id")
+        got = {r.id: r.split for r in split.collect()}
+        sizes = [r[0] for r in split.rdd.mapPartitions(lambda rows: [(sum(1 for _ in rows),)]).collect()]
+        assert max(sizes) < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in ("a", None):
+        own = sorted((i for i, t in rows if t == s), key=lambda i: hashlib.md5(f"42-{i}".encode()).hexdigest())
+        want = {i: "train" if k < round(0.7 * len(own)) else "val" if k < round(0.85 * len(own)) else "test" for k, i in enumerate(own)}
+        assert all(got[i] == v for i, v in want.items())
+    assert len(got) == 4000

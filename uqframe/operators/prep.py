@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from uqframe.functions import text as X
+from uqframe.operators.ranking import running
+
+#: Strata whose sizes may be broadcast; more are joined.
+MOST_BROADCAST = 100_000
 
 
 def non_empty(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,12 +49,17 @@ def quotas(n: Column, shares: tuple[float, ...]) -> list[Column]:
 def stratified_split(df: DataFrame, stratum: str, key: str, names: tuple[str, ...] = ("train", "val", "test"), shares: tuple[float, ...] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """``df`` with ``split``: within each stratum, rows in the order of md5(seed-key) fill the quotas."""
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
-    w = Window.partitionBy(stratum)
-    placed = df.withColumn("__h", h).withColumns({"__k": F.row_number().over(w.orderBy("__h", key)), "__n": F.count(F.lit(1)).over(w)})
+    # a stratum may be null, which a join would lose; 13 hex digits of the hash order as it does and are exact as a double
+    stratum_key = {"__null": F.col(stratum).isNull(), "__s": F.coalesce(F.col(stratum).cast("string"), F.lit(""))}
+    keyed = df.withColumns({**stratum_key, "__h": h, "__p": F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint")})
+    size = df.select(*[c.alias(k) for k, c in stratum_key.items()]).groupBy("__null", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    if size.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        size = F.broadcast(size)
+    placed = running(keyed, ["__null", "__s"], ["__p", "__h", key], {"__k": F.lit(1)}).join(size, ["__null", "__s"])
     out = F.lit(names[-1])
     for name, upto in reversed(list(zip(names[:-1], quotas(F.col("__n"), shares)))):
         out = F.when(F.col("__k") <= upto, name).otherwise(out)
-    return placed.withColumn("split", out).drop("__h", "__k", "__n")
+    return placed.withColumn("split", out).select(*df.columns, "split")
 
 
 def available(df: DataFrame, failed: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -18,7 +18,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     """
     value = F.col(order[0]).cast("double")
     bounds = df.agg(F.array_distinct(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).alias("b")).scalar()
-    cut = df.withColumn("__b", bounds).withColumn("__r", F.size(F.filter("__b", lambda b: b < value))).drop("__b")
+    # plus nothing that Spark 4.1 takes for a constant: from the definition of __r it can infer a filter for the join's
+    # other side on a column that isn't there
+    cut = df.withColumn("__b", bounds).withColumn("__r", F.size(F.filter("__b", lambda b: b < value)) + 0 * F.spark_partition_id()).drop("__b")
     cut = cut.withColumns({f"__{n}": c for n, c in sums.items()})
     totals = cut.groupBy(*keys, "__r").agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from uqframe.operators.ranking import running
 
-#: Samples whose statistics an exact stream may broadcast.
-MOST_EXACT = 5_000_000
+#: 32-bit words of the exact stream that are drawn at once.
+STREAM_BLOCK = 1 << 20
 
 
 def hash_resamples(spark: SparkSession, n: int, reps: int) -> DataFrame:
@@ -49,39 +49,68 @@ def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return (lo_a <= hi_b) & (lo_b <= hi_a)
 
 
-def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, block: int = 50, order: str = "row_id") -> DataFrame:
-    """rep and the resampled mean of each column, by the index stream of NumPy's default_rng(seed).integers(0, n).
+def stream_words(seed: int, start: int, count: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the 32-bit words ``start`` to ``start + count`` (both even) of PCG64(seed) give for integers below n: values, accepted.
 
-    The stream is sequential, so the driver draws it block by block and each block's task multiplies its counts with
-    the columns. That is for samples of at most MOST_EXACT rows, which are checked; larger ones use hash_resamples.
+    NumPy takes each 64-bit output as two words, the low one first, multiplies a word by n and rejects it where the
+    product's low half is below 2^32 mod n; the high half is the value. So any part of a stream can be drawn alone.
     """
-    spark = df.sparkSession
-    n = df.count()
-    if n > MOST_EXACT:
-        raise ValueError(f"the exact stream takes at most {MOST_EXACT} rows")
-    if n == 0:
-        return spark.createDataFrame([], "rep bigint, " + ", ".join(f"{c} double" for c in columns))
-    values = spark.sparkContext.broadcast(df.orderBy(order).select(*[F.col(c).cast("double") for c in columns]).toPandas().to_numpy())
-    rng = np.random.default_rng(seed)
-    states = []
-    for start in range(0, reps, block):
-        states.append((start, min(block, reps - start), str(rng.bit_generator.state)))
-        rng.integers(0, n, size=(min(block, reps - start), n))
+    words = np.random.PCG64(seed).advance(start // 2).random_raw(count // 2)
+    halves = np.stack([words & 0xFFFFFFFF, words >> 32], axis=1).ravel()
+    product = halves * np.uint64(n)
+    return (product >> 32).astype(np.int64), (product & 0xFFFFFFFF) >= np.uint64((1 << 32) % n)
+
+
+def stream_resamples(spark: SparkSession, n: int, reps: int, seed: int = 42, block: int = STREAM_BLOCK) -> DataFrame:
+    """rep, pos, cnt of NumPy's default_rng(seed).integers(0, n, (reps, n)), drawn in parallel; 1 <= n < 2^32.
+
+    A first pass counts what each block of words accepts, which tells where in the index stream the block starts; a
+    second one draws it. One number a block reaches the driver.
+    """
+    if n == 1:  # NumPy draws nothing
+        return spark.range(reps).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("cnt"))
+    if not 1 < n < 1 << 32:
+        raise ValueError("the exact stream is NumPy's 32-bit one: 1 to 2^32 - 1 samples")
+    tasks = lambda blocks: max(1, min(blocks, 10_000))
+
+    def accepted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"b": frame["id"], "n": [int(stream_words(seed, int(b) * block, block, n)[1].sum()) for b in frame["id"]]})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ast
+    starts, total = [], 0
+    while total < reps * n:
+        at, more = len(starts), -(-(reps * n - total) // block)
+        counted = spark.range(at, at + more, 1, tasks(more)).mapInPandas(accepted, "b bigint, n bigint")
+        for r in sorted(counted.collect()):
+            starts.append((r.b, total))
+            total += r.n
 
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start, count, state in frame.itertuples(index=False):
-                own = np.random.default_rng()
-                own.bit_generator.state = ast.literal_eval(state)
-                drawn = own.integers(0, n, size=(count, n))
-                weights = np.stack([np.bincount(row, minlength=n) for row in drawn])
-                means = weights @ values.value / n
-                yield pd.DataFrame({"rep": np.arange(start, start + count), **{c: means[:, i] for i, c in enumerate(columns)}})
-
-    blocks = spark.createDataFrame(states, "start bigint, count bigint, state string").repartition(max(1, len(states)))
-    return blocks.mapInPandas(run, "rep bigint, " + ", ".join(f"{c} double" for c in columns))
+            for b, first in frame.itertuples(index=False):
+                values, ok = stream_words(seed, int(b) * block, block, n)
+                at = first + np.arange(int(ok.sum()))
+                own = at < reps * n
+                cells, cnt = np.unique(np.stack([at[own] // n, values[ok][own]]), axis=1, return_counts=True)
+                yield pd.DataFrame({"rep": cells[0], "pos": cells[1], "cnt": cnt})
+
+    blocks = spark.createDataFrame(starts, "b bigint, first bigint").repartition(tasks(len(starts)))
+    return blocks.mapInPandas(draw, "rep bigint, pos bigint, cnt bigint")
+
+
+def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, block: int = STREAM_BLOCK, order: str = "row_id") -> DataFrame:
+    """rep and the resampled mean of each column, by the index stream of NumPy's default_rng(seed).integers(0, n).
+
+    Values stay in Spark: the draws meet them by position. A null value makes the mean NaN, as NaN does.
+    """
+    n = df.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([], "rep bigint, " + ", ".join(f"{c} double" for c in columns))
+    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
+    # Spark takes the draws for as small as the list of blocks, and would broadcast them
+    draws = stream_resamples(df.sparkSession, n, reps, seed, block + block % 2).hint("merge")
+    sums = resampled(positions(df.select(order, *columns), order), draws, [], values)
+    return sums.select("rep", *[(F.col(c) / n).alias(c) for c in columns])
 
 
 def ranges(cells: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
