@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,12 +60,15 @@ def corpus(seed, copies=40, length=120):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(jj, "FREQUENT", 3)
+@pytest.mark.parametrize(("seed", "key_bits", "crowded", "hot"), [(1, 64, 1 << 16, 1 << 12), (2, 3, 1 << 16, 4), (4, 64, 0, 1)])
+def test_equals_all_pairs(spark, seed, key_bits, crowded, hot, monkeypatch):
+    """Also with hashes that clash, with every entry crowded, and with entries dealt into parts."""
+    monkeypatch.setattr(jj, "CROWDED", crowded)
     rows = corpus(seed)
-    df = spark.createDataFrame([(k, t, "x", 0) for k, t in rows], "doc_id bigint, text string, key string, n int").repartition(3)
-    got = sorted(map(tuple, jj.join_components(df).collect()), key=str)
+    df = spark.createDataFrame([(k, t, "x", 0, 0, 0) for k, t in rows], "doc_id bigint, text string, key string, n int, c int, node int").repartition(3)
+    monkeypatch.setattr(jj, "HOT", hot)
+    monkeypatch.setattr(jj, "FREQUENT", 3)
+    got = sorted(map(tuple, jj.join_components(df, key_bits=key_bits).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -83,29 +87,62 @@ def test_keep_one(spark):
     assert kept == sorted({c for _, _, c in brute(rows)})
 
 
-def test_similar_sets_share_an_entry():
-    rng = np.random.default_rng(4)
-    for _ in range(400):
+def test_keep_one_decides_by_row_where_keys_repeat(spark):
+    one, two = ("a b c d e f g h i j", "k l m n o p q r s t")
+    rows = [(5, one), (5, two), (5, two), (3, two), (None, two), (8, None), (8, ""), (9, None), (9, None)]
+    got = Counter(map(tuple, jj.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == Counter([(5, one), (3, two), (None, two), (8, None), (8, ""), (9, None)])
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_similar_sets_share_an_entry(k):
+    rng = np.random.default_rng(k)
+    checked = 0
+    for _ in range(1500):
         n = int(rng.integers(4, 400))
         base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         n = len(base)
         drop = int(rng.integers(0, max(1, n // 8)))
-        other = np.unique(np.concatenate([base[rng.permutation(n)[: n - drop]], rng.integers(0, 1 << 62, int(rng.integers(0, max(1, n // 10)))).astype(np.uint64)]))
+        other = np.unique(np.concatenate([base[rng.permutation(n)[: n - drop]], rng.integers(0, 1 << 62, int(rng.integers(0, max(1, n // 6)))).astype(np.uint64)]))
         both = len(np.intersect1d(base, other))
         if 100 * both < 80 * (n + len(other) - both) or np.array_equal(base, other):
             continue
+        checked += 1
         often = rng.random() * 1.1
         frequent = lambda own: (own % np.uint64(1000)) < np.uint64(int(1000 * min(often, 1)))  # noqa: B023, E731
-        assert len(np.intersect1d(jj.signatures(base, frequent(base)), jj.signatures(other, frequent(other))))
-        differ = sum(bin(a ^ b).count("1") for a, b in zip(jj.bit_map(base), jj.bit_map(other)))
+        level = lambda own: (own[frequent(own)] % np.uint64(7)).astype(np.uint8)  # noqa: B023, E731
+        larger, smaller = (base, other) if n >= len(other) else (other, base)
+        single = np.intersect1d(jj.single_entries(larger, frequent(larger)), jj.single_entries(smaller, frequent(smaller)))
+        entries, _, _ = jj.combined_entries(larger, frequent(larger), level(larger), k)
+        own, as_small, _ = jj.combined_entries(smaller, frequent(smaller), level(smaller), k)
+        assert len(single) or len(np.intersect1d(entries, own[as_small]))
+        if n == len(other):
+            own, as_small, _ = jj.combined_entries(larger, frequent(larger), level(larger), k)
+            entries, _, _ = jj.combined_entries(smaller, frequent(smaller), level(smaller), k)
+            assert len(single) or len(np.intersect1d(entries, own[as_small]))
+        differ = sum(bin(x ^ y).count("1") for x, y in zip(jj.bit_map(base), jj.bit_map(other)))
         assert differ <= n + len(other) - 2 * both
+    assert checked > 300
+
+
+def test_texts_that_share_most_of_a_passage_do_not_meet():
+    passage = np.arange(1, 81, dtype=np.uint64) * np.uint64(1000)
+    texts = [np.unique(np.concatenate([passage, np.arange(12, dtype=np.uint64) + np.uint64(10**6 * (i + 1) + 1)])) for i in range(30)]
+    entries = []
+    for own in texts:
+        frequent = own % np.uint64(1000) == 0
+        found, as_small, _ = jj.combined_entries(own, frequent, np.zeros(int(frequent.sum()), np.uint8), 2)
+        assert len(found) and not as_small.any()  # as larger sets only: the bare passage is similar to each of them
+        entries.append(found)
+    found, as_small, _ = jj.combined_entries(passage, np.ones(80, bool), np.zeros(80, np.uint8), 2)
+    assert all(len(np.intersect1d(found[as_small], e)) for e in entries)
 
 
 def test_frequency_bound(spark, monkeypatch):
     monkeypatch.setattr(jj, "MOST_FREQUENT", 10)
     rows = [(i, " ".join(f"common{j}" for j in range(60)) + f" own{i}") for i in range(12)]
-    _, scanned = jj.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert len(jj.frequent_tokens(scanned)) <= 10
+    counter, scanned = jj.scan(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_hash", F.xxhash64("text")))
+    assert len(jj.frequent_tokens(counter, scanned)[0]) <= 10
 
 
 def test_components_of_a_path_and_a_star(spark):
