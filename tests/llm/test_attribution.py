@@ -69,3 +69,9 @@ def test_rows(spark, coder):
     assert {r.section_no for r in none} == {-1}
     with pytest.raises(ValueError):
         at.attribute(df, at.head_and_body(F.col("text")), RANKS, PATTERN, rule="other")
+
+
+@pytest.mark.parametrize("bounds", [[(0, 5), (3, 8)], [(4, 8), (0, 4)], [(0, None)], [(-1, 2)], [(3, 2)]])
+def test_sections_that_overlap_or_stand_in_disorder_raise(bounds):
+    with pytest.raises(ValueError):
+        at.attribute_spans(np.array([0]), np.array([3]), bounds, "majority")

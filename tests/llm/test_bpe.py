@@ -1,5 +1,6 @@
 """Byte-level BPE against the public library, and its edge cases."""
 
+import base64
 import hashlib
 import random
 
@@ -73,3 +74,23 @@ def test_columns(spark, library):
     assert both.columns == ["doc_id", "text", "ids", "raw"]
     assert sorted(bytes(r.raw) for r in both.collect()) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_vocabularies_that_differ_in_one_token_have_their_own_coders(spark, tmp_path):
+    ranks = bpe.read_ranks(RANKS)
+    swapped = dict(ranks)
+    swapped[b" the"], swapped[b" of"] = ranks[b" of"], ranks[b" the"]
+    path = tmp_path / "swapped.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % i for k, i in swapped.items()))
+    df = spark.createDataFrame([(1, "all of the words")], "doc_id bigint, text string").coalesce(1)
+    one, two = (bpe.encode(df, p, PATTERN).head().ids for p in (RANKS, str(path)))
+    other = tiktoken.Encoding("other", pat_str=PATTERN, mergeable_ranks=swapped, special_tokens={})
+    assert two == other.encode_ordinary("all of the words") != one
+
+
+def test_other_patterns_cut_alone():
+    ranks, pattern = bpe.read_ranks(RANKS), r"\S+\s*|\s+"
+    own = bpe.Coder(ranks, pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for x in ("a b  c", " lead and  trail ", "one, two.\nthree", ""):
+        assert own.encode(x) == other.encode_ordinary(x)

@@ -18,6 +18,8 @@ LAYOUTS = [
     ({"instruction": "i", "output": "a"}, [("user", "i"), ("assistant", "a")]),
     ({"instruction": "i", "input": "x", "output": "a"}, [("user", "i\n\nx"), ("assistant", "a")]),
     ({"other": 1}, None),
+    ({"messages": [{"role": "user", "content": "q"}], "prompt": "p", "input": "x", "response": None}, [("user", "q")]),
+    ({"prompt": "p", "completion": "c", "source": 1, "question": "?"}, [("user", "p"), ("assistant", "c")]),
 ]
 
 
@@ -59,5 +61,7 @@ def test_nulls_ties_empty_tables_and_unknown_fields(spark):
     rows = [(1, 0, "user", "b", "x", 1), (1, 0, "user", "a", "x", 1), (1, None, None, None, None, None), (None, 0, "user", "n", "x", 1), (1, 0, "user", "a", "x", 1)]
     got = {r.conv_id: r.formatted for r in chat.format_rows(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: "[ROLE][/ROLE][END][INST] a [/INST][INST] a [/INST][INST] b [/INST]", None: "[INST] n [/INST]"}
+    clash = spark.createDataFrame([(1, 0, "user", "a", "p", "r", "i", "m")], "conv_id bigint, turn bigint, role string, text string, prompt string, response string, input string, messages string")
+    assert [r.formatted for r in chat.format_rows(clash).collect()] == ["[INST] a [/INST]"]
     with pytest.raises(ValueError):
         chat.format_rows(spark.range(1))

@@ -47,6 +47,25 @@ def test_budgets_are_met_within_a_row(spark):
     assert Counter(r.doc_id for r in mixing.mix(df.repartition(7)).collect()) == passes
 
 
+def test_each_pass_is_a_permutation_of_its_own(spark):
+    rows = [(i, "small", f"t{i} a b") for i in range(700)] + [(i, "large", f"t{i} " * 40) for i in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3)
+    plan, _ = mixing.draw_plan(df)
+    own = {r.s[1:]: r for r in plan.collect()}
+    assert own["small"].passes >= 2 and own["small"].blocks > 1
+    orders = {}
+    for r in mixing.mix(df).collect():
+        orders.setdefault((r.source, r["__pass"]), []).append((r["__block"], r["__row"], r.doc_id))
+    orders = {k: [x[2] for x in sorted(v)] for k, v in orders.items()}
+    for s, r in own.items():
+        whole = [orders[s, p] for p in range(r.passes)]
+        every = sorted(k for k, source, _ in rows if source == s)
+        assert all(sorted(x) == every for x in whole) and len({tuple(x) for x in whole}) == r.passes
+        # the part of one more pass is where that pass's own order begins: whole blocks, then a part of one
+        part = orders.get((s, r.passes), [])
+        assert r.rest <= sum(len(t.split()) for k, source, t in rows if source == s and k in set(part)) < r.rest + 41 or not r.rest
+
+
 def test_empty_and_repeated_rows(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
     same = spark.createDataFrame([(1, "a", "x y")] * 5 + [(None, "b", "z")], "doc_id bigint, source string, text string")

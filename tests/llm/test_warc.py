@@ -62,3 +62,17 @@ def test_query_equals_sql(spark, sf_dir):
     want_ = duckdb.sql(queries.OP6_SQL.replace("FROM pages", f"FROM {pages}")).fetchall()
     got = queries.op6_warc(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got)) == sorted(want_)
+
+
+def test_headers_of_any_length_come_back(spark, tmp_path):
+    rows = [(1, "http://h/" + "a" * 2_000_000, "long url"), (2, "http://h/2", "long url"), (3, "u", "x")]
+    files = warc.write(warc.with_kinds(spark.createDataFrame(rows, SCHEMA)), f"file://{tmp_path}/long")
+    got = sorted((r.rid, len(r.uri), r.kind) for r in warc.read(spark, f"file://{tmp_path}/long", files, split=700).collect())
+    assert got == [("1", 2_000_009, "revisit"), ("2", 10, "response"), ("3", 1, "response")]
+
+
+def test_one_range_is_handed_on_in_several_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH", 10)
+    rows = [(i, f"u{i}", f"text {i} " * 5) for i in range(9)]
+    files = warc.write(warc.with_kinds(spark.createDataFrame(rows, SCHEMA).coalesce(1)), f"file://{tmp_path}/many")
+    assert sorted(r.rid for r in warc.read(spark, f"file://{tmp_path}/many", files).collect()) == sorted(str(i) for i in range(9))

@@ -46,9 +46,12 @@ def spans(coder: bpe.Coder, text: str, widths: np.ndarray) -> tuple[np.ndarray,
 def attribute_spans(starts: np.ndarray, ends: np.ndarray, bounds: list[tuple[int, int]], rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (float) and crossing tokens (int) of each section, and at the last place those outside all.
 
-    ``bounds`` are the sections as (start, end), ascending and without overlap; gaps between them are outside.
+    ``bounds`` are the sections as (start, end), ascending and without overlap; gaps between them are outside. Others raise.
     """
     k = len(bounds)
+    flat = [x for b in bounds for x in b]
+    if None in flat or flat != sorted(flat) or flat and flat[0] < 0:
+        raise ValueError(f"sections must be ascending and must not overlap: {bounds[:20]}")
     edges, owner = [], []  # pieces of the line: where each starts and which section it is
     at = 0
     for i, (a, b) in enumerate(bounds):
@@ -83,8 +86,8 @@ def attribute_spans(starts: np.ndarray, ends: np.ndarray, bounds: list[tuple[int
 def attribute(df: DataFrame, sections: Column, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", rule: str = "majority") -> DataFrame:
     """Rows (key, section_no, section, n_tokens, n_crossing) for each section of each row of ``df``.
 
-    ``sections`` is array<struct<name, start, end>> in code points, ascending, without overlap; an empty section has no
-    tokens. Tokens outside all sections are counted under section_no -1, section null, where there are any. Null texts
+    ``sections`` is array<struct<name, start, end>> in code points, ascending, without overlap (others raise); an empty
+    section has no tokens. Tokens outside all sections are counted under section_no -1, section null, where there are any. Null texts
     are empty, null sections are none; rows with null or repeated keys are counted each.
     """
     if rule not in RULES:

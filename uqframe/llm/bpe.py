@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -123,7 +124,10 @@ class Coder:
         for k, i in ranks.items():
             self.bytes_of[i] = k
         self.decimal = list(map(str, range(len(self.bytes_of))))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
+        #: Only under this pattern is a text cut at spaces first; under others the pattern alone cuts it.
+        self.by_spaces = pattern == public_tokenizers.PATTERN
         self.word = regex.compile(r"\p{L}+").fullmatch
         #: Marks that end a word's piece as a pre-token of their own.
         self.stops = frozenset(".,;:!?")
@@ -175,9 +179,11 @@ class Coder:
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        """A space before a character that is not white starts a pre-token, so pieces between such spaces are independent."""
+        """Under the public pattern, a space before a character that is not white starts a pre-token, so pieces between such spaces are independent."""
         if not text:
             return []
+        if not self.by_spaces:
+            return list(chain.from_iterable(map(self.tokens.__getitem__, (m.group() for m in self.pattern.finditer(text)))))
         parts = self.cut(text) if self.wide(text) else text.split(" ")
         if text[0] == " " and parts[0] == "":
             parts = parts[1:]
@@ -198,21 +204,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-_CODERS: dict[int, Coder] = {}
+_CODERS: dict[str, Coder] = {}
 
 
 def coder_of(shared: Broadcast) -> Coder:
-    """One coder per worker and vocabulary, so that what it remembers serves all its tasks."""
-    ranks, pattern = shared.value
-    key = hash((pattern, len(ranks), tuple(list(ranks)[-64:])))
+    """One coder per worker, vocabulary and pattern, so that what it remembers serves all its tasks."""
+    key, ranks, pattern = shared.value
     if key not in _CODERS:
         _CODERS[key] = Coder(ranks, pattern)
     return _CODERS[key]
 
 
 def share(spark: SparkSession, ranks_path: str, pattern: str) -> Broadcast:
-    """Vocabulary and pattern for the workers; the size is the vocabulary's, whatever the corpus."""
-    return spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    """A digest of vocabulary and pattern, and both, for the workers; the size is the vocabulary's, whatever the corpus."""
+    ranks = read_ranks(ranks_path)
+    digest = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast((digest, ranks, pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

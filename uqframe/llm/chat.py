@@ -66,6 +66,11 @@ def vocabulary(mappings: tuple[Mapping, ...] = MAPPINGS) -> list[str]:
     return sorted(set().union(*(m.paths() for m in mappings)))
 
 
+def by_rank(mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    """The order in which mappings are tried where several fit: those of more paths first, else as they are listed."""
+    return sorted(mappings, key=lambda m: -len(m.paths()))
+
+
 def fingerprint(paths: Column) -> Column:
     """Hash of an array of paths, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
@@ -113,11 +118,15 @@ def _message(m: Mapping):
 
 
 def turns_of_json(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Canonical turns of a JSON record by the mapping its fingerprint selects; null for an unknown layout."""
+    """Canonical turns of a JSON record by the mapping whose fingerprint its paths have; null for an unknown layout.
+
+    A mapping looks at its own paths only, so a record may have fields of other layouts besides. Where several
+    mappings fit, ``by_rank`` decides.
+    """
     v = F.try_parse_json(record)
-    found = fingerprint(json_paths(record, mappings))
+    present = json_paths(record, mappings)
     out = F.lit(None).cast(TURNS)
-    for m in mappings:
+    for m in reversed(by_rank(mappings)):
         if m.kind == "messages":
             rows = F.try_variant_get(v, f"$.{m.source}", "array<map<string,string>>")
             turns = F.transform(rows, _message(m))
@@ -129,22 +138,24 @@ def turns_of_json(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> C
             turns = F.array_compact(F.array(*parts))
         else:
             continue
-        out = F.when(found == fingerprint_of(m), turns).otherwise(out)
+        own = F.array_intersect(present, F.array(*[F.lit(p) for p in sorted(m.paths())]))
+        out = F.when(fingerprint(own) == fingerprint_of(m), turns).otherwise(out)
     return out
 
 
 def turns_of_rows(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Rows of one turn each, gathered by their key: key and ``turns``.
 
-    The fingerprint of the frame's own field paths selects the mapping; extra columns are ignored. Turns stand in the
+    The fingerprint of the frame's field paths selects the mapping, each mapping by its own paths; extra columns are
+    ignored, also those that other mappings name. Turns stand in the
     order of the order column, ties by role and text, nulls first. Null roles and texts are empty. Rows with a null key
     are one conversation. A conversation is as large as the text it becomes, and is held by one task as that text.
     """
-    known = [p for p in sorted(set(field_paths(df.schema))) if p in vocabulary(mappings)]
-    named = hashlib.sha256("\n".join(known).encode()).hexdigest()
-    m = next((m for m in mappings if m.kind == "rows" and hashlib.sha256("\n".join(sorted(m.paths())).encode()).hexdigest() == named), None)
+    have = set(field_paths(df.schema))
+    named = lambda paths: hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+    m = next((m for m in by_rank(mappings) if m.kind == "rows" and named(have & m.paths()) == named(m.paths())), None)
     if m is None:
-        raise ValueError(f"no mapping of rows fits the fields {known}")
+        raise ValueError(f"no mapping of rows fits the fields {sorted(have & set(vocabulary(mappings)))}")
     own = df.select(F.col(m.source), F.struct(F.col(m.order).alias("order"), _role(F.col(m.role), m.aliases).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text")).alias("turn_"))
     return own.groupBy(m.source).agg(F.sort_array(F.collect_list("turn_")).alias("t")).select(m.source, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 

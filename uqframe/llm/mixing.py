@@ -3,9 +3,10 @@
 Shares of the sources' tokens are raised to an exponent and normalised. The exponent is bisected: as near to 1 as it
 may be while the weights reach the target entropy, and never so small that a source is repeated more often than the
 limit. A budget of tokens times a weight is what a source gives: whole passes over it, then a part of one more pass.
-Each pass is a permutation: blocks of rows by their hash, rows within blocks by theirs. The last pass takes blocks in
-that order until the budget is met and ends inside one block. Where it ends is two numbers a source, so every row
-decides for itself how often it is drawn, where it is read.
+Each pass is a permutation of its own: blocks of rows in the order of a hash of block and pass, rows within a block in
+the order of a hash of row and pass. The last pass takes blocks in its order until the budget is met and ends inside one
+block. Where it ends is two numbers a source, so every row decides for itself how often it is drawn, and where, when it
+is read. Shares and budgets count words.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _name(source: Column) -> Column:
 
 
 def _row_hash(key: str, text: str) -> Column:
-    """The hash that orders a row within its block."""
+    """A row's own hash: it deals rows into blocks, and orders them within a block once a pass is mixed in."""
     return _order("row", F.col(key), F.xxhash64(text))
 
 
@@ -119,7 +120,8 @@ def draw_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text
     made += [(t.s, 0, 1, 0.0, 0, 1, 0) for t in totals if t.tokens == 0]
     sources = spark.createDataFrame(made, "s string, tokens long, blocks long, weight double, budget long, passes long, rest long")
     # the last pass: blocks in permuted order until the rest of the budget is met, then rows of that block
-    placed = rows.join(F.broadcast(sources), "s").where("rest > 0").select("s", "n", "row_hash", "rest", _block(F.col("s"), F.col("row_hash"), F.col("blocks")).alias("block_hash"))
+    last_pass = rows.join(F.broadcast(sources), "s").where("rest > 0")
+    placed = last_pass.select("s", "n", "rest", _block(F.col("s"), F.col("row_hash"), F.col("blocks"), F.col("passes")).alias("block_hash"), _place(F.col("row_hash"), F.col("passes")).alias("row_hash"))
     per_block = cut(placed.groupBy("s", "block_hash").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), "mixing-blocks")
     upto = per_block.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("block_hash")))
     last = upto.where("upto >= rest and upto - n < rest").select("s", "block_hash", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
@@ -130,21 +132,29 @@ def draw_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text
     return sources.join(ends, "s", "left"), plan
 
 
-def _block(s: Column, row_hash: Column, blocks: Column) -> Column:
-    """The hash that orders the row's block among the blocks of its source."""
-    return _order("block", s, F.pmod(F.xxhash64(row_hash), blocks))
+def _block(s: Column, row_hash: Column, blocks: Column, pass_: Column) -> Column:
+    """The hash that orders the row's block among the blocks of its source in a pass."""
+    return _order("block", s, F.pmod(F.xxhash64(row_hash), blocks), pass_)
+
+
+def _place(row_hash: Column, pass_: Column) -> Column:
+    """The hash that orders the row within its block in a pass."""
+    return _order("place", row_hash, pass_)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, entropy: float = ENTROPY, most_passes: float = MOST_PASSES) -> DataFrame:
-    """Each row of ``docs`` as often as it is drawn, with ``__pass`` (from 0): all columns of ``docs`` and that one.
+    """Each row of ``docs`` as often as it is drawn: all its columns, ``__pass`` (from 0), ``__block`` and ``__row``.
 
-    A null source is a source of its own. Equal rows have equal hashes and are drawn alike. The row at which a budget
+    Sorted by pass, block and row, a source's rows stand in the order in which they are drawn; no job need sort them to
+    know it. A null source is a source of its own. Equal rows have equal hashes and are drawn alike. The row at which a budget
     is met is drawn whole, so a source exceeds its budget by less than one row and its equals.
     """
     plan, _ = draw_plan(docs, key, source, text, budget, entropy, most_passes)
     small = plan.select(F.col("s").alias("__s"), F.col("blocks").alias("__blocks"), F.col("passes").alias("__passes"), F.col("end_block").alias("__end_block"), F.col("end_row").alias("__end_row"))
     own = docs.withColumns({"__s": _name(F.col(source)), "__row": _row_hash(key, text)})
-    at = _block(F.col("__s"), F.col("__row"), F.col("__blocks"))
-    taken = (at < F.col("__end_block")) | ((at == F.col("__end_block")) & (F.col("__row") <= F.col("__end_row")))
+    at = lambda p: _block(F.col("__s"), F.col("__row"), F.col("__blocks"), p)
+    last_block, last_row = at(F.col("__passes")), _place(F.col("__row"), F.col("__passes"))
+    taken = (last_block < F.col("__end_block")) | ((last_block == F.col("__end_block")) & (last_row <= F.col("__end_row")))
     drawn = own.join(F.broadcast(small), "__s").withColumn("__n", F.col("__passes") + F.coalesce(taken, F.lit(False)).cast("long"))
-    return drawn.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__pass"))
+    passes = drawn.where("__n > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return passes.select(*docs.columns, "__pass", at(F.col("__pass")).alias("__block"), _place(F.col("__row"), F.col("__pass")).alias("__row"))

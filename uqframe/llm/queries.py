@@ -16,7 +16,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", F.col("__pass").alias("pass"), mixing.token_count(F.col("text")).alias("n_tokens"))
+    return mixing.mix(docs).select("doc_id", "source", F.col("__pass").alias("pass"), F.col("__block").alias("block_order"), F.col("__row").alias("row_order"), mixing.token_count(F.col("text")).alias("n_words"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 #: Bytes of one read range, and bytes read ahead at a time.
 SPLIT, CHUNK = 4 << 20, 1 << 20
-#: Headers end within so many inflated bytes, or a candidate isn't a record.
-MOST_HEADER = 1 << 20
+#: Payload bytes that a task gathers before it hands them on.
+BATCH = 32 << 20
 #: Records of a written file.
 FILE_RECORDS = 4_000
 
@@ -75,24 +75,18 @@ class _Bytes:
 
 
 def _head(data: _Bytes, offset: int) -> bool:
-    """True if the gzip member at ``offset`` inflates to a version line and an end of headers."""
+    """True if the gzip member at ``offset`` inflates to a version line; its headers may be of any length."""
     inflater, out, at = zlib.decompressobj(31), b"", offset
     try:
-        while len(out) < MOST_HEADER:
+        while len(out) < 10 and not inflater.eof:
             raw = data.at(at, 4096)
             if not raw:
                 return False
-            out += inflater.decompress(raw, MOST_HEADER)
+            out += inflater.decompress(raw, 16)
             at += len(raw)
-            if len(out) >= 10 and not out.startswith(VERSIONS):
-                return False
-            if b"\r\n\r\n" in out:
-                return True
-            if inflater.eof:
-                return False
     except zlib.error:
         return False
-    return False
+    return out.startswith(VERSIONS)
 
 
 def _member(data: _Bytes, offset: int) -> tuple[bytes, int] | None:
@@ -196,16 +190,21 @@ def read(spark: SparkSession, folder: str, files: DataFrame | None = None, split
     """One row a record (SCHEMA) of ``files`` (path, bytes; all of ``folder`` if not given), by byte ranges of ``split`` bytes.
 
     ``payload`` is the block behind its HTTP head, empty for a revisit. ``payload_bytes`` and ``payload_digest`` are of the full payload:
-    computed for a response, taken from the headers for a revisit. Bytes that aren't a whole record are skipped.
+    computed for a response, taken from the headers for a revisit. Bytes that aren't a whole record are skipped. A
+    whole archive that stands uncompressed inside a record's payload can't be told from records of the file by a task
+    that starts inside it. A payload must fit a cell (2 GB).
     """
     sizes = (listed(spark, folder) if files is None else files).select("path", F.col("bytes").alias("size"))
     ranges = sizes.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = file_system(folder)
+        kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        columns = [c.split() for c in SCHEMA.split(", ")]
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[k]) for c, k in columns], names=list(rows))
         for batch in batches:
             for r in batch.to_pylist():
-                rows: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
+                rows, held = {c: [] for c, _ in columns}, 0
                 with own.open_input_file(r["path"]) as f:
                     for offset, h, block in records_in(_Bytes(f, r["size"]), r["start"], min(r["start"] + split, r["size"])):
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -216,8 +215,11 @@ def read(spark: SparkSession, folder: str, files: DataFrame | None = None, split
                         whole = kind != "revisit"
                         for c, v in zip(rows, (*values, digest(payload) if whole else h.get("warc-payload-digest", "").rpartition(":")[2], len(payload) if whole else length, payload)):
                             rows[c].append(v)
-                kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[k]) for c, k in (x.split() for x in SCHEMA.split(", "))], names=list(rows))
+                        held += len(payload) + len(h.get("warc-target-uri", ""))
+                        if held >= BATCH:
+                            yield packed(rows)
+                            rows, held = {c: [] for c, _ in columns}, 0
+                yield packed(rows)
 
     n = ranges.count()
     return ranges.repartition(max(1, min(n, 20_000)), "path", "start").mapInArrow(run, SCHEMA)
