@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import cut
+from uqframe.llm.common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
     now, before = cut(e, name), None
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False), name)
+        last = now
+        now = cut(_star(_star(last, True), False), name)
+        discard(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))

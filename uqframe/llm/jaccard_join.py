@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from uqframe.llm.common import cut
+from uqframe.llm.common import cut, discard
 from uqframe.llm.components import connected_components
 
 #: Words in a shingle, and the least similarity in percent.
@@ -395,7 +395,9 @@ class _Join:
         sets = cut(texts.mapInArrow(lambda it: indexer.sets(it, wanted), "node bigint, tokens array<bigint>"), "sets")
         left, right = (sets.select(F.col("node").alias(s), F.col("tokens").alias(t)) for s, t in (("a", "x"), ("b", "y")))
         shared = F.size(F.array_intersect("x", "y"))
-        return cut(likely.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+        links = cut(likely.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+        discard(likely, sets)
+        return links
 
     def listed(self, k: int, nodes: DataFrame | None = None) -> DataFrame:
         """Rows (entry, node, about, leader) of entries with several nodes; combinations of k tokens of ``nodes`` alone, if given.
@@ -458,11 +460,14 @@ def joined(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     k, several = LEAST_K, join.listed(LEAST_K)
     labels = connected_components(join.verified(join.stars(several)))
     rest, pairs = join.open_rows(several, labels), []
+    discard(several)
     heavy = (F.col("pairs") > CROWDED) & (F.col("about") != 0)  # only what combinations find is found by longer ones
     while k < MOST_K and not (crowded := rest.where(heavy)).isEmpty():
         k += 1
         pairs.append(join.pairs(rest.where(~heavy)))
-        rest = join.open_rows(join.listed(k, crowded.select("node").distinct()), labels)
+        several = join.listed(k, crowded.select("node").distinct())
+        rest = join.open_rows(several, labels)
+        discard(several)
     pairs.append(join.pairs(rest))
     every = pairs[0]
     for more in pairs[1:]:
@@ -470,7 +475,9 @@ def joined(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     links = join.verified(every.distinct() if len(pairs) > 1 else every)
     if not links.isEmpty():
         labels = _merged(labels, links)
-    return members.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "node").alias("c"))
+    found = cut(members.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "node").alias("c")), "joined")
+    discard(scanned, classes)
+    return found
 
 
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -484,7 +491,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     Null and empty texts have no shingles and link with nothing. Rows with equal shingle sets are one node, whatever
     their number; a null key is never the least one. Repeated keys are rows of their own.
     """
-    found = cut(joined(_named(docs, key, text), key_bits), "joined")
+    found = joined(_named(docs, key, text), key_bits)
     least = found.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     placed = found.where("c is not null").join(least, "c").select("doc_id", "n", "component_id")
     alone = found.where("c is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -495,7 +502,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of each component, that of the least key, all its columns as they were; rows without a key stay, and
     rows without words. Unlike texts under one key are told apart by their texts; of rows with equal key and text one stays.
     """
-    found = cut(joined(_named(docs, key, text)), "joined").where("doc_id is not null")
+    found = joined(_named(docs, key, text)).where("doc_id is not null")
     chosen = found.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
     kept = chosen.union(found.where("c is null").select("doc_id", "text_hash"))
     times = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
