@@ -35,6 +35,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def count_of(text: Column, char: str) -> Column:
+    """How often one character stands in a text."""
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def count_in(text: Column, chars: str) -> Column:
+    """How many characters of a text are among ``chars``."""
+    return F.length(F.regexp_replace(text, "[^" + "".join("\\" + c if not c.isalnum() else c for c in chars) + "]+", ""))
+
+
+def full_lines(text: Column) -> Column:
+    """The \\n-split lines that have a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
