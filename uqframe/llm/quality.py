@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import WHITE, hashes, let, words
+from uqframe.llm.common import WHITE, count_in, full_lines, hashes, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Buckets of both multinomials; the weights, one double a bucket, are all that reaches the scoring tasks.
@@ -56,12 +56,10 @@ def repeated_words(ws: Column, h: Column, width: int = 3) -> Column:
 def base_columns(text: Column) -> dict[str, Column]:
     """The counts of one text as columns; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    squeezed = F.translate(t, WHITE, "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, WHITE, "") != "")
     return {
-        "word_chars": F.length(squeezed).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "word_chars": (F.length(t) - count_in(t, WHITE)).cast("long"),
+        "n_symbols": count_in(t, SYMBOLS).cast("long"),
+        "n_dup_lines": let(full_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
 
