@@ -1,7 +1,9 @@
 """Operators against plain Python on edge cases."""
 
+import gzip
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from uqframe.functions import text as X
 from uqframe.functions import vectors as V
 from uqframe.operators import contracts, ensembles, metrics, paired, prep, ranking, resample, rules, scorer, selective, temperature, template
+from uqframe.sources import readers, shared
 
 
 def one(spark, *columns):
@@ -269,3 +272,67 @@ def test_a_hot_stratum_is_ranked_by_many_tasks(spark):
         want = {i: "train" if k < round(0.7 * len(own)) else "val" if k < round(0.85 * len(own)) else "test" for k, i in enumerate(own)}
         assert all(got[i] == v for i, v in want.items())
     assert len(got) == 4000
+
+
+def test_bounds_raise_instead_of_dropping(spark, monkeypatch):
+    values = spark.createDataFrame([(f"K{i}", "v") for i in range(6)], "key string, value string")
+    rows = spark.createDataFrame([("⟦K1⟧ and ⟦K5⟧",)], "text string")
+    assert template.fill(rows, values).head().filled == "v and v"
+    monkeypatch.setattr(template, "MOST_VALUES", 5)
+    with pytest.raises(Exception, match="more than 5 values"):
+        template.fill(rows, values).collect()
+    model = spark.createDataFrame([(i, [float(i == k) for k in range(3)]) for i in range(3)], "label int, centroid array<double>")
+    df = spark.createDataFrame([(1, [0.0, 0.0, 1.0])], "id int, embedding array<double>")
+    assert scorer.centroid_scores(df, model, "id").head().pred == 2
+    monkeypatch.setattr(scorer, "MOST_CLASSES", 2)
+    with pytest.raises(Exception, match="more than 2 classes"):
+        scorer.centroid_scores(df, model, "id").collect()
+
+
+def test_class_counts_have_all_classes(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0)], "split string, label int")
+    got = metrics.class_counts(df, ["split"], spark.range(3).select(F.col("id").cast("int").alias("label")))
+    assert sorted((r.split, r.label, r.n) for r in got.collect()) == [("a", 0, 0), ("a", 1, 2), ("a", 2, 0), ("b", 0, 1), ("b", 1, 0), ("b", 2, 0)]
+
+
+def test_values_are_cleaned_of_all_line_ends_and_illegal_characters(spark):
+    rows = [("A", "x \x85 y"), ("B", "x y"), ("C", "bad￾"), ("D", "ok")]
+    got = {r.key: (r.s, r.v) for r in spark.createDataFrame(rows, "key string, value string").select("key", template.value_state(F.col("key"), F.col("value")).alias("s"), template.clean_value(F.col("value")).alias("v")).collect()}
+    assert got["A"][1] == got["B"][1] == "x y" and got["C"][0] == "illegal character" and got["D"][0] == "ok"
+
+
+def test_sentences_equal_python_s(spark):
+    pattern = re.compile(r"(?<=[.!?])(?<!\bvs\.)(?<!\bal\.)(?<!e\.g\.)(?<!i\.e\.)(?<!\bcf\.)(?<!\bFig\.)\s+(?=[A-Z(\"“])")
+    texts = ["One. Two! Three? (four) end", "A vs. B. See Fig. 3 et al. Next. (e.g. This)", "", "no end", 'He said. "Yes." So.']
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.sentences(F.col("t")).alias("s")).collect()}
+    assert got == {t: pattern.split(t) for t in texts}
+
+
+def test_readers_round_trip(spark, tmp_path):
+    def gz(name, lines):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write("\n".join(lines) + "\n")
+
+    p = ["0.7", "0.2", "0.1"]
+    gz("preds__imgA__t1__cb__argmax.csv.gz", ["split,row_id,label,pred,p0,p1,p2", ",".join(["test", "5", "0", "0", *p])])
+    gz("preds__imgA__t1__cb__pgs.csv.gz", ["split,row_id,label,pred,p0,p1,p2,mi,pred_entropy,exp_entropy,prob_std,q0,q1,q2,pred_loglin", ",".join(["val", "6", "1", "0", *p, "0.1", "0.5", "0.4", "0.02", *p, "0"])])
+    plain, pooled = (readers.read_predictions(spark, str(tmp_path), 3, mode).head() for mode in ("argmax", "pgs"))
+    assert (plain.image, plain.text, plain.checkpoint, plain.mode, plain.row_id, plain.probs, plain.mi) == ("imgA", "t1", "cb", "argmax", 5, [0.7, 0.2, 0.1], None)
+    assert (pooled.mode, pooled.split, pooled.mi, pooled.probs_loglin) == ("pgs", "val", 0.1, [0.7, 0.2, 0.1])
+    with open(tmp_path / "split.csv", "w") as f:
+        f.write('row_id,gambar,laporan,label,label_id\n1,a.png,"two ""lines"",\nhere",cat,3\n')
+    assert tuple(readers.read_split(spark, str(tmp_path / "split.csv")).head()) == (1, "a.png", 'two "lines",\nhere', "cat", 3)
+    (tmp_path / "manifest.json").write_text('{"files": [{"file": "x.csv.gz", "image": "imgA", "metrics": {"test": {"acc": 0.5}}, "reproduces_manuscript": true}]}')
+    m = readers.read_manifest(spark, str(tmp_path / "manifest.json")).head()
+    assert m.file == "x.csv.gz" and m.metrics["test"]["acc"] == 0.5 and m.reproduces_manuscript
+    assert {r.path.rsplit("/", 1)[1] for r in readers.listing(spark, str(tmp_path), "*.csv.gz").collect()} == {"preds__imgA__t1__cb__argmax.csv.gz", "preds__imgA__t1__cb__pgs.csv.gz"}
+    kept = readers.read_back(spark.createDataFrame([([0.6, 0.5], 0), ([0.2, 0.8], 0)], "probs array<double>, pred int")).head()
+    assert kept.rows == 2 and kept.off == pytest.approx(0.1) and kept.not_argmax == 1
+
+
+def test_the_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)

@@ -95,3 +95,51 @@ def clean_list(text: Column, separator: str = r"\|") -> Column:
 
 def slash_path(path: Column, prefix: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^" + prefix, "")
+
+
+#: Fixed words of small numbers, and abbreviations after which no sentence ends.
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+ABBREVIATIONS = (r"\bvs\.", r"\bal\.", r"e\.g\.", r"i\.e\.", r"\bcf\.", r"\bFig\.")
+
+
+def number_word(n: Column) -> Column:
+    """Zero to nine in words, other whole numbers with thousands separators."""
+    words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    return F.when(n.between(0, len(NUMBER_WORDS) - 1), F.get(words, n.cast("int"))).otherwise(fmt_int(n))
+
+
+def sign4(x: Column) -> Column:
+    """Four decimals behind a plus or a true minus; zero has a plus."""
+    return F.concat(F.when(x >= 0, "+").otherwise(MINUS), F.format_string("%.4f", F.abs(x)))
+
+
+def sentences(text: Column) -> Column:
+    """Parts of a text, cut after . ! ? before a capital letter, a bracket or a quotation mark, but not after an abbreviation."""
+    not_after = "".join(f"(?<!{a})" for a in ABBREVIATIONS)
+    return F.split(text, rf'(?<=[.!?]){not_after}\s+(?=[A-Z("“])')
+
+
+def tag_parts(tag: Column) -> Column:
+    """image and text of a tag ``image__text``; null if it hasn't exactly two parts that aren't empty."""
+    parts = F.split(tag, "__")
+    return F.when((F.size(parts) == 2) & ~F.array_contains(parts, ""), F.struct(F.get(parts, 0).alias("image"), F.get(parts, 1).alias("text")))
+
+
+def listed_tags(text: Column) -> Column:
+    """The tags of a list with commas: trimmed, each once, in order, empty ones left out."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def in_order(text: Column, order: tuple[str, ...]) -> Column:
+    """Which names of ``order`` a list with commas has, in that order; null for an empty list or an unknown name."""
+    asked = listed_tags(text)
+    every = F.array(*[F.lit(o) for o in order])
+    return F.when((F.size(asked) > 0) & (F.size(F.array_except(asked, every)) == 0), F.filter(every, lambda x: F.array_contains(asked, x)))
+
+
+def display_name(name: Column, names: dict[str, str]) -> Column:
+    """A name as reports show it; one that isn't known stays as it is."""
+    out = name
+    for a, b in names.items():
+        out = F.when(name == a, F.lit(b)).otherwise(out)
+    return out

@@ -76,7 +76,8 @@ def reliability(df: DataFrame, keys: list[str], bins: int = V.BINS) -> DataFrame
 def class_counts(df: DataFrame, keys: list[str], classes: DataFrame, label: str = "label") -> DataFrame:
     """Rows of each class of the dimension ``classes`` (label), absent ones as 0."""
     seen = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
-    every = seen.select(*keys).distinct().join(F.broadcast(classes.limit(10_000))) if keys else classes
+    listed = classes.agg(F.sort_array(F.collect_set(label))).scalar()  # as wide as the dimension
+    every = seen.select(*keys).distinct().select(*keys, F.explode(listed).alias(label)) if keys else classes
     return every.join(seen, [*keys, label], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of the order column; one bound of each reaches every task.
+#: Ranges of the order column, or twice the shuffle partitions where those are more; one bound of each reaches every task.
 RANGES = 64
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """``df`` with running sums over each group of ``keys`` in the order of ``order``, the row itself included.
 
     Rows are cut at quantiles of the first order column; each range of a group is summed in a window of its own and
     starts from the totals of the ranges before it, which are few. Ties of the first column stay in one range.
     """
+    ranges = ranges or max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     value = F.col(order[0]).cast("double")
     bounds = df.agg(F.array_distinct(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).alias("b")).scalar()
     # plus nothing that Spark 4.1 takes for a constant: from the definition of __r it can infer a filter for the join's

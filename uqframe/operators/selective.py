@@ -51,7 +51,7 @@ def metrics(df: DataFrame, keys: list[str], coverage: float = COVERAGE) -> DataF
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     at = F.greatest(F.lit(1), F.least(F.col("n"), F.rint(coverage * F.col("n")).cast("bigint")))
     a, b = TARGET
-    return own.join(F.broadcast(size.limit(100_000)), keys).groupBy(*keys).agg(
+    return own.join(size, keys).groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.sum((~F.col("ok")).cast("bigint")).alias("errors"),
         F.avg((F.col("k") - F.col("hits")) / F.col("k")).alias("aurc"),

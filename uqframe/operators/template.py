@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 TOKEN = "⟦([A-Z0-9_]+)(?::[^⟦⟧]*)?⟧"
 FRAGMENT = r"⟦\s*[A-Za-z0-9_]|[A-Za-z0-9_]\s*⟧"
 KEY = "^[A-Z0-9_]+$"
-ILLEGAL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
-#: Most values of one template: they are part of every row's expression.
+ILLEGAL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\uFFFE\\uFFFF]"
+#: Most values of one template, since they are part of every row's expression; more raise.
 MOST_VALUES = 5_000
 
 
@@ -21,7 +21,7 @@ def tokens(text: Column) -> Column:
 
 def clean_value(value: Column) -> Column:
     """Line breaks and tabs with the space around them become one space; ends are stripped."""
-    return F.regexp_replace(F.regexp_replace(value, r"\s*[\t\r\n]+\s*", " "), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(value, r"\s*[\t\r\n\u0085\u2028\u2029]+\s*", " "), r"^\s+|\s+$", "")
 
 
 def value_state(key: Column, value: Column) -> Column:
@@ -48,10 +48,11 @@ def fill(df: DataFrame, values: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``filled``: known tokens replaced by their values as they are, unknown ones kept.
 
     The text is cut at its tokens and each piece looked up in a map of the values, so the cost is one pass, however many
-    values there are. The values, at most MOST_VALUES, are one literal map.
+    values there are. The values are one literal map; more than MOST_VALUES raise.
     """
-    listed = usable(values).groupBy("key").agg(F.max("value").alias("value")).orderBy("key").limit(MOST_VALUES)
-    lookup = listed.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).scalar()
+    listed = usable(values).groupBy("key").agg(F.max("value").alias("value")).limit(MOST_VALUES + 1)
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    lookup = listed.agg(F.when(F.count(F.lit(1)) <= MOST_VALUES, entries).otherwise(F.raise_error(F.lit(f"more than {MOST_VALUES} values"))).alias("m")).scalar()
     pieces = F.split(F.col(text), f"(?={TOKEN.replace('(', '(?:', 1)})|(?<=⟧)")
     key = lambda p: F.regexp_extract(p, f"^{TOKEN}$", 1)
     put = lambda p: F.when(key(p) != "", F.coalesce(F.try_element_at(F.col("__m"), key(p)), p)).otherwise(p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uqframe.operators import scorer
 from uqframe.plans.base import F, POOLED, SERVED, SYS, TEST, S, V, Window, X, metrics, prep, query, r6, rounded, sql, table, template, test_rows
-from uqframe.sources import readers
+from uqframe.sources import readers, shared
 from uqframe.streaming import monitor
 
 
@@ -73,10 +73,9 @@ def status_counts(spark, sf_dir):
 @query(TEST + "SELECT image, checkpoint, mode, round(avg(ok), 4) AS accuracy FROM rows_ WHERE mode = 'pgs' GROUP BY ALL")
 def read_back_parquet(spark, sf_dir):
     """Write the pooled systems as a partitioned table into the shared folder, read it, and use what was read."""
-    import tempfile
     import uuid
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="uqframe-")).rstrip("/") + f"/predictions-{uuid.uuid4().hex}"
+    folder = f"{shared.shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
     readers.write_predictions(test_rows(spark, sf_dir).where("mode = 'pgs'"), folder)
     return metrics.accuracy(spark.read.parquet(folder), SYS).select(*SYS, F.round("accuracy", 4).alias("accuracy"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from uqframe.functions import vectors as V
 from uqframe.operators import ensembles
+from uqframe.sources import shared
 
 CLASSES = 9
 MEMBERS = 8
@@ -20,6 +21,7 @@ IMAGES = (("imgA", 17, 65537), ("imgB", 101, 70001), ("imgC", 977, 81001))
 #: Checkpoints and the factor of their logits.
 CHECKPOINTS = (("cb", 0.93), ("pgs", 1.0))
 SYSTEM = ["image", "checkpoint", "mode"]
+COLUMNS = ["image", "text", "checkpoint", "mode", "split", "row_id", "label", "pred", "probs", "mi", "pred_entropy", "exp_entropy", "prob_std", "probs_loglin"]
 #: The systems of the analyses: all four modes of the deployed encoder, one of each other.
 SYSTEMS = tuple(("imgA", c, m) for c in ("cb", "pgs") for m in ("argmax", "pgs")) + (("imgB", "pgs", "pgs"), ("imgC", "pgs", "pgs"))
 
@@ -58,10 +60,21 @@ def member_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str, systems: tuple[tuple[str, str, str], ...] = SYSTEMS, split: str | None = None) -> DataFrame:
     """image, text, checkpoint, mode, split, row_id, label, pred, probs and, for pooled systems, the uncertainty terms.
 
-    All systems of a sample come from one scan of the samples: they are built as an array and exploded.
+    Stands for files that classifiers have written: the frame of SYSTEMS is made once a session and kept in the shared
+    folder, partitioned by system and split, so a query reads the partitions and columns that it needs.
     """
+    if not set(systems) <= set(SYSTEMS):
+        return made_predictions(spark, sf_dir, systems, split)
+    df = shared.kept(spark, "predictions", sf_dir, lambda: made_predictions(spark, sf_dir), [*SYSTEM, "split"])
+    if set(systems) != set(SYSTEMS):
+        df = df.where(F.concat_ws("/", *SYSTEM).isin(["/".join(s) for s in systems]))
+    return (df if split is None else df.where(F.col("split") == split)).select(*COLUMNS)
+
+
+def made_predictions(spark: SparkSession, sf_dir: str, systems: tuple[tuple[str, str, str], ...] = SYSTEMS, split: str | None = None) -> DataFrame:
+    """The frame, computed. All systems of a sample come from one scan of the samples: they are built as an array and exploded."""
     rows = samples(spark, sf_dir)
-    rows = rows if split is None else rows.where(F.col("split") == split)
+    rows = shared.spread(rows if split is None else rows.where(F.col("split") == split), "row_id")
     images, factors = {i: (a, b) for i, a, b in IMAGES}, dict(CHECKPOINTS)
     made = []
     for image, checkpoint, mode in systems:
