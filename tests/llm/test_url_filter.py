@@ -1,7 +1,6 @@
-"""URL filter: hosts, paths and rules against plain Python; the models against unhashed ones."""
+"""URL filter: hosts, paths and rules against plain Python; the models against dictionaries."""
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from uqframe.llm import url_filter as uf
@@ -68,27 +67,60 @@ def labelled_urls():
     return [(f"http://{word('abcdef')}.org/{word('abc')}", 1) for _ in range(60)] + [(f"http://{word('uvwxyz')}.biz/{word('123')}", 0) for _ in range(60)]
 
 
-def test_models_equal_unhashed_ones(monkeypatch):
-    monkeypatch.setattr(uf, "SLOTS", 1 << 22)  # so large that hardly two contexts share a slot
+def scores_of(spark, rows, urls, head=uf.HEAD):
+    """Score of each of ``urls`` by models of ``rows`` (url, good)."""
+    seen = [(None, *r) for r in rows] + [(i, u, None) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(seen, "id int, url string, good int")
+    ratios = uf.log_ratios(uf.gather(df))
+    return {r.id: r.score for r in uf.scored(df, ratios, head=head).where("id is not null").collect()}
+
+
+@pytest.mark.parametrize("head", [uf.HEAD, 40, 1])
+def test_scores_equal_models_kept_in_dictionaries(spark, head, monkeypatch):
+    monkeypatch.setattr(uf, "PORTION", 50)
     rows = labelled_urls()
-    batch = pa.RecordBatch.from_pydict({"url": [u for u, _ in rows], "good": [g for _, g in rows]})
-    sums, kinds = np.zeros((4, uf.SLOTS), np.int64), np.zeros((2, uf.SLOTS), np.int64)
-    for b in uf._count(iter([batch])):
-        sums[b["part"].to_numpy(), b["slot"].to_numpy()] = b["n"].to_numpy()
-    for b in uf._kinds(iter([batch])):
-        np.add.at(kinds, (b["c"].to_numpy(), b["context"].to_numpy()), 1)
-    model, score = uf.Model(sums[[1, 3]], sums[[0, 2]], kinds), unhashed(*zip(*rows))
-    for u in [*(u for u, _ in rows), "http://new.org/", "é", "x"]:
-        assert model.score(u.encode()) == pytest.approx(score(u), abs=0.005)
-    assert model.score(b"") == 0.0
+    urls = [*(u for u, _ in rows), "http://new.org/", "é\x00", "x", "", None, "http://new.org/", "http://" + "ab" * 3000]
+    got, score = scores_of(spark, rows, urls, head), unhashed(*zip(*rows))
+    for i, u in enumerate(urls):
+        assert got[i] == pytest.approx(score(u or ""), abs=1e-9)
+
+
+def test_one_class_or_none(spark):
+    rows = [(u, g) for u, g in labelled_urls() if g]
+    score = unhashed(*zip(*rows))
+    assert scores_of(spark, rows, ["http://a.org/b"])[0] == pytest.approx(score("http://a.org/b"), abs=1e-9)
+    assert scores_of(spark, [], ["http://a.org/b"])[0] == 0.0
 
 
 def test_the_fit_tells_labels_apart(spark):
     rows = labelled_urls()
-    model = uf.fit(spark.createDataFrame(rows, "url string, good int"))
-    score = unhashed(*zip(*rows))
-    for u, good in rows:
-        assert (model.score(u.encode()) >= model.threshold) == bool(good) == (score(u) >= 0)
+    got, score = scores_of(spark, rows, [u for u, _ in rows]), unhashed(*zip(*rows))
+    t = uf.threshold_of(spark.createDataFrame([(g, got[i]) for i, (_, g) in enumerate(rows)], "good int, score double"))
+    for i, (u, good) in enumerate(rows):
+        assert (got[i] >= t) == bool(good) == (score(u) >= 0)
+
+
+def test_verdicts_without_a_rule_equal_brute_force(spark, sf_dir):
+    """Every page of the table: the query's scores and verdicts against dictionaries and a threshold tried at every bin edge."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    held = {r.page_id for r in pages.where(f"pmod(xxhash64(url), {uf.CALIBRATION_SHARE}) = 0").collect()}
+    url = {r.page_id: r.url for r in pages.collect()}
+    rule = {i: plain(u)[3] for i, u in url.items()}
+    teach = [(url[i], int(v == "allow")) for i, v in rule.items() if v and i not in held]
+    score = unhashed(*zip(*teach))
+    got = {r.page_id: r for r in uf.judge(pages, head=200).collect()}
+    own = {i: score(u) for i, u in url.items()}
+    for i in url:
+        assert got[i].score == pytest.approx(own[i], abs=1e-9)
+    tried = [(own[i], rule[i] == "allow") for i in held if rule[i]]
+    edges = [k * 2 * uf.LIMIT / uf.BINS - uf.LIMIT for k in range(uf.BINS + 1)]
+    good, bad = max(sum(a for _, a in tried), 1), max(sum(not a for _, a in tried), 1)
+    right = lambda t: sum(a for s, a in tried if s >= t) / good + sum(not a for s, a in tried if s < t) / bad
+    top = max(map(right, edges))
+    t = min((e for e in edges if right(e) > top - 1e-9), key=abs) if {a for _, a in tried} == {True, False} else 0.0
+    for i, r in got.items():
+        if rule[i] is None and abs(own[i] - t) > 1e-6:
+            assert r.verdict == ("allow" if own[i] >= t else "block")
 
 
 def test_calibration_takes_the_best_balanced_accuracy():

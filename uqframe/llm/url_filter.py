@@ -1,28 +1,36 @@
 """URL filter: rules by host and path, and for all other URLs a ratio of two character language models.
 
-One variable-order Markov model is counted over the URLs that rules allow, one over those that rules block. Contexts of
-0 to ``ORDER`` bytes are hashed into tables of a fixed size; a byte's probability mixes all orders by Witten-Bell
-smoothing, from the uniform distribution up. A URL's score is its log-likelihood difference per byte. The threshold is
-calibrated on labelled URLs that were held out of the counts: the one of best balanced accuracy.
-Counting and calibration are sums over all labelled rows; only tables of fixed size reach the driver and the tasks.
+One variable-order Markov model is counted over the URLs that rules allow, one over those that rules block. A byte's
+probability mixes contexts of 0 to ``ORDER`` bytes by Witten-Bell smoothing, from the uniform distribution up. A URL's
+score is its log-likelihood difference per byte. The threshold is calibrated on labelled URLs that were held out of the
+counts: the one of best balanced accuracy.
+
+Counts are exact and grow with the URLs: a byte with its context is one number, not a hash, and the counts, the shorter
+contexts that follow from them and the log ratio of every such number are tables in Spark. The commonest ``HEAD``
+numbers are broadcast and summed where a URL is read; only the rare rest of a URL is joined, so no key of that join,
+number or URL, is on more than a 1 / ``HEAD`` part of all bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import ascii_lower
+from uqframe.llm.common import ascii_lower, cut, discard
 
 #: Longest context in bytes.
 ORDER = 4
-#: Slots of each hashed table: two classes, three tables (byte after context, context, kinds of bytes after it).
-SLOTS = 1 << 18
+#: A symbol is a byte plus 1, or 0 before the start; a byte and its context are ORDER + 1 symbols in one number.
+SYMBOL_BITS = 9
+#: At most so many (number, log ratio) are broadcast: 16 bytes each.
+HEAD = 1 << 18
+#: URLs are cut into numbers in portions of about so many bytes.
+PORTION = 1 << 20
 #: One labelled URL in this many calibrates, the others are counted.
 CALIBRATION_SHARE = 5
 #: Score bins for the calibration, from -LIMIT to LIMIT.
@@ -59,97 +67,74 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return out
 
 
-def _hashes(url: bytes, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of every context, and of every byte after its context: arrays (order + 1, bytes)."""
-    b = np.frombuffer(url, np.uint8).astype(np.uint64) + np.uint64(1)
-    n = len(b)
-    contexts, pairs = np.empty((order + 1, n), np.int64), np.empty((order + 1, n), np.int64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for o in range(order + 1):
-            if o:  # one byte further back; before the start stands 0
-                back = np.zeros(n, np.uint64)
-                back[o:] = b[: n - o] if o < n else b[:0]
-                h = (h ^ back) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(o)
-            contexts[o] = (_mix(h) % np.uint64(SLOTS)).astype(np.int64)
-            pairs[o] = (_mix(h * np.uint64(257) + b) % np.uint64(SLOTS)).astype(np.int64)
-    return contexts, pairs
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
-
-
-@dataclass
-class Model:
-    """Counts of two classes (0 rejected, 1 accepted): byte after context, context, distinct bytes after context."""
-
-    pairs: np.ndarray
-    contexts: np.ndarray
-    kinds: np.ndarray
-    threshold: float = 0.0
-
-    def score(self, url: bytes) -> float:
-        """Log-likelihood of accepted minus rejected per byte; 0 for an empty URL."""
-        if not url:
-            return 0.0
-        at, after = _hashes(url)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(url), 1 / 256)
-            for o in range(len(at)):
-                kinds = self.kinds[c][at[o]]
-                total = self.contexts[c][at[o]] + kinds
-                p = np.where(total > 0, (self.pairs[c][after[o]] + kinds * p) / np.maximum(total, 1), p)
-            logs.append(np.log(p).sum())
-        return float((logs[1] - logs[0]) / len(url))
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of the URLs with its context as a number, and the lengths of the URLs."""
+    lengths = np.array([len(u) for u in urls], dtype=np.int64)
+    b = np.array(bytearray(b"".join(urls)), dtype=np.int64) + 1
+    place = np.arange(len(b)) - np.repeat(lengths.cumsum() - lengths, lengths)
+    out = b.copy()
+    for o in range(1, ORDER + 1):
+        back = np.zeros_like(b)
+        back[o:] = b[:-o]
+        out |= np.where(place >= o, back, 0) << (SYMBOL_BITS * o)
+    return out, lengths
+
+
+def _portions(urls: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and URLs of each portion, null as empty."""
+    first, own, size = 0, [], 0
+    for i, u in enumerate(urls):
+        own.append((u or "").encode())
+        size += len(own[-1])
+        if size >= PORTION:
+            yield first, own
+            first, own, size = i + 1, [], 0
+    if own:
+        yield first, own
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task: (table, slot, n) with n > 0. Table is 2 * class for contexts, 2 * class + 1 for pairs."""
-    sums = np.zeros((4, SLOTS), np.int64)
+    """(gram, n, c0, c1) of each portion: occurrences in all URLs, in counted rejected ones and in counted accepted ones."""
     for batch in batches:
-        for url, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, after = _hashes(url.encode())
-            np.add.at(sums[2 * good], at.ravel(), 1)
-            np.add.at(sums[2 * good + 1], after.ravel(), 1)
-    for k in range(4):
-        slot = np.flatnonzero(sums[k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k, np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[k][slot])], names=["part", "slot", "n"])
+        good = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+        for first, urls in _portions(batch.column(0).to_pylist()):
+            found, lengths = grams(urls)
+            own, at = np.unique(found, return_inverse=True)
+            of = np.repeat(good[first : first + len(urls)], lengths)
+            counts = [np.bincount(at[m], minlength=len(own)).astype(np.int64) for m in (slice(None), of == 0, of == 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, *counts)], names=["gram", "n", "c0", "c1"])
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (class, context slot, pair slot) of one task."""
-    for batch in batches:
-        seen = [[], []]
-        for url, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, after = _hashes(url.encode())
-            seen[good].append(at.ravel() * SLOTS + after.ravel())
-        for c in (0, 1):
-            both = np.unique(np.concatenate(seen[c])) if seen[c] else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), c, np.int32)), pa.array((both // SLOTS).astype(np.int32)), pa.array((both % SLOTS).astype(np.int32))], names=["c", "context", "pair"])
-
-
-def fit(labelled: DataFrame) -> Model:
-    """Models and threshold from ``url`` and ``good`` (0 or 1). A class without URLs has empty tables: scores then only
-    say how likely the other class finds a URL. Without labelled URLs every score is 0 and every URL is allowed.
+def gather(urls: DataFrame) -> DataFrame:
+    """gram, n, c0, c1 of all ``urls`` (url, good): good is 0 or 1 where a URL teaches, null where it is only to be scored."""
+    return urls.select("url", F.col("good").cast("int")).mapInArrow(_count, "gram bigint, n bigint, c0 bigint, c1 bigint").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "c0", "c1")])
+
+
+def _symbols(k: int) -> Column:
+    """The last k symbols of ``gram``."""
+    return F.col("gram").bitwiseAND(F.lit((1 << SYMBOL_BITS * k) - 1))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """gram, n, w of each gram of ``gather``: log-likelihood of accepted minus rejected of its byte after its context.
+
+    Counts of shorter contexts are sums over longer ones. A context that one class has never seen passes on the
+    probability of the next shorter one; a class without URLs has the uniform distribution. A context of any length
+    has at most 256 bytes after it, and a shorter one at most 257 longer ones by one symbol: no join has a hot key.
     """
-    held = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION_SHARE)) == 0
-    counted = labelled.where(~held).select("url", "good")
-    sums = counted.mapInArrow(_count, "part int, slot int, n bigint").groupBy("part", "slot").agg(F.sum("n").alias("n")).toPandas()
-    kinds = counted.mapInArrow(_kinds, "c int, context int, pair int").distinct().groupBy("c", "context").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    tables = np.zeros((4, SLOTS), np.int64)
-    tables[sums["part"].to_numpy(), sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    several = np.zeros((2, SLOTS), np.int64)
-    several[kinds["c"].to_numpy(), kinds["context"].to_numpy()] = kinds["n"].to_numpy()
-    model = Model(tables[[1, 3]], tables[[0, 2]], several)
-    bins = scored(labelled.where(held), model).select("good", F.least(F.greatest(F.floor((F.col("score") + LIMIT) / (2 * LIMIT) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin"))
-    found = bins.groupBy("bin", "good").count().toPandas()
-    per = np.zeros((2, BINS + 1))
-    per[found["good"].to_numpy(), found["bin"].to_numpy()] = found["count"].to_numpy()
-    model.threshold = best_threshold(per)
-    return model
+    known = None
+    for o in range(ORDER + 1):
+        pairs = counts.groupBy(_symbols(o + 1).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "c0", "c1")])
+        seen = [a for c in ("0", "1") for a in (F.sum(f"c{c}").alias(f"t{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}"))]
+        contexts = pairs.groupBy(F.shiftright("gram", SYMBOL_BITS).alias("context")).agg(*seen)
+        at = pairs.join(contexts, F.shiftright("gram", SYMBOL_BITS) == F.col("context"))
+        if known is None:
+            at = at.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            at = at.join(known.select(F.col("gram").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), _symbols(o) == F.col("shorter"))
+        mixed = [F.coalesce((F.col(f"c{c}") + F.col(f"k{c}") * F.col(f"q{c}")) / F.nullif(F.col(f"t{c}") + F.col(f"k{c}"), F.lit(0)), F.col(f"q{c}")).alias(f"p{c}") for c in (0, 1)]
+        known = at.select("gram", "n", *mixed)
+    return known.select("gram", "n", (F.ln("p1") - F.ln("p0")).alias("w"))
 
 
 def best_threshold(per: np.ndarray) -> float:
@@ -163,27 +148,63 @@ def best_threshold(per: np.ndarray) -> float:
     return float(edges[best[np.abs(edges[best]).argmin()]])
 
 
-def scored(df: DataFrame, model: Model, url: str = "url") -> DataFrame:
-    """``df`` with ``score``; rows are scored where they are read, null URLs as empty. A column of that name is replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(urls):
-        import pandas as pd
-
-        return pd.Series([shared.value.score((u or "").encode()) for u in urls], dtype="float64")
+def threshold_of(scores: DataFrame) -> float:
+    """The calibrated threshold of ``scores`` (good, score), which the counts have not seen."""
+    bin_ = F.least(F.greatest(F.floor((F.col("score") + LIMIT) / (2 * LIMIT) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    found = scores.groupBy(bin_.alias("bin"), "good").count().toPandas()
+    per = np.zeros((2, BINS + 1))
+    per[found["good"].to_numpy(), found["bin"].to_numpy()] = found["count"].to_numpy()
+    return best_threshold(per)
 
-    return df.withColumn("score", F.pandas_udf(run, "double")(F.col(url)))
 
+def scored(df: DataFrame, ratios: DataFrame, url: str = "url", head: int = HEAD) -> DataFrame:
+    """``df`` with ``score``, the mean log ratio of a URL's bytes to 12 decimals; 0 for null and empty URLs.
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+    A column of that name is replaced. A gram that is not among ``ratios`` (gram, n, w) weighs 0.
+    """
+    total = ratios.agg(F.sum("n")).head()[0] or 0
+    common = ratios.where(F.col("n") >= total // head + 1).select("gram", "w").toPandas().sort_values("gram")  # at most ``head`` rows
+    shared = df.sparkSession.sparkContext.broadcast((np.append(common["gram"].to_numpy(np.int64), -1), np.append(common["w"].to_numpy(np.float64), 0.0)))
+
+    def run(urls: pd.Series) -> pd.DataFrame:
+        known, weight = shared.value
+        rows = []
+        for _, own in _portions(list(urls)):
+            found, lengths = grams(own)
+            at = np.searchsorted(known[:-1], found)
+            rare, w, ends = known[at] != found, weight[at], lengths.cumsum()
+            w[rare] = 0.0
+            rows += [(n, w[e - n : e].sum(), found[e - n : e][rare[e - n : e]]) for n, e in zip(lengths.tolist(), ends.tolist())]
+        return pd.DataFrame(rows, columns=["bytes", "sum", "rare"])
+
+    text = F.col(url)
+    named = [F.xxhash64(text).alias("__h"), F.xxhash64(text, F.lit(1)).alias("__i")]
+    columns = [F.col(c) for c in df.columns if c != "score"]
+    parts = cut(df.select(*columns, *named, F.pandas_udf(run, "bytes bigint, sum double, rare array<bigint>")(text).alias("__p")), "url-parts")
+    score = lambda more: F.round(F.coalesce((F.col("__p.sum") + more) / F.nullif(F.col("__p.bytes"), F.lit(0)), F.lit(0.0)), 12).alias("score")
+    few = parts.where(F.size("__p.rare") > 0)
+    asked = few.dropDuplicates(["__h", "__i"]).select("__h", "__i", F.explode("__p.rare").alias("gram"))
+    sums = asked.join(ratios.select("gram", "w"), "gram").groupBy("__h", "__i").agg(F.sum("w").alias("__w"))
+    joined = few.join(sums, ["__h", "__i"], "left").select(*columns, score(F.coalesce("__w", F.lit(0.0))))
+    return parts.where(F.size("__p.rare") == 0).select(*columns, score(F.lit(0.0))).union(joined)
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url", head: int = HEAD) -> DataFrame:
     """Per row: key, host, path, rule, verdict, score. The models learn from the URLs that rules decide.
 
-    Repeated rows and null keys are judged each; a tie with the threshold is allowed; null URLs are empty texts.
+    Repeated rows and null keys are judged each; a tie with the threshold is allowed; null URLs are empty texts. Where
+    rules decide no URL, every score is 0 and every other URL is allowed; where they decide one way only, the scores
+    say how much likelier that class finds a URL than the uniform distribution does, and the threshold is 0.
     """
     host, path = host_and_path(F.col("u"))
     own = pages.select(F.col(key).alias("k"), F.col(url).alias("u")).withColumns({"host": host, "path": path})
     own = own.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
-    labelled = own.where("m is not null and u is not null").select(F.col("u").alias("url"), (F.col("m.verdict") == "allow").cast("int").alias("good"))
-    model = fit(labelled)
-    by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
-    return scored(own, model, "u").select(F.col("k").alias(key), "host", "path", F.col("m.rule").alias("rule"), F.coalesce(F.col("m.verdict"), by_model).alias("verdict"), "score")
+    held = F.pmod(F.xxhash64("u"), F.lit(CALIBRATION_SHARE)) == 0
+    good = F.when(F.col("m").isNotNull() & F.col("u").isNotNull(), (F.col("m.verdict") == "allow").cast("int"))
+    counts = cut(gather(own.select(F.col("u").alias("url"), F.when(~held, good).alias("good"))), "url-grams")
+    ratios = cut(log_ratios(counts), "url-ratios")
+    done = cut(scored(own, ratios, "u", head), "url-scores")
+    discard(counts, ratios)
+    threshold = threshold_of(done.where(held).select(good.alias("good"), "score").where("good is not null"))
+    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return done.select(F.col("k").alias(key), "host", "path", F.col("m.rule").alias("rule"), F.coalesce(F.col("m.verdict"), by_model).alias("verdict"), "score")
