@@ -220,7 +220,8 @@ def test_resampled_auroc_and_f1_are_the_reference_s(spark):
     drawn = rng.integers(0, 300, (2000, 300))
     for got, want in (
         (resample.interval(resample.auroc_resamples(df, ["g"], 2000, blocks=6), [], "auroc").head(), [auroc(i) for i in drawn]),
-        (resample.interval(resample.macro_f1_delta_resamples(preds, 4, 2000), [], "v").head(), [macro(label[i], b[i]) - macro(label[i], a[i]) for i in drawn]),
+        (resample.interval(resample.paired_resamples(preds, [], 4, 2000), [], "d_macro_f1").head(), [macro(label[i], a[i]) - macro(label[i], b[i]) for i in drawn]),
+        (resample.interval(resample.paired_resamples(preds, [], 4, 2000), [], "d_accuracy").head(), [(a == label)[i].mean() - (b == label)[i].mean() for i in drawn]),
     ):
         lo, hi = np.quantile(want, [0.025, 0.975])
         assert abs(got.lo - lo) < 0.1 * (hi - lo) and abs(got.hi - hi) < 0.1 * (hi - lo)
@@ -229,9 +230,38 @@ def test_resampled_auroc_and_f1_are_the_reference_s(spark):
 def test_verdicts_rest_on_the_reference_s_resamples(spark, sf_dir, monkeypatch):
     from uqframe.plans import registry
 
-    seen, interval = [], resample.interval
-    monkeypatch.setattr(resample, "interval", lambda df, *a: seen.append(df.select("rep").distinct().count()) or interval(df, *a))
-    assert registry.queries()["claim_verdicts"](spark, sf_dir).count() == 5 and seen == [2000, 2000]
+    seen = []
+    for name in ("interval", "intervals"):
+        own = getattr(resample, name)
+        monkeypatch.setattr(resample, name, lambda df, *a, own=own: seen.append(df.select("rep").distinct().count()) or own(df, *a))
+    rows = registry.queries()["claim_verdicts"](spark, sf_dir).collect()
+    assert [r.claim for r in rows] == ["C1", "C2", "C3", "C4", "C5", "C6"] and seen == [2000, 2000]
+    table = {r.row: r for r in registry.queries()["paired_table_ci"](spark, sf_dir).collect()}
+    assert sorted(table) == ["R1", "R2", "R3", "R4", "R5", "S-cb"] and table["S-cb"].p_holm is None and table["R5"].p_holm is not None
+    assert all(r.d_macro_f1_lo <= r.d_macro_f1 <= r.d_macro_f1_hi and r.d_accuracy_lo <= r.d_accuracy <= r.d_accuracy_hi for r in table.values())
+    r5, r1 = table["R5"], table["R1"]
+    verdict = {r.claim: r.verdict for r in rows}
+    assert verdict["C2"] == ("CONTRADICTED" if r5.p < 0.05 or not r5.d_macro_f1_lo <= 0 <= r5.d_macro_f1_hi else "SUPPORTED")
+    same, holds = r1.p_holm >= 0.05, r1.d_macro_f1_lo <= 0 <= r1.d_macro_f1_hi
+    assert verdict["C3"] == ("SUPPORTED" if same and holds else "CONTRADICTED" if not same and not holds else "QUALIFIED")
+
+
+def test_resampled_calibration_is_the_reference_s(spark):
+    rng = np.random.default_rng(6)
+    probs, label = rng.dirichlet([0.4, 0.4, 0.4], 300), rng.integers(0, 3, 300)
+    conf, ok = probs.max(axis=1), (probs.argmax(axis=1) == label).astype(float)
+    df = spark.createDataFrame([(i, int(label[i]), int(probs[i].argmax()), probs[i].tolist()) for i in range(300)], "row_id bigint, label int, pred int, probs array<double>")
+    brier, nll = ((probs - np.eye(3)[label]) ** 2).sum(axis=1), -np.log(np.clip(probs[np.arange(300), label], 1e-12, 1))
+    bins = sum((conf > i / 15).astype(int) for i in range(1, 15))
+    drawn = rng.integers(0, 300, (2000, 300))
+    want = {"accuracy": ok[drawn].mean(axis=1), "mean_confidence": conf[drawn].mean(axis=1), "brier": brier[drawn].mean(axis=1), "nll": nll[drawn].mean(axis=1)}
+    want["ece"] = [np.abs(np.bincount(bins[i], (ok - conf)[i], minlength=15)).sum() / 300 for i in drawn]
+    resampled = resample.calibration_resamples(df, [], 2000, blocks=5)
+    assert resampled.count() == 2000
+    got = resample.intervals(resampled, [], list(want)).head()
+    for name, values in want.items():
+        lo, hi = np.quantile(values, [0.025, 0.975])
+        assert abs(got[f"{name}_lo"] - lo) < 0.1 * (hi - lo) and abs(got[f"{name}_hi"] - hi) < 0.1 * (hi - lo), name
 
 
 def test_parts_of_the_stream_are_numpy_s(spark):

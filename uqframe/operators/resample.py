@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from uqframe.functions import vectors as V
 from uqframe.operators.ranking import running
 
 #: 32-bit words of the exact stream that are drawn at once.
@@ -41,6 +42,14 @@ def interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95) ->
     return kept.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(*keys, F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
 
 
+def intervals(df: DataFrame, keys: list[str], values: list[str], level: float = 0.95) -> DataFrame:
+    """``<value>_lo`` and ``<value>_hi`` of several values in one aggregation, as ``interval`` gives them."""
+    tail = (1 - level) / 2
+    quantiles = [F.percentile(F.nanvl(v, F.lit(None)), F.array(F.lit(tail), F.lit(1 - tail))).alias(v) for v in values]
+    ends = [F.get(v, i).alias(f"{v}_{end}") for v in values for i, end in enumerate(("lo", "hi"))]
+    return df.groupBy(*keys).agg(*quantiles).select(*keys, *ends)
+
+
 def excludes_zero(lo: Column, hi: Column) -> Column:
     return (lo > 0) | (hi < 0)
 
@@ -120,6 +129,14 @@ def ranges(cells: DataFrame, keys: list[str], order: str, count: int) -> DataFra
     return cells.join(bounds, keys).withColumn("block", F.size(F.filter("__b", lambda b: b < F.col(order)))).drop("__b")
 
 
+def _deal(rng: np.random.Generator, totals: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Some resamples by cells: each deals its total over the cells by their sizes ``n``."""
+    if (n != 1).any():
+        return rng.multinomial(totals, n / n.sum())
+    cell = np.repeat(np.arange(len(totals)), totals) * len(n) + rng.integers(0, len(n), int(totals.sum()))
+    return np.bincount(cell, minlength=len(totals) * len(n)).reshape(len(totals), len(n))
+
+
 def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statistic: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], schema: str, reps: int, seed: int = 42) -> DataFrame:
     """``statistic`` of each block's cells in each resample: keys, block, rep and the columns of ``schema``.
 
@@ -138,10 +155,10 @@ def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statisti
         own = sizes[group]
         of_blocks = np.array(list(own.values()), dtype=np.float64)
         totals = np.random.default_rng(seed).multinomial(int(of_blocks.sum()), of_blocks / of_blocks.sum(), size=reps)[:, list(own).index(block)]
-        share, rng, out = frame["n"].to_numpy(np.float64), np.random.default_rng([seed, block]), []
-        share, step = share / share.sum(), max(1, 2_000_000 // len(frame))
+        n, rng, out = frame["n"].to_numpy(np.float64), np.random.default_rng([seed, block]), []
+        step = max(1, 2_000_000 // len(frame))
         for start in range(0, reps, step):
-            out.append(pd.DataFrame({"rep": np.arange(start, min(reps, start + step)), **statistic(frame, rng.multinomial(totals[start : start + step], share))}))
+            out.append(pd.DataFrame({"rep": np.arange(start, min(reps, start + step)), **statistic(frame, _deal(rng, totals[start : start + step], n))}))
         made = pd.concat(out)
         for k in [*keys, "block"]:
             made[k] = frame[k].iloc[0]
@@ -170,20 +187,45 @@ def auroc_resamples(df: DataFrame, keys: list[str], reps: int, score: str = "sco
     return whole.groupBy(*keys, "rep").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auroc"))
 
 
-def macro_f1_delta_resamples(df: DataFrame, classes: int, reps: int) -> DataFrame:
-    """rep, v: macro F1 of ``b`` less that of ``a`` over fixed classes; ``df`` has label, a and b, the predictions of two systems."""
-    cells = df.groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.lit(0))
+def paired_resamples(df: DataFrame, keys: list[str], classes: int, reps: int) -> DataFrame:
+    """keys, rep, d_accuracy, d_macro_f1: system ``a`` less ``b``; ``df`` has label, a and b, their predictions of a row.
+
+    Macro F1 is over fixed classes. Rows are summed to cells of label and both predictions, at most classes cubed.
+    """
+    cells = df.groupBy(*keys, "label", "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.lit(0))
 
     def delta(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
         hot = {c: (frame[c].to_numpy()[:, None] == np.arange(classes)).astype(np.float64) for c in ("label", "a", "b")}
 
-        def macro(c: str) -> np.ndarray:
-            both = counts @ hot["label"] + counts @ hot[c]
-            return np.where(both > 0, 2 * (counts @ (hot["label"] * hot[c])) / np.maximum(both, 1), 0.0).sum(axis=1) / classes
+        def measures(c: str) -> tuple[np.ndarray, np.ndarray]:
+            right, both = counts @ (hot["label"] * hot[c]), counts @ hot["label"] + counts @ hot[c]
+            return right.sum(axis=1) / counts.sum(axis=1), np.where(both > 0, 2 * right / np.maximum(both, 1), 0.0).sum(axis=1) / classes
+
+        (accuracy_a, f1_a), (accuracy_b, f1_b) = measures("a"), measures("b")
+        return {"d_accuracy": accuracy_a - accuracy_b, "d_macro_f1": f1_a - f1_b}
+
+    return resample_cells(cells, keys, ["label", "a", "b"], delta, "d_accuracy double, d_macro_f1 double", reps).drop("block")
 
-        return {"v": macro("b") - macro("a")}
 
-    return resample_cells(cells, [], ["label", "a", "b"], delta, "v double", reps).select("rep", "v")
+def calibration_resamples(df: DataFrame, keys: list[str], reps: int, key: str = "row_id", bins: int = V.BINS, blocks: int | None = None) -> DataFrame:
+    """keys, rep, accuracy, mean_confidence, ece, brier, nll of predictions (label, pred, probs, ``key``).
+
+    Rows are dealt into blocks by the hash of ``key``; a block gives sums only, one row a resample.
+    """
+    conf = V.confidence(F.col("probs"))
+    rows = df.select(*keys, F.col(key).alias("__k"), (F.col("pred") == F.col("label")).cast("double").alias("accuracy"), conf.alias("mean_confidence"), V.brier(F.col("probs"), F.col("label")).alias("brier"), V.nll(F.col("probs"), F.col("label")).alias("nll"), V.bin_index(conf, bins).alias("bin"), F.lit(1).alias("n"))
+    count = blocks or max(8, min(1_000, rows.count() // 20_000))
+    sums, gaps = ["accuracy", "mean_confidence", "brier", "nll"], [f"gap_{i}" for i in range(bins)]
+
+    def totals(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
+        off = (frame["accuracy"] - frame["mean_confidence"]).to_numpy()[:, None] * (frame["bin"].to_numpy()[:, None] == np.arange(bins))
+        made = counts.astype(np.float64) @ np.hstack([frame[sums].to_numpy(np.float64), off, np.ones((len(frame), 1))])
+        return dict(zip([*sums, *gaps, "n"], made.T))
+
+    parts = resample_cells(rows.withColumn("block", F.pmod(F.xxhash64("__k"), F.lit(count)).cast("int")), keys, ["__k"], totals, ", ".join(f"{c} double" for c in [*sums, *gaps, "n"]), reps)
+    whole = parts.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in [*sums, *gaps, "n"]])
+    ece = sum((F.abs(g) for g in gaps), F.lit(0.0)) / F.col("n")
+    return whole.select(*keys, "rep", *[(F.col(c) / F.col("n")).alias(c) for c in sums], ece.alias("ece"))
 
 
 def map_resamples(df: DataFrame, resamples: DataFrame, statistic: Callable[[pd.DataFrame], dict[str, float]], columns: list[str], schema: str) -> DataFrame:

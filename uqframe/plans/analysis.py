@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, resample, rounded, rules, selective, sql, table, test_rows
+from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, resample, rounded, rules, selective, sql, table, temperature, test_rows
 
 #: Resamples of the queries that have SQL, as it says.
 REPS = 20
@@ -16,9 +16,9 @@ def _score_rows(spark, sf_dir):
     return selective.scores_long(df.where("mode = 'argmax'"), df.where("mode = 'pgs'"))
 
 
-def _named(spark, sf_dir):
-    df = test_rows(spark, sf_dir, tuple(_NAMES.values()))
-    name = F.coalesce(*[F.when((F.col("image") == i) & (F.col("checkpoint") == c) & (F.col("mode") == m), F.lit(n)) for n, (i, c, m) in _NAMES.items()])
+def _named(spark, sf_dir, names=_NAMES):
+    df = test_rows(spark, sf_dir, tuple(names.values()))
+    name = F.coalesce(*[F.when((F.col("image") == i) & (F.col("checkpoint") == c) & (F.col("mode") == m), F.lit(n)) for n, (i, c, m) in names.items()])
     return df.withColumn("system", name)
 
 
@@ -290,11 +290,47 @@ def reproduction_check(spark, sf_dir):
     return acc.join(F.broadcast(e), "image").groupBy(*SYS, r6("accuracy").alias("accuracy")).agg(F.min_by("v", off).alias("nearest"), F.round(F.min(off) * 100, 4).alias("off_pp"), F.bool_or(F.round("accuracy", 4) == F.col("v")).alias("reproduced"))
 
 
-def _verdict_f1(spark, sf_dir):
-    rows = test_rows(spark, sf_dir, (SERVED, POOLED))
-    pred = lambda mode: F.max(F.when(F.col("mode") == mode, F.col("pred")))
-    wide = rows.groupBy("row_id").agg(F.max("label").alias("label"), pred("argmax").alias("a"), pred("pgs").alias("b"))
-    return rounded(resample.interval(resample.macro_f1_delta_resamples(wide, S.CLASSES, VERDICT_REPS), [], "v"))
+#: The comparison that no family adjusts: averaging against the argmax at the baseline checkpoint.
+_SUPPLEMENT = ("S-cb", "supplementary", "F", "E")
+
+
+def _compared(spark, sf_dir, comparisons):
+    """A row for each test sample and comparison: row, family, label, and the predictions a and b."""
+    names = {**_NAMES, "F": ("imgA", "cb", "pgs")}
+    wide = paired.pivot_systems(_named(spark, sf_dir, names), list(names))
+    entries = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(f).alias("family"), F.col(f"{x}_pred").alias("a"), F.col(f"{y}_pred").alias("b")) for r, f, x, y in comparisons])
+    return wide.select("label", F.explode(entries).alias("e")).select("label", "e.*")
+
+
+def _paired_ci(spark, sf_dir, comparisons):
+    drawn = resample.paired_resamples(_compared(spark, sf_dir, comparisons), ["row"], S.CLASSES, VERDICT_REPS)
+    return resample.intervals(drawn, ["row"], ["d_accuracy", "d_macro_f1"])
+
+
+@query()
+def paired_table_ci(spark, sf_dir):
+    """The paired table with both differences, their intervals and the supplementary row."""
+    spec = (*_COMPARISONS, _SUPPLEMENT)
+    rows = _compared(spark, sf_dir, spec)
+    right = lambda c: F.col(c) == F.col("label")
+    d = rows.groupBy("row", "family").agg(F.count(F.lit(1)).alias("n"), *paired.discordant(right("a"), right("b")), (F.avg(right("a").cast("double")) - F.avg(right("b").cast("double"))).alias("d_accuracy"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
+    sides = F.array(*[F.struct(F.lit(sign).alias("sign"), F.col(c).alias("pred")) for c, sign in (("a", 1.0), ("b", -1.0))])
+    cells = metrics.confusion(rows.select("row", "label", F.explode(sides).alias("s")).select("row", "label", "s.*"), ["row", "sign"])
+    f1 = metrics.macro_f1(cells, ["row", "sign"], S.CLASSES).groupBy("row").agg(F.sum(F.col("sign") * F.col("macro_f1")).alias("d_macro_f1"))
+    t = paired.holm(d.withColumn("p", paired.mcnemar_exact(F.col("b"), F.col("c"))), "family").withColumn("p_holm", F.when(F.col("family") != _SUPPLEMENT[1], F.col("p_holm")))
+    return rounded(t.join(f1, "row").join(_paired_ci(spark, sf_dir, spec), "row"))
+
+
+@query()
+def calibration_table_ci(spark, sf_dir):
+    """Calibration of the deployed pair with intervals: both checkpoints and modes, and the served path after temperature scaling."""
+    keys = ["checkpoint", "mode", "scaled"]
+    rows = test_rows(spark, sf_dir).where(F.col("image") == SERVED[0]).select("checkpoint", "mode", F.lit(False).alias("scaled"), "row_id", "label", "pred", "probs")
+    t = temperature.fit(S.predictions(spark, sf_dir, (SERVED,), "val"))["temperature"]
+    served = rows.where((F.col("checkpoint") == SERVED[1]) & (F.col("mode") == SERVED[2]))
+    every = rows.union(served.withColumns({"scaled": F.lit(True), "probs": V.apply_temperature(F.col("probs"), t)}))
+    ci = resample.intervals(resample.calibration_resamples(every, keys, VERDICT_REPS), keys, ["accuracy", "mean_confidence", "ece", "brier", "nll"])
+    return rounded(metrics.calibration(every, keys).join(ci, keys))
 
 
 def _verdict_auroc(spark, sf_dir):
@@ -305,10 +341,12 @@ def _verdict_auroc(spark, sf_dir):
 @query()
 def claim_verdicts(spark, sf_dir):
     t = paired.holm(_paired(spark, sf_dir), "family")
-    f1 = _verdict_f1(spark, sf_dir).select(F.col("lo").alias("f1_lo"), F.col("hi").alias("f1_hi"))
+    by_row = _paired_ci(spark, sf_dir, [x for x in _COMPARISONS if x[0] in ("R1", "R5")])
+    f1 = by_row.agg(*[F.max(F.when(F.col("row") == r, F.col(f"d_macro_f1_{e}"))).alias(f"f1_{e}_{r}") for r in ("R1", "R5") for e in ("lo", "hi")])
+    c5 = reproduction_check(spark, sf_dir).select(F.lit(None).cast("boolean").alias("by_manifest"), F.col("reproduced").alias("by_computed"))  # no manifest stands beside the frame
     ci = _verdict_auroc(spark, sf_dir).join(rounded(_auroc(spark, sf_dir)), "score_id")
     s = ci.agg(*[F.max(F.when(F.col("score_id") == k, F.col(c))).alias(f"{c}_{k}") for k in ("S1", "S5") for c in ("auroc", "lo", "hi")])
-    one = t.agg(*[F.max(F.when(F.col("row") == r, F.col(c))).alias(f"{c}_{r}") for r in ("R1", "R4", "R5") for c in ("d_accuracy", "p", "p_holm", "differ")]).join(F.broadcast(f1)).join(F.broadcast(s))
+    one = t.agg(*[F.max(F.when(F.col("row") == r, F.col(c))).alias(f"{c}_{r}") for r in ("R1", "R4", "R5") for c in ("d_accuracy", "p", "p_holm", "differ")]).join(F.broadcast(f1)).join(F.broadcast(s)).join(F.broadcast(c5.agg(rules.reproduced(c5).alias("c5"))))
     c = F.col
-    verdicts = [("C1", rules.lower_accuracy(c("d_accuracy_R4"), c("p_R4"))), ("C2", rules.within_variance(c("p_R5"), c("f1_lo"), c("f1_hi"))), ("C3", rules.indistinguishable(c("p_holm_R1"), c("f1_lo"), c("f1_hi"))), ("C4", rules.signal_value(c("auroc_S5"), c("lo_S5"), c("hi_S5"), c("auroc_S1"), c("lo_S1"), c("hi_S1"))), ("C6", rules.disagreements(c("differ_R4")))]
+    verdicts = [("C1", rules.lower_accuracy(c("d_accuracy_R4"), c("p_R4"))), ("C2", rules.within_variance(c("p_R5"), c("f1_lo_R5"), c("f1_hi_R5"))), ("C3", rules.indistinguishable(c("p_holm_R1"), c("f1_lo_R1"), c("f1_hi_R1"))), ("C4", rules.signal_value(c("auroc_S5"), c("lo_S5"), c("hi_S5"), c("auroc_S1"), c("lo_S1"), c("hi_S1"))), ("C5", c("c5")), ("C6", rules.disagreements(c("differ_R4")))]
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("claim"), v.alias("verdict")) for k, v in verdicts])).alias("e")).select("e.*")
