@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from uqframe.llm import quality
 
@@ -97,3 +98,26 @@ def test_empty_tables_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     some = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id bigint, text string")
     assert [r.kept for r in quality.judge(some, labels).collect()] == [True] * 3
+
+
+def test_buckets_grow_with_the_text(spark):
+    few, many = (spark.createDataFrame([("é" * n,)] * 4 + [(None,)], "text string") for n in (0, 20_000))
+    assert quality.bucket_count(few) == quality.LEAST_BUCKETS
+    assert quality.bucket_count(many) == quality.LEAST_BUCKETS + quality.BUCKETS_PER_ROOT * 400
+
+
+def test_filter_of_trusted_keys_loses_none(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "trusted_key")
+    passed = {r.id for r in spark.range(30000).where(quality.maybe_in(ids, "trusted_key", F.col("id"))).collect()}
+    assert set(range(0, 3000, 3)) <= passed and len(passed) < 1000 + 0.1 * 29000
+    nobody = ids.where("false")
+    assert spark.range(100).where(quality.maybe_in(nobody, "trusted_key", F.col("id"))).count() == 0
+
+
+def test_scores_with_several_chunks_of_weights(spark, sf_dir):
+    docs = texts(spark, sf_dir, 20)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id bigint, quality int")
+    buckets = 2 * quality.CHUNK + 7
+    rows = {r.doc_id: r.score for r in quality.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), labels, buckets=buckets).collect()}
+    for (k, _), s in zip(docs, scores(docs, {k for k, _ in docs if k % 2}, buckets, quality.SMOOTHING)):
+        assert rows[k] == (None if s is None else pytest.approx(s, abs=1e-9))

@@ -1,21 +1,30 @@
 """Quality rules: base counts of a text, and a hashed n-gram log-likelihood ratio against a trusted target.
 
-Two multinomials over a fixed number of hash buckets describe word unigrams and bigrams: one of trusted documents,
-one of the raw corpus. A document's score is the mean over its n-grams of log p_target - log p_raw; it is kept if
-the base rules pass and the score reaches a fixed threshold. The corpus is halved by key: each half is scored by the other's counts. Only DataFrame functions are used. The corpus is read
-twice: once for the counts (map-side sums, at most ``buckets`` rows a task), once to score each row where it is read.
+Two multinomials over hash buckets describe word unigrams and bigrams: one of trusted documents, one of the raw corpus.
+There are the more buckets the more text there is. A document's score is the mean over its n-grams of log p_target -
+log p_raw; it is kept if the base rules pass and the score reaches a fixed threshold. The corpus is halved by key: each
+half is scored by the other's counts. Only DataFrame functions are used. Texts are read where they stand, once for the
+counts and once for the scores; only those that a bit filter takes for trusted are shuffled to their labels.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import WHITE, count_in, full_lines, hashes, let, words
+from uqframe.llm.common import WHITE, count_in, cut, full_lines, hashes, let, words
 
 SYMBOLS = "#*$%&|<>"
-#: Buckets of both multinomials; the weights, one double a bucket, are all that reaches the scoring tasks.
-BUCKETS = 1 << 16
+#: Buckets of both multinomials: so many, and BUCKETS_PER_ROOT times the square root of the corpus's bytes. The weights,
+#: a double a bucket and half, are all that reaches the scoring tasks: 400 MB for 150 TB of text.
+LEAST_BUCKETS = 1 << 16
+BUCKETS_PER_ROOT = 2
+#: Weights and filter bits are arrays of arrays of so many.
+CHUNK = 4096
+#: The filter of trusted keys has 16 bits a key, at most so many (32 MB); what it lets through is joined exactly.
+MOST_FILTER_BITS = 1 << 28
 #: Added to every bucket's count.
 SMOOTHING = 32.0
 #: Mean log-likelihood ratio from which a document is kept.
@@ -74,7 +83,13 @@ def _by_ngram(h: Column, buckets: int, of_bucket) -> tuple[Column, Column]:
     return F.transform(h, lambda x: bucket(x)), F.transform(pairs, lambda x, i: bucket(F.xxhash64(x, F.get(h, i + 1))))
 
 
-def ngram_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """How many buckets the counts of ``docs`` get: they grow with the square root of its bytes."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).head()[0] or 0
+    return LEAST_BUCKETS + BUCKETS_PER_ROOT * math.isqrt(size)
+
+
+def ngram_buckets(ws: Column, buckets: int) -> Column:
     """Bucket of each word and of each pair of neighbouring words."""
     return let(hashes(ws), lambda h: F.concat(*_by_ngram(h, buckets, lambda b: b)))
 
@@ -90,44 +105,82 @@ def fold(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(2)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one column ``weights``: for fold 0 and fold 1 the log ratio of each bucket in the other fold.
+def _at(chunks: Column, i: Column) -> Column:
+    """Entry i of an array of ``_chunked``."""
+    return F.get(F.get(chunks, F.floor(i / CHUNK).cast("int")), F.pmod(i, F.lit(CHUNK)).cast("int"))
+
+
+def _chunked(cells: DataFrame, by: list[str]) -> DataFrame:
+    """For each ``by``, the values ``v`` of ``cells`` (by, i, v), i from 0 without gaps, as an array of arrays."""
+    parts = cells.groupBy(*by, F.floor(F.col("i") / CHUNK).alias("c")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("own"))
+    return parts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "own"))), lambda x: x["own"]).alias("v"))
+
+
+def maybe_in(ids: DataFrame, name: str, key: Column) -> Column:
+    """True for every ``key`` that is in ``ids`` and for about one in 16 that isn't."""
+    bits = min(MOST_FILTER_BITS, max(64, 16 * ids.count()))
+    cells = -(-bits // 32)
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    bit = lambda k: F.pow(F.lit(2.0), F.pmod(slot(k), F.lit(32))).cast("long")
+    place = lambda k: F.floor(slot(k) / 32).cast("long")
+    used = ids.groupBy(place(F.col(name)).alias("i")).agg(F.bit_or(bit(F.col(name))).alias("own"))
+    every = ids.sparkSession.range(cells).withColumnRenamed("id", "i").join(used, "i", "left").select("i", F.coalesce("own", F.lit(0).cast("long")).alias("v"))
+    return _at(_chunked(every, []).scalar(), place(key)).bitwiseAND(bit(key)) != 0
+
+
+def count_ngrams(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """serves, i, raw, target: n-grams of each bucket i in all and in trusted documents, of the half that scores half ``serves``."""
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    trusted = trusted_ids(labels, key)
+    # the same plan at every size: labels grow with the corpus, so they are never broadcast
+    believed = own.where(maybe_in(trusted, "trusted_key", F.col("k"))).join(trusted.hint("merge"), F.col("k") == F.col("trusted_key"))
+
+    def counted(df: DataFrame, raw: int) -> DataFrame:
+        seen = df.select((1 - fold(F.col("k"))).alias("serves"), F.explode(ngram_buckets(words(F.col("t")), buckets)).alias("i"))
+        return seen.groupBy("serves", "i").agg(F.count(F.lit(1)).alias("n")).select("serves", "i", (F.col("n") * raw).alias("raw"), (F.col("n") * (1 - raw)).alias("target"))
+
+    return counted(own, 1).union(counted(believed, 0)).groupBy("serves", "i").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "doc_id", text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
+    """One row, one column ``weights``: for fold 0 and fold 1 the log ratio of each bucket in the other fold, in chunks.
 
     So no document tells on itself, labelled or not. All documents count for the raw corpus. The target's smoothing is
     the raw corpus's in proportion to its size, so a bucket without counts weighs 0. Without a trusted document in a
     half, or without any document, its weights are 0.
     """
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    # the same plan at every size: labels grow with the corpus, so they are never broadcast
-    seen = own.join(trusted_ids(labels, key).hint("merge"), F.col("k") == F.col("trusted_key"), "left").select((1 - fold(F.col("k"))).alias("serves"), F.col("trusted_key").isNotNull().cast("long").alias("trusted"), F.explode(ngram_buckets(words(F.col("t")), buckets)).alias("bucket"))
-    counts = seen.groupBy("serves", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
-    every = docs.sparkSession.range(2 * buckets).select((F.col("id") / buckets).cast("int").alias("serves"), (F.col("id") % buckets).cast("int").alias("bucket"))
-    listed = every.join(counts, ["serves", "bucket"], "left").na.fill(0).groupBy("serves").agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    counts = cut(count_ngrams(docs, labels, buckets, key, text), "quality-counts")
+    totals = counts.groupBy("serves").agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))  # two rows
+    every = docs.sparkSession.range(2 * buckets).select(F.floor(F.col("id") / buckets).cast("int").alias("serves"), (F.col("id") % buckets).cast("int").alias("i"))
+    listed = every.join(counts, ["serves", "i"], "left").na.fill(0, ["raw", "target"]).join(F.broadcast(totals), "serves", "left")
     part = F.col("n_target") / F.col("n_raw")
     log_share = lambda c, n, a: F.log((c + a) / (n + a * buckets))
-    ratio = F.transform("b", lambda x: F.when(F.col("n_target") == 0, 0.0).otherwise(log_share(x["target"], F.col("n_target"), smoothing * part) - log_share(x["raw"], F.col("n_raw"), F.lit(smoothing))))
-    return listed.select(F.struct("serves", ratio.alias("w")).alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("weights"))
+    ratio = log_share(F.col("target"), F.col("n_target"), smoothing * part) - log_share(F.col("raw"), F.col("n_raw"), F.lit(smoothing))
+    cells = listed.select("serves", "i", F.when(F.col("n_target") > 0, ratio).otherwise(0.0).alias("v"))
+    return _chunked(cells, ["serves"]).agg(F.transform(F.sort_array(F.collect_list(F.struct("serves", "v"))), lambda x: x["v"]).alias("weights"))
 
 
-def score(h: Column, weights: Column, buckets: int = BUCKETS) -> Column:
-    """Mean weight of the n-grams of words with the hashes ``h``; null without words. ``weights`` is one fold's array."""
-    total = [F.aggregate(x, F.lit(0.0), lambda s, w: s + w) for x in _by_ngram(h, buckets, lambda b: F.get(weights, b))]
+def score(h: Column, weights: Column, buckets: int) -> Column:
+    """Mean weight of the n-grams of words with the hashes ``h``; null without words. ``weights`` is one fold's chunks."""
+    total = [F.aggregate(x, F.lit(0.0), lambda s, w: s + w) for x in _by_ngram(h, buckets, lambda b: _at(weights, b))]
     return (total[0] + total[1]) / F.nullif(2 * F.size(h) - 1, F.lit(-1))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, smoothing: float = SMOOTHING) -> DataFrame:
     """Per row of ``docs``: key, the base counts, base_failed, score and kept.
 
     A text without words (null and empty too) has score null and fails the base rules. Rows with a repeated or null
     key are judged each; tied scores share the verdict, since only the fixed threshold decides.
     """
-    weights = fit(docs, labels, key, text, buckets, smoothing).scalar()
+    buckets = buckets or bucket_count(docs, text)
+    weights = fit(docs, labels, buckets, key, text, smoothing).scalar()
     own = docs.select(F.col(key), F.col(text).alias("__text"))
-    seen = let(words(F.col("__text")), lambda ws: let(hashes(ws), lambda h: F.struct(
+    # named once, the weights stay part of the expression; as a column they would be copied into every row
+    seen = let(F.col("__w"), lambda w: let(words(F.col("__text")), lambda ws: let(hashes(ws), lambda h: F.struct(
         F.size(ws).cast("long").alias("n_words"),
         repeated_words(ws, h).alias("n_repeat_words"),
-        score(h, F.col("__w"), buckets).alias("score"),
-    )))
+        score(h, w, buckets).alias("score"),
+    ))))
     judged = own.withColumn("__w", F.get(weights, fold(F.col(key)))).select(key, *[c.alias(n) for n, c in base_columns(F.col("__text")).items()], seen.alias("__seen"))
     judged = judged.select(key, "__seen.n_words", "word_chars", "n_symbols", "n_dup_lines", "__seen.n_repeat_words", "__seen.score")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
@@ -137,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all their columns as they were; rows are filtered where they are read."""
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    threshold, buckets = options.get("threshold", THRESHOLD), options.get("buckets", BUCKETS)
-    weights = fit(docs, labels, key, text, buckets, options.get("smoothing", SMOOTHING)).scalar()
-    verdict = let(words(F.col(text)), lambda ws: let(hashes(ws), lambda h: ~base_failed(F.size(ws), repeated_words(ws, h)) & F.coalesce(score(h, F.col("__w"), buckets) >= threshold, F.lit(False))))
+    threshold, buckets = options.get("threshold", THRESHOLD), options.get("buckets") or bucket_count(docs, text)
+    weights = fit(docs, labels, buckets, key, text, options.get("smoothing", SMOOTHING)).scalar()
+    verdict = let(F.col("__w"), lambda w: let(words(F.col(text)), lambda ws: let(hashes(ws), lambda h: ~base_failed(F.size(ws), repeated_words(ws, h)) & F.coalesce(score(h, w, buckets) >= threshold, F.lit(False)))))
     return docs.withColumn("__w", F.get(weights, fold(F.col(key)))).where(verdict).select(*docs.columns)
