@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 #: a double a bucket and half, are all that reaches the scoring tasks: 400 MB for 150 TB of text.
 LEAST_BUCKETS = 1 << 16
 BUCKETS_PER_ROOT = 2
-#: Weights and filter bits are arrays of arrays of so many.
+#: Weights and filter bits are put in order in chunks of so many.
 CHUNK = 4096
 #: The filter of trusted keys has 16 bits a key, at most so many (32 MB); what it lets through is joined exactly.
 MOST_FILTER_BITS = 1 << 28
@@ -105,15 +105,10 @@ def fold(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(2)).cast("int")
 
 
-def _at(chunks: Column, i: Column) -> Column:
-    """Entry i of an array of ``_chunked``."""
-    return F.get(F.get(chunks, F.floor(i / CHUNK).cast("int")), F.pmod(i, F.lit(CHUNK)).cast("int"))
-
-
-def _chunked(cells: DataFrame, by: list[str]) -> DataFrame:
-    """For each ``by``, the values ``v`` of ``cells`` (by, i, v), i from 0 without gaps, as an array of arrays."""
+def _dense(cells: DataFrame, by: list[str]) -> DataFrame:
+    """For each ``by``, the values ``v`` of ``cells`` (by, i, v), i from 0 without gaps, as an array; sorted in chunks."""
     parts = cells.groupBy(*by, F.floor(F.col("i") / CHUNK).alias("c")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("own"))
-    return parts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "own"))), lambda x: x["own"]).alias("v"))
+    return parts.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "own"))), lambda x: x["own"])).alias("v"))
 
 
 def maybe_in(ids: DataFrame, name: str, key: Column) -> Column:
@@ -125,7 +120,7 @@ def maybe_in(ids: DataFrame, name: str, key: Column) -> Column:
     place = lambda k: F.floor(slot(k) / 32).cast("long")
     used = ids.groupBy(place(F.col(name)).alias("i")).agg(F.bit_or(bit(F.col(name))).alias("own"))
     every = ids.sparkSession.range(cells).withColumnRenamed("id", "i").join(used, "i", "left").select("i", F.coalesce("own", F.lit(0).cast("long")).alias("v"))
-    return _at(_chunked(every, []).scalar(), place(key)).bitwiseAND(bit(key)) != 0
+    return F.get(_dense(every, []).scalar(), place(key).cast("int")).bitwiseAND(bit(key)) != 0
 
 
 def count_ngrams(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,7 +138,7 @@ def count_ngrams(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "d
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "doc_id", text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one column ``weights``: for fold 0 and fold 1 the log ratio of each bucket in the other fold, in chunks.
+    """One row, one column ``weights``: for fold 0 and fold 1 the log ratio of each bucket in the other fold.
 
     So no document tells on itself, labelled or not. All documents count for the raw corpus. The target's smoothing is
     the raw corpus's in proportion to its size, so a bucket without counts weighs 0. Without a trusted document in a
@@ -157,12 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int, key: str = "doc_id", t
     log_share = lambda c, n, a: F.log((c + a) / (n + a * buckets))
     ratio = log_share(F.col("target"), F.col("n_target"), smoothing * part) - log_share(F.col("raw"), F.col("n_raw"), F.lit(smoothing))
     cells = listed.select("serves", "i", F.when(F.col("n_target") > 0, ratio).otherwise(0.0).alias("v"))
-    return _chunked(cells, ["serves"]).agg(F.transform(F.sort_array(F.collect_list(F.struct("serves", "v"))), lambda x: x["v"]).alias("weights"))
+    return _dense(cells, ["serves"]).agg(F.transform(F.sort_array(F.collect_list(F.struct("serves", "v"))), lambda x: x["v"]).alias("weights"))
 
 
 def score(h: Column, weights: Column, buckets: int) -> Column:
-    """Mean weight of the n-grams of words with the hashes ``h``; null without words. ``weights`` is one fold's chunks."""
-    total = [F.aggregate(x, F.lit(0.0), lambda s, w: s + w) for x in _by_ngram(h, buckets, lambda b: _at(weights, b))]
+    """Mean weight of the n-grams of words with the hashes ``h``; null without words. ``weights`` is one fold's array."""
+    total = [F.aggregate(x, F.lit(0.0), lambda s, w: s + w) for x in _by_ngram(h, buckets, lambda b: F.get(weights, b))]
     return (total[0] + total[1]) / F.nullif(2 * F.size(h) - 1, F.lit(-1))
 
 
