@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import attribution, bpe, chat, fingerprint, jaccard_join, mixing, quality, ranker, url_filter, warc
+from uqframe.llm import attribution, bpe, chat, filter_audit, fingerprint, jaccard_join, mixing, quality, ranker, url_filter, warc
 from uqframe.llm.common import shared_path, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -105,6 +105,42 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.document_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, list("ABCDE"), ["good", "toxic"])
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+v AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM v GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+s AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS filter, instr('ABCDE', filter_order[step]) AS own,
+    list_transform(range(1, step), lambda k: instr('ABCDE', filter_order[k])) AS earlier
+  FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5
+), e AS (
+  SELECT s.*, c.part, n, good, toxic, fails[own] AS fail, len(list_filter(earlier, lambda k: fails[k])) = 0 AS alive,
+    len(list_filter(fails, lambda x: x)) = 1 AS only_one FROM s, c
+), r AS (
+  SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (alive AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (alive AND fail), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fail AND NOT alive), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND only_one), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (alive AND fail), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (alive AND fail), 0)::BIGINT AS toxic_lost
+  FROM e GROUP BY part, filter_order, step, filter
+)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -117,8 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_ranker": op8_quality_ranker,
         "op9_token_attribution": op9_token_attribution,
         "op10_chat_format": op10_chat_format,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op10_chat_format": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_filter_audit": OP11_SQL}
