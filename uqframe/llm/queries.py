@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import attribution, bpe, chat, filter_audit, fingerprint, jaccard_join, mixing, quality, ranker, url_filter, warc
+from uqframe.llm import attribution, bpe, chat, filter_audit, fingerprint, jaccard_join, mixing, packing, quality, ranker, url_filter, warc
 from uqframe.llm.common import shared_path, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -141,6 +141,11 @@ SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM
 """
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+    return packing.place(cuts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -154,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_attribution": op9_token_attribution,
         "op10_chat_format": op10_chat_format,
         "op11_filter_audit": op11_filter_audit,
+        "op12_best_fit_packing": op12_best_fit_packing,
     }
 
 
