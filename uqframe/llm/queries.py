@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import attribution, bpe, chat, filter_audit, fingerprint, jaccard_join, mixing, packing, quality, ranker, url_filter, warc
+from uqframe.llm import attribution, bpe, chat, filter_audit, fingerprint, jaccard_join, mixing, packing, quality, ranker, url_filter, warc, whitening
 from uqframe.llm.common import shared_path, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -146,6 +146,13 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(cuts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 4096)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    each = done.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    # a sum of squares that no long can hold is null there and whole in deviation_exact
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("bigint").alias("deviation"), "c.whitened", "c.explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -160,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat_format": op10_chat_format,
         "op11_filter_audit": op11_filter_audit,
         "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
