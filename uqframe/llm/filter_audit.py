@@ -54,7 +54,7 @@ def later_copies(rows: DataFrame, key: str, identity: str, name: str) -> DataFra
 def document_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One narrow row a document: part, A to E (true: fails), good, toxic.
 
-    Null lang is the part ''. A document is good or toxic if any of its label rows says so; without one it is neither.
+    Null lang is the part ''. A document is good or toxic if any of its label rows says so; without one, or with a null doc_id, it is neither.
     Repeated rows count each; of equal texts those with the smallest doc_id pass E, all of them if their doc_id is null.
     """
     own = docs.select(F.col("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
