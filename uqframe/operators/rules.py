@@ -59,4 +59,12 @@ def confidence_state(conf: Column, acc: Column) -> Column:
 
 
 def direction(lo: Column, hi: Column) -> Column:
-    return F.when(lo > 0, "higher").when(hi < 0, "lower").otherwise("not different")
+    """What an interval of a difference says of it."""
+    return F.when(lo > 0, "higher").when(hi < 0, "lower").otherwise("unchanged")
+
+
+def signal_sign(overlap: Column, less: Column, excludes_zero: Column, delta: Column) -> Column:
+    """-1, 0 or 1: how one signal compares with another. Intervals that overlap don't show that two signals are equal, so
+    then the paired difference decides; 0 if that can't be told from none."""
+    of = lambda below: F.when(below, -1).otherwise(1)
+    return F.when(~overlap, of(less)).when(excludes_zero, of(delta < 0)).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from uqframe.plans import analysis, base, calibration, inventory, preparation  # noqa: F401  modules register their queries
+from uqframe.plans import analysis, base, calibration, inventory, preparation, shared_draws  # noqa: F401  modules register their queries
 from uqframe.plans.base import Query
 
 
