@@ -119,6 +119,15 @@ def test_clashing_names_empty_tables_and_bad_lengths(spark):
             packing.place(df, bad).count()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abzAZéÉßİıŉµªſKÅ.,;:!?'$%&<|>sStT\u0301\u00d7\u00f7 \n\t"), st.characters(codec="utf-8")), max_size=40))
+def test_words_apart_equal_whole_texts(text):
+    if not hasattr(test_words_apart_equal_whole_texts, "m"):
+        test_words_apart_equal_whole_texts.m = packing.WordMemory(PATH, False)
+    m = test_words_apart_equal_whole_texts.m
+    assert m.apart and np.frombuffer(m.encode(text), "<u4").tolist() == m.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_memory_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY_BYTES", 20_000)
     m, plain = packing.WordMemory(PATH, False), Tokenizer.from_file(PATH)

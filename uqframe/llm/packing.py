@@ -13,7 +13,9 @@ piece passes through the driver, no sequence is confined to a task's pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,27 +31,49 @@ from uqframe.llm.common import cut
 #: Longest capacity: the lengths' counts and the table of fills are held by the driver and every task.
 MOST_CAPACITY = 1 << 16
 #: Bytes that a worker's word memory may hold before it starts anew, the longest piece it keeps, and the cost of an entry besides its bytes.
-MEMORY_BYTES, LONGEST_KEPT, ENTRY_BYTES = 96 << 20, 64, 250
+MEMORY_BYTES, LONGEST_KEPT, ENTRY_BYTES = 160 << 20, 64, 220
 #: Bytes of ids in one Arrow batch that a task returns, documents aside.
 BATCH_BYTES = 4 << 20
 
 
+#: The normal form and the pre-token pattern of the public word-end vocabulary, for which words are encoded apart.
+NORMAL_FORM = ("NFC", "Replace", "Lowercase")
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordMemory(dict):
     """Piece between plain spaces and line breaks -> its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's normal form and pre-tokens never reach across a space, so pieces are independent. Long pieces are
-    encoded but not kept; when the kept ones pass ``MEMORY_BYTES`` all are forgotten.
+    The tokenizer's normal form and pre-tokens never reach across a space, so pieces are independent. Under the known
+    pattern a run of Latin letters and the run of marks behind it are pre-tokens of their own: they are looked up apart,
+    letters in lower case, and letters go straight to the tokenizer's merges; NFC leaves them as they are. All other
+    pieces go through the whole tokenizer. Long pieces are encoded but not kept; when the kept ones pass
+    ``MEMORY_BYTES`` all are forgotten.
     """
 
+    #: Letters up to U+017F, but for the one whose lower case is not a letter alone; marks of ASCII, but for the apostrophe.
+    letters_and_marks = staticmethod(re.compile("([A-Za-z\u00c0-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch)
+
     def __init__(self, path: str, specials_as_text: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
         self.tokenizer.encode_special_tokens = specials_as_text
+        self.apart = words_apart(path)
+        of_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: of_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(97, 0x180) if chr(c).isalpha()}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.apart and self.letters_and_marks(piece)
+        if parts and (letters := parts[1]).isalpha():
+            low = letters.lower()
+            if low != piece:  # not kept: its letters and its marks are
+                return self[low] + (self[parts[2]] if parts[2] else b"")
+            ids = [t.id for t in self.tokenizer.model.tokenize(low.translate(self.spelled))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        raw = np.asarray(ids, "<u4").tobytes()
         if len(piece) <= LONGEST_KEPT:
             self.held += 4 * len(piece) + len(raw) + ENTRY_BYTES
             if self.held > MEMORY_BYTES:
@@ -65,10 +89,19 @@ class WordMemory(dict):
 _MEMORIES: dict[tuple[str, bool], WordMemory] = {}
 
 
+def words_apart(path: str) -> bool:
+    """True for a byte-level vocabulary of the known normal form and pattern, whose control strings all have a mark before a letter."""
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    normal = tuple(n.get("type") for n in (conf.get("normalizer") or {}).get("normalizers") or ())
+    pre = (conf.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = normal == NORMAL_FORM and len(pre) == 2 and pre[0].get("pattern", {}).get("Regex") == WORD_PATTERN
+    plain = known and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    return bool(plain and splits_at_spaces(path) and not any(t["content"][:1].isalpha() for t in conf.get("added_tokens") or []))
+
+
 def splits_at_spaces(path: str) -> bool:
     """True if a tokenizer file drops white space between pre-tokens, so that spaces part a text into independent pieces."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         conf = json.load(f)
     first = conf.get("pre_tokenizer") or {}
@@ -225,7 +258,7 @@ def place(rows: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     counts = {r["size"]: r["n"] for r in per_task.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(Places(best_two_fit(counts, capacity)))
     own = Window.partitionBy("size", "task").orderBy("at")
-    ranked = written.withColumn("task", task).withColumn("rank", F.row_number().over(own) - 1).join(per_task, ["size", "task"])
+    ranked = written.withColumn("task", task).withColumn("rank", F.row_number().over(own) - 1).join(per_task.hint("merge"), ["size", "task"])  # as many counts as tasks and lengths: never broadcast
 
     def find(size, rank):
         import pandas as pd
