@@ -55,10 +55,24 @@ def test_letters_of_a_piece_are_the_pattern_s_letters(coder):
 
 
 def test_memory_that_runs_full_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 1_000)
     small = bpe.Coder(bpe.read_ranks(RANKS), PATTERN)
     x = "one two, three.\nFour five six seven\n" * 3
     assert small.encode(x) == library.encode_ordinary(x)
+    assert small.held <= 1_000
+
+
+def test_memory_is_bounded_by_bytes_whatever_the_pieces(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 2 << 20)
+    coder, rng = bpe.Coder(bpe.read_ranks(RANKS), PATTERN), random.Random(2)
+    long = ["".join(rng.choices("ABCDEFabcdef0123456789+/", k=300)) for _ in range(3_000)]
+    short = [f"{i:x}é{i}" for i in range(100_000)]
+    before = len(coder.later)
+    for text in (" ".join(long), " ".join(short)):
+        assert coder.encode(text) == library.encode_ordinary(text)
+        assert coder.held <= 2 << 20
+    kept = [k for m in (coder.tokens, coder.first, coder.later) for k in m]
+    assert before == 0 and max(map(len, kept)) <= bpe.LONGEST_KEPT and len(kept) * bpe.ENTRY_BYTES <= 2 << 20
 
 
 def test_columns(spark, library):

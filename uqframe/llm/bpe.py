@@ -2,7 +2,7 @@
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is in the vocabulary as a whole takes
 its id from one probe. Tier two merges the bytes of every other pre-token: a heap holds the ranked pairs of a
-linked list of byte spans. Results of both tiers stay in a bounded memory of each Python worker.
+linked list of byte spans. Results of both tiers stay in a memory of each Python worker that is bounded by bytes.
 No row is shuffled; each Arrow batch is encoded where it is read.
 """
 
@@ -24,8 +24,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker remembers before it starts anew, for pre-tokens and for pieces between spaces.
-MEMORY_ENTRIES = 800_000
+#: Bytes that a worker remembers before it starts anew, all memories of a coder together; characters of the longest text it
+#: remembers; bytes of an entry besides its text and ids.
+MEMORY_BYTES, LONGEST_KEPT, ENTRY_BYTES = 256 << 20, 64, 220
 
 
 class PerfectHash:
@@ -81,8 +82,6 @@ class _Pieces(dict):
         self.coder, self.lead = coder, lead
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMORY_ENTRIES:
-            self.clear()
         c = self.coder
         if c.letters(piece):
             ids = c.whole(self.lead + piece)
@@ -91,7 +90,8 @@ class _Pieces(dict):
         else:
             later, tokens = c.later, c.tokens
             ids = tuple(chain.from_iterable([later[t[1:]] if t[0] == " " and c.letters(t[1:]) else tokens[t] for t in c.split(self.lead + piece)]))
-        self[piece] = ids
+        if c.may_keep(piece, ids):
+            self[piece] = ids
         return ids
 
 
@@ -103,9 +103,9 @@ class _Tokens(dict):
         self.coder = coder
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= MEMORY_ENTRIES:
-            self.clear()
-        self[token] = ids = self.coder.whole(token)
+        ids = self.coder.whole(token)
+        if self.coder.may_keep(token, ids):
+            self[token] = ids
         return ids
 
 
@@ -131,11 +131,23 @@ class Coder:
         self.word = regex.compile(r"\p{L}+").fullmatch
         #: Marks that end a word's piece as a pre-token of their own.
         self.stops = frozenset(".,;:!?")
-        self.tokens = _Tokens(self)
+        self.held, self.tokens = 0, _Tokens(self)
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
         self.wide = re.compile(r" (?:\s|$)").search
         self.cut = re.compile(r" (?=\S)").split
 
+    def may_keep(self, text: str, ids: tuple[int, ...]) -> bool:
+        """True for a text short enough to be remembered; when all that is remembered passes ``MEMORY_BYTES``, it is forgotten first."""
+        if len(text) > LONGEST_KEPT:
+            return False
+        size = ENTRY_BYTES + 4 * len(text) + 8 * len(ids)
+        self.held += size
+        if self.held > MEMORY_BYTES:
+            for memory in (self.tokens, self.first, self.later):
+                memory.clear()
+            self.held = size
+        return True
+
     def letters(self, piece: str) -> bool:
         """True if the pattern's letter class takes all of ``piece``; str.isalpha() may know another Unicode version."""
         return piece.isalpha() if piece.isascii() else self.word(piece) is not None
