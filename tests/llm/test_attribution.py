@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uqframe.llm import attribution as at
-from uqframe.llm import bpe
+from uqframe.llm import bpe, queries
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -75,3 +75,15 @@ def test_rows(spark, coder):
 def test_sections_that_overlap_or_stand_in_disorder_raise(bounds):
     with pytest.raises(ValueError):
         at.attribute_spans(np.array([0]), np.array([3]), bounds, "majority")
+
+
+def test_whole_query_equals_a_count_by_characters(spark, sf_dir, coder):
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        text = r.text or ""
+        head = text.find("\n") + 1 or len(text)  # the first line with its end
+        n = slow(coder, text, [(0, head), (head, len(text))], "majority")
+        want += [(r.doc_id, 0, int(n[0])), (r.doc_id, 1, int(n[1]))]
+        assert n[2] == 0
+    got = queries.op9_token_attribution(spark, sf_dir)
+    assert sorted((r.doc_id, r.section_no, r.n_tokens) for r in got.collect()) == sorted(want)

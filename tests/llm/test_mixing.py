@@ -1,12 +1,15 @@
 """Source mixing: the exponent's bisection, and budgets met row by row."""
 
 import math
+import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from uqframe.llm import mixing
+from uqframe.llm import mixing, queries
 
 
 def test_temperature_reaches_the_entropy():
@@ -25,6 +28,12 @@ def test_temperature_keeps_the_limit_of_passes():
     assert max(sum(tokens) * w / t for w, t in zip(p.weights, tokens)) == pytest.approx(4, rel=1e-6)
 
 
+def test_a_budget_beyond_all_passes_raises():
+    with pytest.raises(ValueError, match="passes"):
+        mixing.temperature([100, 10], 1100, most_passes=4)
+    assert mixing.temperature([100, 10], 440, most_passes=4).exponent == pytest.approx(1.0)
+
+
 def test_budgets_are_met_within_a_row(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", " ".join(["w"] * (i % 11))) for i in range(1500)] + [(2000, None, "a b"), (2001, "", "c"), (2002, "empty", ""), (2003, "empty", None)]
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id bigint, source string, text string, s string, n int").repartition(4)
@@ -71,3 +80,38 @@ def test_empty_and_repeated_rows(spark):
     same = spark.createDataFrame([(1, "a", "x y")] * 5 + [(None, "b", "z")], "doc_id bigint, source string, text string")
     assert mixing.mix(same).where(F.col("source") == "b").count() >= 1
     assert len({tuple(r) for r in mixing.mix(same).where("doc_id = 1").groupBy("__pass").count().select("count").collect()}) == 1
+
+
+def of(*values):
+    """xxhash64 over a row's values as Spark chains it, signed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_whole_query_equals_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()]
+    by = {}
+    for k, source, text in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        by.setdefault("" if source is None else "s" + source, []).append((k, source, n, of("17 row", k, of(text or ""))))
+    names = sorted(s for s in by if sum(r[2] for r in by[s]))
+    tokens = [sum(r[2] for r in by[s]) for s in names]
+    budgets = dict(zip(names, (round(sum(tokens) * w) for w in mixing.temperature(tokens, sum(tokens)).weights)))
+    want = Counter()
+    for s, rows in by.items():
+        total, blocks = sum(r[2] for r in rows), max(1, len(rows) // mixing.BLOCK_ROWS)
+        passes, rest = divmod(budgets[s], total) if total else (1, 0)
+        at = lambda r, p: (of("17 block", s, of(r[3]) % blocks, p), of("17 place", r[3], p))
+        drawn, upto = dict.fromkeys(rows, passes), 0
+        for place in sorted({at(r, passes) for r in rows}):
+            if upto >= rest:
+                break
+            for r in rows:
+                if at(r, passes) == place:
+                    drawn[r] += 1
+                    upto += r[2]
+        for r, n in drawn.items():
+            want.update((r[0], r[1], p, *at(r, p), r[2]) for p in range(n))
+    assert Counter(map(tuple, queries.op1_source_mixing(spark, sf_dir).collect())) == want

@@ -73,7 +73,7 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
 
 def test_entry_registers_all():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -84,3 +84,22 @@ def test_the_classifier_decides_where_the_rules_left_one_class(spark, sf_dir):
     kept = corpus_pipeline.quality_classifier(spark, left, sf_dir)
     want = ranker.judge(docs, labels).where("predicted = 1").join(left, "doc_id", "left_semi")
     assert ids(kept) == ids(want) and 0 < kept.count() < left.count()
+
+
+def test_stages_on_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (2, None, None, None, None), (3, "", "", "", 0), (None, long + " x", "en", "a", 1), (4, long.upper(), "de", None, 3), (5, " ".join(f"other{i} {i % 7}" for i in range(90)), "en", "b", 4)]
+    more = {c: F.lit(i) for i, c in enumerate(("__w", "__row", "__pass", "__id", "__times", "__s", "__n", "score", "k", "N", "__h"))}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns(more)
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    whole = set(map(tuple, docs.collect()))
+    for table in (docs, docs.limit(0)):
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            got = f(spark, table, str(tmp_path))
+            assert got.columns == docs.columns and set(map(tuple, got.collect())) <= whole
+        got = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+        assert got.count() == table.count()
+    rules = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert not {2, 3} & {r.doc_id for r in rules.collect()}  # without words: the base rules reject
+    assert Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == {1: 1, 2: 1, 3: 1, None: 1, 5: 1}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from uqframe.llm.common import cut, discard
+from uqframe.llm.common import cut, discard, spare
 from uqframe.llm.components import connected_components
 
 #: Words in a shingle, and the least similarity in percent.
@@ -506,8 +506,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     chosen = found.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
     kept = chosen.union(found.where("c is null").select("doc_id", "text_hash"))
     times = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
-    wanted = kept.distinct().join(times, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("times").alias("__times"))
-    matched = docs.join(cut(wanted, "kept"), (docs[key].cast("bigint") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")))
-    once = matched.where("__times = 1").select(*docs.columns)
-    repeated = matched.where("__times > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    own, h, n = spare(docs, "__id", "__hash", "__times")
+    wanted = kept.distinct().join(times, ["doc_id", "text_hash"]).select(F.col("doc_id").alias(own), F.col("text_hash").alias(h), F.col("times").alias(n))
+    matched = docs.join(cut(wanted, "kept"), (docs[key].cast("bigint") == F.col(own)) & (F.xxhash64(docs[text]) == F.col(h)))
+    once = matched.where(F.col(n) == 1).select(*docs.columns)
+    repeated = matched.where(F.col(n) > 1).dropDuplicates([own, h]).select(*docs.columns)
     return once.union(repeated).union(docs.where(F.col(key).isNull()))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from uqframe.llm.common import cut, words
+from uqframe.llm.common import cut, spare, words
 
 #: Entropy of the weights, as a share of the largest possible one, that the exponent must reach.
 ENTROPY = 0.95
@@ -53,10 +53,13 @@ def temperature(tokens: list[int], budget: float, entropy: float = ENTROPY, most
     """Exponent in [0, 1] for positive token counts, bisected 60 times.
 
     Entropy falls and the largest number of passes falls as the exponent grows. The largest exponent that reaches the
-    entropy is taken, then raised as far as the pass limit asks; at exponent 1 all sources have the same passes.
+    entropy is taken, then raised as far as the pass limit asks; at exponent 1 all sources have the same passes, so a
+    budget of more than ``most_passes`` times all tokens can't be met and raises.
     """
     if not tokens:
         return Plan(1.0, (), 0.0)
+    if budget > most_passes * sum(tokens) * (1 + 1e-12):
+        raise ValueError(f"a budget of {budget} needs more than {most_passes} passes over {sum(tokens)} tokens")
     goal = entropy * math.log(len(tokens))
     passes = lambda a: max(budget * w / t for w, t in zip(_weights(tokens, a), tokens))
 
@@ -142,19 +145,27 @@ def _place(row_hash: Column, pass_: Column) -> Column:
     return _order("place", row_hash, pass_)
 
 
+def drawn_names(docs: DataFrame) -> list[str]:
+    """The columns that ``mix`` adds for pass, block and row; underscores go behind a name that ``docs`` has itself."""
+    return spare(docs, "__pass", "__block", "__row")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, entropy: float = ENTROPY, most_passes: float = MOST_PASSES) -> DataFrame:
     """Each row of ``docs`` as often as it is drawn: all its columns, ``__pass`` (from 0), ``__block`` and ``__row``.
 
     Sorted by pass, block and row, a source's rows stand in the order in which they are drawn; no job need sort them to
     know it. A null source is a source of its own. Equal rows have equal hashes and are drawn alike. The row at which a budget
-    is met is drawn whole, so a source exceeds its budget by less than one row and its equals.
+    is met is drawn whole, so a source exceeds its budget by less than one row and its equals. Columns of ``docs`` keep
+    their names and values; where they have one of the three names, ``drawn_names`` tells the new one.
     """
     plan, _ = draw_plan(docs, key, source, text, budget, entropy, most_passes)
-    small = plan.select(F.col("s").alias("__s"), F.col("blocks").alias("__blocks"), F.col("passes").alias("__passes"), F.col("end_block").alias("__end_block"), F.col("end_row").alias("__end_row"))
-    own = docs.withColumns({"__s": _name(F.col(source)), "__row": _row_hash(key, text)})
-    at = lambda p: _block(F.col("__s"), F.col("__row"), F.col("__blocks"), p)
-    last_block, last_row = at(F.col("__passes")), _place(F.col("__row"), F.col("__passes"))
-    taken = (last_block < F.col("__end_block")) | ((last_block == F.col("__end_block")) & (last_row <= F.col("__end_row")))
-    drawn = own.join(F.broadcast(small), "__s").withColumn("__n", F.col("__passes") + F.coalesce(taken, F.lit(False)).cast("long"))
-    passes = drawn.where("__n > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    return passes.select(*docs.columns, "__pass", at(F.col("__pass")).alias("__block"), _place(F.col("__row"), F.col("__pass")).alias("__row"))
+    pass_, block, row = drawn_names(docs)
+    s, blocks, passes, end_block, end_row, n = spare(docs.withColumns({c: F.lit(0) for c in (pass_, block, row)}), "__s", "__blocks", "__passes", "__end_block", "__end_row", "__n")
+    small = plan.select(F.col("s").alias(s), F.col("blocks").alias(blocks), F.col("passes").alias(passes), F.col("end_block").alias(end_block), F.col("end_row").alias(end_row))
+    own = docs.withColumns({s: _name(F.col(source)), row: _row_hash(key, text)})
+    at = lambda p: _block(F.col(s), F.col(row), F.col(blocks), p)
+    last_block, last_row = at(F.col(passes)), _place(F.col(row), F.col(passes))
+    taken = (last_block < F.col(end_block)) | ((last_block == F.col(end_block)) & (last_row <= F.col(end_row)))
+    drawn = own.join(F.broadcast(small), s).withColumn(n, F.col(passes) + F.coalesce(taken, F.lit(False)).cast("long"))
+    every = drawn.where(F.col(n) > 0).withColumn(pass_, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    return every.select(*docs.columns, pass_, at(F.col(pass_)).alias(block), _place(F.col(row), F.col(pass_)).alias(row))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import WHITE, count_in, cut, full_lines, hashes, let, words
+from uqframe.llm.common import WHITE, count_in, cut, full_lines, hashes, let, spare, words
 
 SYMBOLS = "#*$%&|<>"
 #: Buckets of both multinomials: so many, and BUCKETS_PER_ROOT times the square root of the corpus's bytes. The weights,
@@ -183,9 +183,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, all their columns as they were; rows are filtered where they are read."""
+    """The rows of ``docs`` that are kept, all their columns as they were, whatever their names; rows are filtered where they are read."""
     key, text = options.get("key", "doc_id"), options.get("text", "text")
     threshold, buckets = options.get("threshold", THRESHOLD), options.get("buckets") or bucket_count(docs, text)
     weights = fit(docs, labels, buckets, key, text, options.get("smoothing", SMOOTHING)).scalar()
-    verdict = let(F.col("__w"), lambda w: let(words(F.col(text)), lambda ws: let(hashes(ws), lambda h: ~base_failed(F.size(ws), repeated_words(ws, h)) & F.coalesce(score(h, w, buckets) >= threshold, F.lit(False)))))
-    return docs.withColumn("__w", F.get(weights, fold(F.col(key)))).where(verdict).select(*docs.columns)
+    (held,) = spare(docs, "__w")
+    verdict = let(F.col(held), lambda w: let(words(F.col(text)), lambda ws: let(hashes(ws), lambda h: ~base_failed(F.size(ws), repeated_words(ws, h)) & F.coalesce(score(h, w, buckets) >= threshold, F.lit(False)))))
+    return docs.withColumn(held, F.get(weights, fold(F.col(key)))).where(verdict).select(*docs.columns)

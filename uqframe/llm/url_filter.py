@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import ascii_lower, cut, discard
+from uqframe.llm.common import ascii_lower, cut, discard, spare
 
 #: Longest context in bytes.
 ORDER = 4
@@ -177,16 +177,16 @@ def scored(df: DataFrame, ratios: DataFrame, url: str = "url", head: int = HEAD)
             rows += [(n, w[e - n : e].sum(), found[e - n : e][rare[e - n : e]]) for n, e in zip(lengths.tolist(), ends.tolist())]
         return pd.DataFrame(rows, columns=["bytes", "sum", "rare"])
 
-    text = F.col(url)
-    named = [F.xxhash64(text).alias("__h"), F.xxhash64(text, F.lit(1)).alias("__i")]
+    text, (h, i, p, w) = F.col(url), spare(df, "__h", "__i", "__p", "__w")
+    named = [F.xxhash64(text).alias(h), F.xxhash64(text, F.lit(1)).alias(i)]
     columns = [F.col(c) for c in df.columns if c != "score"]
-    parts = cut(df.select(*columns, *named, F.pandas_udf(run, "bytes bigint, sum double, rare array<bigint>")(text).alias("__p")), "url-parts")
-    score = lambda more: F.round(F.coalesce((F.col("__p.sum") + more) / F.nullif(F.col("__p.bytes"), F.lit(0)), F.lit(0.0)), 12).alias("score")
-    few = parts.where(F.size("__p.rare") > 0)
-    asked = few.dropDuplicates(["__h", "__i"]).select("__h", "__i", F.explode("__p.rare").alias("gram"))
-    sums = asked.join(ratios.select("gram", "w"), "gram").groupBy("__h", "__i").agg(F.sum("w").alias("__w"))
-    joined = few.join(sums, ["__h", "__i"], "left").select(*columns, score(F.coalesce("__w", F.lit(0.0))))
-    return parts.where(F.size("__p.rare") == 0).select(*columns, score(F.lit(0.0))).union(joined)
+    parts = cut(df.select(*columns, *named, F.pandas_udf(run, "bytes bigint, sum double, rare array<bigint>")(text).alias(p)), "url-parts")
+    score = lambda more: F.round(F.coalesce((F.col(p)["sum"] + more) / F.nullif(F.col(p)["bytes"], F.lit(0)), F.lit(0.0)), 12).alias("score")
+    few = parts.where(F.size(F.col(p)["rare"]) > 0)
+    asked = few.dropDuplicates([h, i]).select(h, i, F.explode(F.col(p)["rare"]).alias("gram"))
+    sums = asked.join(ratios.select("gram", F.col("w").alias(w)), "gram").groupBy(h, i).agg(F.sum(w).alias(w))
+    joined = few.join(sums, [h, i], "left").select(*columns, score(F.coalesce(w, F.lit(0.0))))
+    return parts.where(F.size(F.col(p)["rare"]) == 0).select(*columns, score(F.lit(0.0))).union(joined)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url", head: int = HEAD) -> DataFrame:
