@@ -85,3 +85,15 @@ def argmax_tie_ok(p: Column, pred: Column, tolerance: float = 1e-9) -> Column:
 def finite(x: Column) -> Column:
     """``x`` with NaN and infinities as null."""
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
+
+
+def same_bits(a: Column, b: Column) -> Column:
+    """True for equal numbers of equal sign, so 0 and -0 differ; NaN equals NaN, whatever its bits; null equals null."""
+    return a.eqNullSafe(b) & F.coalesce(F.when(a == 0, a.cast("string") == b.cast("string")), F.lit(True))  # zeros print their sign
+
+
+def bits_that_differ(a: Column, b: Column) -> Column:
+    """How many entries of two vectors aren't the same to the bit; entries that one of them lacks differ. Null without a vector."""
+    longer, shorter = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
+    pairs = F.zip_with(F.slice(a, 1, shorter), F.slice(b, 1, shorter), lambda x, y: F.when(same_bits(x, y), 0).otherwise(1))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(pairs, F.lit(0), lambda s, x: s + x) + longer - shorter)
