@@ -24,7 +24,7 @@ def without_urls(text: Column) -> Column:
 def fixed(x: Column, places: int, plus: bool = False) -> Column:
     """``places`` decimals of the exact binary value, half to even; a Unicode minus, never a negative zero; n/a for none.
 
-    Java's own formatting rounds the shortest decimal form half up, so the value is rounded as an exact decimal first.
+    Java's own formatting rounds the shortest decimal form half up, so the value is rounded exactly first.
     """
     shown = F.format_string(f"%.{places}f", F.abs(_half_even(x, places)))
     zero = shown == ("0." + "0" * places if places else "0")
@@ -33,7 +33,17 @@ def fixed(x: Column, places: int, plus: bool = False) -> Column:
 
 
 def _half_even(x: Column, places: int) -> Column:
-    return F.bround(x.cast("decimal(38,20)"), places).cast("double")
+    """``x`` rounded by its exact binary value. The size is cut into a high part of 26 bits and the rest, so the distance from
+    the middle between two neighbours is computed without error. Sizes beyond 2^53 / (2 * 10^places), 4.5e11 for four
+    decimals, are rounded by their shortest decimal form."""
+    size, double = F.abs(x), 2.0 * 10**places
+    scaled = size * F.lit(134217729.0)
+    high = scaled - (scaled - size)
+    below = F.floor(size * F.lit(10.0**places)).cast("double")
+    off = (high * double - (2.0 * below + 1.0)) + (size - high) * double
+    up = F.when((off > 0) | ((off == 0) & (below % 2 == 1)), 1.0).otherwise(0.0)
+    rounded = F.when(size < 2.0**53 / double, (below + up) / F.lit(10.0**places)).otherwise(F.bround(size.cast("decimal(38,10)"), min(places, 10)).cast("double"))
+    return F.when(x < 0, -rounded).otherwise(rounded)
 
 
 def fmt_metric(x: Column) -> Column:
@@ -72,6 +82,25 @@ def p_phrase(p: Column, label: str = "p") -> Column:
     return F.when(shown.startswith("<"), F.concat(F.lit(label + " "), shown)).otherwise(F.concat(F.lit(label + " = "), shown))
 
 
+def fmt_temp(x: Column) -> Column:
+    return fixed(x, 2)
+
+
+def fmt_cov(x: Column) -> Column:
+    return fixed(x, 3)
+
+
+def fmt_aurc(x: Column) -> Column:
+    """A hundred times the area, with two decimals."""
+    return fixed(x * 100.0, 2)
+
+
+def markdown_row(cells: list[Column]) -> Column:
+    """One line of a Markdown table; bars in cells are escaped, line ends become spaces, nulls are empty."""
+    own = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "[\r\n]+", " ") for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *own), F.lit(" |"))
+
+
 def fmt_int(x: Column) -> Column:
     return F.when(x.isNull(), "n/a").otherwise(F.format_number(x, 0))
 
@@ -110,7 +139,7 @@ def number_word(n: Column) -> Column:
 
 def sign4(x: Column) -> Column:
     """Four decimals behind a plus or a true minus; zero has a plus."""
-    return F.concat(F.when(x >= 0, "+").otherwise(MINUS), F.format_string("%.4f", F.abs(x)))
+    return F.concat(F.when(x >= 0, "+").otherwise(MINUS), fixed(F.abs(x), 4))
 
 
 def sentences(text: Column) -> Column:

@@ -56,3 +56,39 @@ def worst_case(spark: SparkSession, better: float, worse: float, n: int, most_di
     rows = pairs.select("k_better", "k_worse", (c + d).alias("b"), c.alias("c"))
     full = rows.withColumn("p", mcnemar_exact(F.col("b"), F.col("c")))
     return full.agg(F.max_by(F.struct("k_better", "k_worse", "b", "c", "p"), F.struct("p", -F.col("k_better"), -F.col("k_worse"))).alias("w")).select("w.*")
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0: a sum of positive terms below 3, a continued fraction from there on."""
+    start = F.struct(x.alias("sum"), x.alias("term"))
+    step = lambda a, n: F.struct((a["sum"] + a["term"] * (2.0 * x * x / (2 * n + 1))).alias("sum"), (a["term"] * (2.0 * x * x / (2 * n + 1))).alias("term"))
+    near = 1.0 - F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda a: a["sum"]) * F.exp(-x * x) * (2.0 / math.sqrt(math.pi))
+    under = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x, lambda a, k: x + (k / 2.0) / a)
+    return F.when(x < 3.0, near).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * under))
+
+
+def mcnemar_corrected(b: Column, c: Column) -> Column:
+    """p of the chi-square test with continuity correction; 1 if there are no discordant pairs."""
+    n = (b + c).cast("double")
+    statistic = F.pow(F.abs(b - c) - 1.0, F.lit(2.0)) / F.nullif(n, F.lit(0.0))
+    return F.coalesce(erfc(F.sqrt(statistic / 2.0)), F.lit(1.0))
+
+
+def worst_cases(df: DataFrame, keys: list[str], better: str = "better", worse: str = "worse", n: str = "n", most: str = "most") -> DataFrame:
+    """keys, k_better, k_worse, b, c, p, p_corrected: the largest exact p that two accuracies printed with four decimals allow.
+
+    ``n`` is the sample's size and ``most`` a bound on discordant pairs (null: none). All counts that print as the two
+    accuracies are tried, a few for each row; of equal p the least counts. Rows that no pair of counts with
+    k_better > k_worse fits have no result.
+    """
+    prints = lambda k, shown: F.round(k / F.col(n).cast("double"), 4) == F.round(F.col(shown), 4)
+    near = lambda shown, off: F.col(shown) * F.col(n) + off * F.col(n)
+    counts = lambda shown: F.filter(F.sequence(F.floor(near(shown, -5e-5)), F.ceil(near(shown, 5e-5))), lambda k: prints(k, shown))
+    pairs = df.select(*keys, n, most, F.explode(counts(better)).alias("k_better"), counts(worse).alias("w")).select(*keys, n, most, "k_better", F.explode("w").alias("k_worse")).where("k_better > k_worse")
+    d = F.col("k_better") - F.col("k_worse")
+    free = 2 * F.least(F.col(n) - F.col("k_better"), F.col(n) - F.col("k_worse") - d) + d
+    cap = F.col(most) - (F.col(most) - d) % 2
+    c = F.floor((F.coalesce(F.least(free, cap), free) - d) / 2).cast("bigint")
+    tried = pairs.withColumn("c", c).where("c >= 0").withColumn("b", F.col("c") + d).withColumn("p", mcnemar_exact(F.col("b"), F.col("c")))
+    kept = F.max_by(F.struct("k_better", "k_worse", "b", "c", "p"), F.struct("p", -F.col("k_better"), -F.col("k_worse")))
+    return tried.groupBy(*keys).agg(kept.alias("r")).select(*keys, "r.*", mcnemar_corrected(F.col("r.b"), F.col("r.c")).alias("p_corrected"))

@@ -106,3 +106,18 @@ def exact_share(df: DataFrame, group: str, key: str, share: float, name: str = "
     clear = met.where("last is null or bucket <> last").withColumn("p", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)))
     ordered = met.where("bucket = last").withColumn("p", F.row_number().over(Window.partitionBy("none", "name").orderBy("h", "key")) <= F.col("rest"))
     return clear.unionByName(ordered).select(*[F.col("row")[c].alias(c) for c in df.columns if c != name], F.col("p").alias(name))
+
+
+def drop_counts(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """step, rows and dropped: how many rows are left after each of ``steps`` (conditions to keep a row, in order), in one pass.
+
+    The first row is ``raw``. A null condition drops.
+    """
+    kept, alive = [], F.lit(True)
+    for name, condition in steps.items():
+        alive = alive & F.coalesce(condition, F.lit(False))
+        kept.append((name, alive))
+    one = df.agg(F.count(F.lit(1)).alias("n0"), *[F.count_if(c).alias(f"n{i + 1}") for i, (_, c) in enumerate(kept)])
+    names = ["raw", *steps]
+    entries = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("step"), F.col(f"n{i}").alias("rows"), (F.col(f"n{max(i - 1, 0)}") - F.col(f"n{i}")).alias("dropped")) for i, n in enumerate(names)])
+    return one.select(F.explode(entries).alias("e")).select("e.*")

@@ -68,3 +68,24 @@ def signal_sign(overlap: Column, less: Column, excludes_zero: Column, delta: Col
     then the paired difference decides; 0 if that can't be told from none."""
     of = lambda below: F.when(below, -1).otherwise(1)
     return F.when(~overlap, of(less)).when(excludes_zero, of(delta < 0)).otherwise(0)
+
+
+def calibration_change(ece: Column, lo: Column, hi: Column, base: Column, base_lo: Column, base_hi: Column) -> Column:
+    """unchanged where the intervals overlap, else improved or worsened."""
+    return F.when(overlap(lo, hi, base_lo, base_hi), "unchanged").when(ece < base, "improved").otherwise("worsened")
+
+
+def deferral_effect(accepted: Column, whole: Column) -> Column:
+    """What deferring does to the accuracy of what is kept: leaves it where both print the same, else raises or lowers it."""
+    order = X.compare_formatted(accepted, whole, X.fmt_metric(accepted), X.fmt_metric(whole))
+    return F.when(order == 0, "leaves").when(order > 0, "raises").otherwise("lowers")
+
+
+def coverage_state(coverage: Column) -> Column:
+    """Where a target accuracy is held: at no coverage, at full coverage, or up to some coverage."""
+    return F.when(coverage <= 0, "none").when(coverage >= 1, "full").otherwise("partial")
+
+
+def chance_state(lo: Column, hi: Column) -> Column:
+    """An AUROC's interval against chance."""
+    return F.when(hi < 0.5, "below").when(lo > 0.5, "above").otherwise("includes")

@@ -76,3 +76,28 @@ def status(df: DataFrame, values: DataFrame, text: str = "text") -> DataFrame:
     used = df.select(F.explode(tokens(F.col(text))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("used"))
     known = usable(values).select("key").distinct().withColumn("known", F.lit(True))
     return used.join(known, "key", "full").select("key", F.coalesce("used", F.lit(0)).alias("used"), F.when(F.col("known").isNull(), "missing").when(F.col("used").isNull(), "absent").otherwise("replaced").alias("state"))
+
+
+def report(df: DataFrame, values: DataFrame, contract: DataFrame, text: str = "text") -> DataFrame:
+    """key, tokens and state of every key that texts, values or the contract (key) name.
+
+    replaced; missing (tokens without a usable value); unused (a usable value without tokens); contract absent (a key of
+    the contract without a value and without tokens). A value that isn't usable counts as none.
+    """
+    used = df.select(F.explode(tokens(F.col(text))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("tokens"))
+    known = usable(values).select("key").distinct().withColumn("has_value", F.lit(True))
+    asked = contract.select("key").distinct().withColumn("asked", F.lit(True))
+    every = used.join(known, "key", "full").join(asked, "key", "full")
+    has_tokens, has_value = F.col("tokens") > 0, F.col("has_value").isNotNull()
+    state = F.when(has_tokens & has_value, "replaced").when(has_tokens, "missing").when(has_value, "unused").otherwise("contract absent")
+    return every.na.fill(0, ["tokens"]).select("key", "tokens", state.alias("state"))
+
+
+def exit_code(df: DataFrame, values: DataFrame, contract: DataFrame, text: str = "text", allow_missing: bool = False) -> DataFrame:
+    """One row: replaced, missing, unused, contract_absent (keys of each state), fragments (texts with what looks like a
+    broken token) and code: 0 if nothing is missing (or may be) and no text has fragments, else 1."""
+    states = ("replaced", "missing", "unused", "contract absent")
+    keys = report(df, values, contract, text).agg(*[F.count_if(F.col("state") == s).alias(s.replace(" ", "_")) for s in states])
+    broken = df.agg(F.count_if(leftovers(F.coalesce(F.col(text), F.lit(""))) == "error").alias("fragments"))
+    blocked = (F.col("fragments") > 0) if allow_missing else (F.col("fragments") > 0) | (F.col("missing") > 0)
+    return keys.join(F.broadcast(broken)).withColumn("code", blocked.cast("int"))

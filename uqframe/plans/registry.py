@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from uqframe.plans import analysis, base, calibration, file_queries, inventory, preparation, records, shared_draws  # noqa: F401  modules register their queries
+from uqframe.plans import analysis, base, calibration, checks, file_queries, inventory, preparation, records, report_queries, shared_draws  # noqa: F401  modules register their queries
 from uqframe.plans.base import Query
 
 
