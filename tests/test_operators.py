@@ -366,3 +366,16 @@ def test_the_shared_folder_is_asked_for_on_a_cluster(spark):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(cluster)
+
+
+def test_ties_are_cut_by_the_next_column(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), 0.0 if rng.random() < 0.6 else rng.choice([0.5, 1.0, rng.random()]), i) for i in range(3000)] + [("a", None, 9999)]
+    df = spark.createDataFrame(rows, "g string, x double, i int").repartition(4)
+    out = ranking.running(df, ["g"], ["x", "i"], {"k": F.lit(1)}, ranges=16)
+    got = {r.i: r.k for r in out.collect()}
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from uqframe.functions import text as X
 from uqframe.operators.ranking import running
 
+#: Strata whose sizes may be broadcast; more are joined.
+MOST_BROADCAST = 100_000
 #: Values of one part of a multimap, and buckets of each group's histogram when an exact share is picked.
 PART_VALUES, SHARE_BUCKETS = 1_000, 1 << 14
 
@@ -54,6 +56,8 @@ def stratified_split(df: DataFrame, stratum: str, key: str, names: tuple[str, ..
     stratum_key = {"__null": F.col(stratum).isNull(), "__s": F.coalesce(F.col(stratum).cast("string"), F.lit(""))}
     keyed = df.withColumns({**stratum_key, "__h": h, "__p": F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint")})
     size = df.select(*[c.alias(k) for k, c in stratum_key.items()]).groupBy("__null", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    if size.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # few strata may be hot: their rows stay where they were ranked
+        size = F.broadcast(size)
     placed = running(keyed, ["__null", "__s"], ["__p", "__h", key], {"__k": F.lit(1)}).join(size, ["__null", "__s"])
     out = F.lit(names[-1])
     for name, upto in reversed(list(zip(names[:-1], quotas(F.col("__n"), shares)))):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, resample, rounded, rules, selective, sql, table, temperature, test_rows
+from uqframe.sources import shared
 
 #: Resamples of the queries that have SQL, as it says.
 REPS = 20
@@ -12,8 +13,13 @@ _NAMES = {"A": SERVED, "B": POOLED, "C": ("imgB", "pgs", "pgs"), "D": ("imgC", "
 
 
 def _score_rows(spark, sf_dir):
-    df = test_rows(spark, sf_dir, (SERVED, POOLED))
-    return selective.scores_long(df.where("mode = 'argmax'"), df.where("mode = 'pgs'"))
+    """The scores of both systems, kept once a session: ranking reads them several times."""
+
+    def make():
+        df = test_rows(spark, sf_dir, (SERVED, POOLED))
+        return selective.scores_long(df.where("mode = 'argmax'"), df.where("mode = 'pgs'"))
+
+    return shared.kept(spark, "scores", sf_dir, make, ["score_id"]).select("row_id", "score_id", "score", "ok")
 
 
 def _named(spark, sf_dir, names=_NAMES):
