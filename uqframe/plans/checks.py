@@ -59,15 +59,16 @@ def export_plan(spark, sf_dir):
 @query("WITH " + sql.frame() + """, a AS (SELECT image, checkpoint, mode, avg((pred = label)::INT) FILTER (split = 'test') AS accuracy, round(avg((pred = label)::INT) FILTER (split = 'val'), 4) AS val FROM preds GROUP BY ALL),
 x AS (SELECT *, CASE WHEN image = 'imgC' THEN NULL WHEN checkpoint = 'cb' THEN [val] ELSE [val, round(accuracy, 4)] END AS expected, CASE WHEN mode = 'pgs' THEN accuracy + CASE WHEN image = 'imgB' THEN 0.01e0 ELSE 0e0 END END AS recorded FROM a),
 y AS (SELECT *, list_transform(expected, lambda e: abs(e - accuracy)) AS off FROM x)
-SELECT image, checkpoint, mode, round(accuracy, 6) AS accuracy, expected[list_position(off, list_min(off))] AS nearest, round(100 * (accuracy - expected[list_position(off, list_min(off))]), 4) + 0e0 AS off_pp, CASE WHEN expected IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', accuracy))) > 0 END AS by_computed,
-CASE WHEN expected IS NOT NULL AND recorded IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', recorded))) > 0 END AS by_manifest, abs(recorded - accuracy) > 5e-5 AS drifted FROM y""")
+SELECT image, checkpoint, mode, round(accuracy, 6) AS accuracy, expected[list_position(off, list_min(off))] AS nearest, round(100 * (accuracy - expected[list_position(off, list_min(off))]), 4) + 0e0 AS off_pp, coalesce(CASE WHEN expected IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', accuracy))) > 0 END::VARCHAR, 'unknown') AS by_computed,
+coalesce(CASE WHEN expected IS NOT NULL AND recorded IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', recorded))) > 0 END::VARCHAR, 'unknown') AS by_manifest, coalesce((abs(recorded - accuracy) > 5e-5)::VARCHAR, 'unknown') AS drifted FROM y""")
 def reproduction_flags(spark, sf_dir):
     """Recomputed accuracies against expected ones and what a list recorded; flags stay null where there is nothing to compare."""
     a = S.predictions(spark, sf_dir).groupBy(*SYS).agg(F.avg(F.when(F.col("split") == "test", metrics.correct())).alias("accuracy"), F.round(F.avg(F.when(F.col("split") == "val", metrics.correct())), 4).alias("val"))
     expected = F.when(F.col("image") == "imgC", None).when(F.col("checkpoint") == "cb", F.array("val")).otherwise(F.array(F.col("val"), F.round("accuracy", 4)))
     recorded = F.when(F.col("mode") == "pgs", F.col("accuracy") + F.when(F.col("image") == "imgB", 0.01).otherwise(0.0))
     flags = contracts.reproduction(a.withColumns({"expected": expected, "recorded": recorded}), SYS, "accuracy", "expected", "recorded")
-    return flags.withColumns({"accuracy": r6("accuracy"), "off_pp": F.round("off_pp", 4) + F.lit(0.0)})
+    shown = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("by_computed", "by_manifest", "drifted")}
+    return flags.withColumns({"accuracy": r6("accuracy"), "off_pp": F.round("off_pp", 4) + F.lit(0.0), **shown})
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, lang FROM documents WHERE text IS NOT NULL")

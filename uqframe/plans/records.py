@@ -95,7 +95,7 @@ def ensemble_inference(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT event_type AS mode, count(*) AS n, sum(value) AS q FROM events GROUP BY ALL), s AS (SELECT *, row_number() OVER (ORDER BY mode) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT event_type AS mode FROM events))
-SELECT f.mode, CASE WHEN i = 0 THEN 'gone' WHEN i = 1 THEN 'changed' WHEN i = k - 1 THEN 'new' ELSE 'fresh' END AS state, CASE WHEN i > 0 THEN n END AS n, CASE WHEN i > 0 THEN round(q * CASE WHEN i = 1 THEN 2 ELSE 1 END, 2) END AS quantity FROM f JOIN s USING (mode)""")
+SELECT f.mode, CASE WHEN i = 0 THEN 'gone' WHEN i = 1 THEN 'changed' WHEN i = k - 1 THEN 'new' ELSE 'fresh' END AS state, CASE WHEN i > 0 THEN n ELSE 0 END AS n, CASE WHEN i > 0 THEN round(q * CASE WHEN i = 1 THEN 2 ELSE 1 END, 2) ELSE 0e0 END AS quantity FROM f JOIN s USING (mode)""")
 def derived_refresh(spark, sf_dir):
     """A derived table after its input lost one file, changed another and gained a third: only those two are made again."""
     base = f"{shared_dir(spark)}/uqframe-derived-{uuid.uuid4().hex}"
@@ -122,4 +122,4 @@ def derived_refresh(spark, sf_dir):
     steps = cache.refresh(spark, f"{base}/second", f"{base}/out", make)
     state = steps.select(F.replace(F.replace("file", F.lit(".parquet")), F.lit("_"), F.lit(" ")).alias("mode"), "state")
     found = cache.read(spark, f"{base}/out").groupBy("mode").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("q") * F.col("times")), 2).alias("quantity"))
-    return state.join(found, "mode", "left").select("mode", "state", "n", "quantity")
+    return state.join(found, "mode", "left").na.fill(0, ["n", "quantity"]).select("mode", "state", "n", "quantity")
