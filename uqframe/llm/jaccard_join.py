@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,8 @@ MOST_FREQUENT = 1 << 21
 FLUSH, GROUP = 2_000_000, 2_000_000
 #: Tokens of a combination, at first and at most; pairs beyond which an entry's documents go on to longer combinations.
 LEAST_K, MOST_K, CROWDED = 2, 5, 1 << 16
+#: Pairs of an entry beyond which the sets' maps are compared where rows meet.
+MAPPED = 64
 #: Documents of an entry that one task orders: entries whose tokens are in more documents are dealt into parts.
 HOT = 1 << 12
 #: Tokens of a size band's least set for each class of frequent tokens, and the ratio of its largest to its least set.
@@ -365,18 +367,27 @@ def _wanted(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> tuple[Data
     return docs.select("text", at("doc_id").alias("at")), docs.sparkSession.sparkContext.broadcast(out)
 
 
+def _map_words(c: str) -> list[Column]:
+    """A map as signed 64-bit words."""
+    return [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(MAP_BITS // 64)]
+
+
+def _fits_maps(n: Column, m: Column, differ: Column) -> Column:
+    """False only for sets of n and m tokens that can't be similar, as their maps differ in so many bits."""
+    most = F.floor((n + m - differ) / 2)
+    return 100 * most >= PERCENT * (n + m - most)
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and bit maps do not rule out; no similar pair is lost.
 
     The sets differ in at least as many tokens as their maps in bits, so (n + m - bits) / 2 bounds their overlap.
     """
-    words_ = lambda c: [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(MAP_BITS // 64)]
-    split = classes.select("node", "n", F.array(*words_("map")).alias("m"))
+    split = classes.select("node", "n", F.array(*_map_words("map")).alias("m"))
     both = pairs.join(split.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("m").alias("am")), "a").join(split.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm")), "b")
     differ = F.aggregate(F.zip_with("am", "bm", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = F.floor((F.col("an") + F.col("bn") - differ) / 2)
     fits = 100 * F.least(F.col("an"), F.col("bn")) >= PERCENT * F.greatest(F.col("an"), F.col("bn"))
-    return both.where(fits).where(100 * most >= PERCENT * (F.col("an") + F.col("bn") - most)).select("a", "b")
+    return both.where(fits).where(_fits_maps(F.col("an"), F.col("bn"), differ)).select("a", "b")
 
 
 @dataclass(frozen=True)
@@ -430,15 +441,28 @@ class _Join:
         return cut(known.join(met, "entry"), "open")
 
     def pairs(self, rest: DataFrame) -> DataFrame:
-        """Pairs of nodes in different components that meet in an entry as the larger and the smaller set, and whose sizes allow it."""
+        """Pairs of nodes in different components that meet in an entry as the larger and the smaller set, and whose sizes allow it.
+
+        In entries that would make more than ``MAPPED`` pairs, the sets' maps meet with them: pairs that these rule out,
+        nearly all of a group of texts made of the same passages, never become rows.
+        """
         sized = rest.join(self.classes.select("node", "n"), "node")
+        few, many = sized.where(F.col("pairs") <= MAPPED), sized.where(F.col("pairs") > MAPPED)
+        maps = self.classes.select("node", *[w.alias(f"m{i}") for i, w in enumerate(_map_words("map"))])
+        return self.met(few).union(self.met(many.join(maps, "node"))).distinct()
+
+    def met(self, sized: DataFrame) -> DataFrame:
+        """(a, b) for each entry in which they meet; by their maps too, if ``sized`` has them."""
+        words_ = [c for c in sized.columns if c.startswith("m") and c[1:].isdigit()]
         most = F.when(F.col("about") == 0, F.col("n")).otherwise(F.shiftright(F.col("about").bitwiseAND((1 << 33) - 1), 1))
-        side = lambda s: sized.select(F.col("entry").alias(f"{s}e"), F.col("node").alias(s), F.col("c").alias(f"{s}c"), F.col("n").alias(f"{s}n"), most.alias(f"{s}most"), "about")
+        side = lambda s: sized.select(F.col("entry").alias(f"{s}e"), F.col("node").alias(s), F.col("c").alias(f"{s}c"), F.col("n").alias(f"{s}n"), most.alias(f"{s}most"), "about", *[F.col(m).alias(s + m) for m in words_])
         larger, smaller = side("a").drop("about"), side("b").where("about = 0 or about % 2 = 1").drop("about")
         ordered = (F.col("an") > F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("a") > F.col("b"))
         allowed = (100 + PERCENT) * F.least(F.col("amost"), F.col("bmost")) >= PERCENT * (F.col("an") + F.col("bn"))
-        met = larger.join(smaller, (F.col("ae") == F.col("be")) & (F.col("ac") != F.col("bc")) & ordered & allowed)
-        return met.select("a", "b").distinct()
+        if words_:
+            differ = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in words_), F.lit(0))
+            allowed &= _fits_maps(F.col("an"), F.col("bn"), differ)
+        return larger.join(smaller, (F.col("ae") == F.col("be")) & (F.col("ac") != F.col("bc")) & ordered & allowed).select("a", "b")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
