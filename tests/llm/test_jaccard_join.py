@@ -60,10 +60,11 @@ def corpus(seed, copies=40, length=120):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "key_bits", "crowded", "hot"), [(1, 64, 1 << 16, 1 << 12), (2, 3, 1 << 16, 4), (4, 64, 0, 1)])
-def test_equals_all_pairs(spark, seed, key_bits, crowded, hot, monkeypatch):
-    """Also with hashes that clash, with every entry crowded, and with entries dealt into parts."""
+@pytest.mark.parametrize(("seed", "key_bits", "crowded", "hot", "mapped"), [(1, 64, 1 << 16, 1 << 12, 64), (2, 3, 1 << 16, 4, 0), (4, 64, 0, 1, 8)])
+def test_equals_all_pairs(spark, seed, key_bits, crowded, hot, mapped, monkeypatch):
+    """Also with hashes that clash, with every entry crowded, with entries dealt into parts, and with maps in every entry."""
     monkeypatch.setattr(jj, "CROWDED", crowded)
+    monkeypatch.setattr(jj, "MAPPED", mapped)
     rows = corpus(seed)
     df = spark.createDataFrame([(k, t, "x", 0, 0, 0) for k, t in rows], "doc_id bigint, text string, key string, n int, c int, node int").repartition(3)
     monkeypatch.setattr(jj, "HOT", hot)
@@ -72,6 +73,31 @@ def test_equals_all_pairs(spark, seed, key_bits, crowded, hot, monkeypatch):
     assert got == brute(rows)
 
 
+def pool(n, seed=7):
+    """Texts of 45 of 60 paragraphs in their order: alike, but not similar; then some near copies."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(60)]
+    texts = [" ".join(paragraphs[k] for k in sorted(rng.sample(range(60), 45))) for _ in range(n)]
+    return list(enumerate(texts + [t + " and more" for t in texts[: n // 20]]))
+
+
+def test_texts_of_one_pool_make_few_rows_and_lose_no_link(spark, monkeypatch):
+    """Rows that meet grow with the texts, not with their pairs."""
+    made, met = {}, jj._Join.met
+
+    def counted(self, sized):
+        out = met(self, sized)
+        made[n] = made.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jj._Join, "met", counted)
+    for n in (120, 240):
+        rows = pool(n)
+        got = jj.join_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert made[240] < 4 * max(made[120], 1_000) and made[240] < 240 * 239 // 2
+
+
 def test_empty_null_and_repeated_keys(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert jj.join_components(empty).count() == 0
