@@ -63,3 +63,11 @@ def test_metadata_with_another_header_raises(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 'a "b",\nc'), (2, None)]
     with pytest.raises(Exception):
         readers.read_metadata(spark, str(tmp_path / "m.csv"), "text string, id int").collect()
+
+
+def test_transient_failures_stop_a_preparation(spark):
+    df = spark.createDataFrame([(1, None), (2, "http_404"), (3, "http_500"), (4, "timeout"), (5, "timeout")], "id int, status string")
+    with pytest.raises(ValueError, match="http_500: 1, timeout: 2"):
+        prep.settled_failures(df, "status")
+    assert sorted(r.id for r in prep.settled_failures(df, "status", allow_transient=True).collect()) == [2, 3, 4, 5]
+    assert [r.id for r in prep.settled_failures(df.where("id < 3"), "status").collect()] == [2]

@@ -93,3 +93,14 @@ def balance_drift(df: DataFrame, split: str = "split", label: str = "label") ->
     splits = share.select(split).distinct().agg(F.count(F.lit(1)).alias("k"))
     by = share.groupBy(label).agg(F.max("share").alias("hi"), F.min("share").alias("lo"), F.count(F.lit(1)).alias("seen"))
     return by.join(F.broadcast(splits)).select(label, (F.col("hi") - F.when(F.col("seen") < F.col("k"), 0.0).otherwise(F.col("lo"))).alias("max_difference"))
+
+
+def split_metrics(df: DataFrame, keys: list[str], classes: int, test: str = "test") -> DataFrame:
+    """keys, split, n, accuracy, macro_f1; of the test split of pooled systems also accuracy_loglin, macro_f1_loglin,
+    mean_prob_std and mean_mi, which are null elsewhere. Macro F1 is over fixed classes."""
+    by = [*keys, "split"]
+    whole = accuracy(df, by).join(macro_f1(confusion(df, by), by, classes), by)
+    pooled = df.where((F.col("split") == test) & F.col("mi").isNotNull()).withColumn("pred", V.argmax_lowest(F.col("probs_loglin")))
+    second = accuracy(pooled, by).select(*by, F.col("accuracy").alias("accuracy_loglin")).join(macro_f1(confusion(pooled, by), by, classes).withColumnRenamed("macro_f1", "macro_f1_loglin"), by)
+    means = pooled.groupBy(*by).agg(F.avg("prob_std").alias("mean_prob_std"), F.avg("mi").alias("mean_mi"))
+    return whole.join(second, by, "left").join(means, by, "left")

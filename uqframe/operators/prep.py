@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from uqframe.functions import text as X
 from uqframe.operators.ranking import running
 
+#: States of a fetch that no retry mends.
+PERMANENT = ("http_404", "http_410", "missing_id", "not_an_image")
 #: Strata whose sizes may be broadcast; more are joined.
 MOST_BROADCAST = 100_000
 #: Values of one part of a multimap, and buckets of each group's histogram when an exact share is picked.
@@ -125,3 +127,18 @@ def drop_counts(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     names = ["raw", *steps]
     entries = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("step"), F.col(f"n{i}").alias("rows"), (F.col(f"n{max(i - 1, 0)}") - F.col(f"n{i}")).alias("dropped")) for i, n in enumerate(names)])
     return one.select(F.explode(entries).alias("e")).select("e.*")
+
+
+def failure_kind(status: Column) -> Column:
+    """none for null, permanent for what no retry mends, else transient."""
+    return F.when(status.isNull(), "none").when(status.isin(*PERMANENT), "permanent").otherwise("transient")
+
+
+def settled_failures(df: DataFrame, status: str, allow_transient: bool = False) -> DataFrame:
+    """Rows that failed; ValueError names the transient states among them, since a retry could still change the result."""
+    failed = df.where(F.col(status).isNotNull())
+    if not allow_transient:
+        left = failed.where(failure_kind(F.col(status)) == "transient").groupBy(status).agg(F.count(F.lit(1)).alias("n")).orderBy(status).limit(100).collect()
+        if left:
+            raise ValueError("possibly transient failures: " + ", ".join(f"{r[status]}: {r['n']}" for r in left))
+    return failed

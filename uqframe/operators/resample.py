@@ -226,15 +226,3 @@ def calibration_resamples(df: DataFrame, keys: list[str], reps: int, key: str =
     whole = parts.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in [*sums, *gaps, "n"]])
     ece = sum((F.abs(g) for g in gaps), F.lit(0.0)) / F.col("n")
     return whole.select(*keys, "rep", *[(F.col(c) / F.col("n")).alias(c) for c in sums], ece.alias("ece"))
-
-
-def map_resamples(df: DataFrame, resamples: DataFrame, statistic: Callable[[pd.DataFrame], dict[str, float]], columns: list[str], schema: str) -> DataFrame:
-    """Any weighted statistic of a resample: ``statistic`` gets ``columns`` and ``cnt`` of one resample and gives a row.
-
-    A resample's rows meet in one task; additive statistics belong to ``resampled``.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"rep": int(frame["rep"].iloc[0]), **statistic(frame)}])
-
-    return resamples.join(df.select("pos", *columns), "pos").groupBy("rep").applyInPandas(run, schema)

@@ -113,3 +113,56 @@ def result_tables(spark, sf_dir):
 def head_rows(spark, sf_dir):
     """The first ten vectors' labels: a report of the top rows."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(10)
+
+
+_F1_OF = "list_sum(list_transform([{0}], lambda x: coalesce(x, 0e0))) / 9"
+_F1_TERMS = ", ".join("2e0 * count_if({{0}} = {0} AND label = {0}) / nullif(count_if({{0}} = {0}) + count_if(label = {0}), 0)".format(k) for k in range(S.CLASSES))
+
+
+@query("WITH " + sql.frame((SERVED, POOLED)) + ", p AS (SELECT *, (list_position(probs_loglin, list_max(probs_loglin)) - 1)::INT AS second FROM preds) SELECT image, checkpoint, mode, split, count(*) AS n, round(avg((pred = label)::INT), 6) AS accuracy, round(" + _F1_OF.format(_F1_TERMS.format("pred")) + ", 6) AS macro_f1, CASE WHEN mode = 'pgs' AND split = 'test' THEN round(avg((second = label)::INT), 6) END AS accuracy_loglin, CASE WHEN mode = 'pgs' AND split = 'test' THEN round(" + _F1_OF.format(_F1_TERMS.format("second")) + ", 6) END AS macro_f1_loglin, CASE WHEN mode = 'pgs' AND split = 'test' THEN round(avg(prob_std), 6) END AS mean_prob_std, CASE WHEN mode = 'pgs' AND split = 'test' THEN round(avg(mi), 6) END AS mean_mi FROM p GROUP BY image, checkpoint, mode, split")
+def split_metrics(spark, sf_dir):
+    """Metrics of each split, and what only the test split of the pooled system has."""
+    return rounded(metrics.split_metrics(S.predictions(spark, sf_dir, (SERVED, POOLED)), SYS, S.CLASSES))
+
+
+@query("WITH s AS (SELECT CASE event_id % 6 WHEN 0 THEN 'http_404' WHEN 1 THEN 'http_503' WHEN 2 THEN 'missing_id' WHEN 3 THEN 'timeout' WHEN 4 THEN 'not_an_image' END AS status FROM events) SELECT CASE WHEN status IS NULL THEN 'none' WHEN status IN ('http_404', 'http_410', 'missing_id', 'not_an_image') THEN 'permanent' ELSE 'transient' END AS kind, count(*) AS n FROM s GROUP BY ALL")
+def failure_kinds(spark, sf_dir):
+    """Fetches by whether a retry may mend them."""
+    k = F.col("event_id") % 6
+    status = F.when(k == 0, "http_404").when(k == 1, "http_503").when(k == 2, "missing_id").when(k == 3, "timeout").when(k == 4, "not_an_image")
+    return table(spark, sf_dir, "events").select(prep.failure_kind(status).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN l_quantity::BIGINT::VARCHAR WHEN 1 THEN l_quantity::BIGINT || '.0' WHEN 2 THEN l_quantity::BIGINT || '.5' ELSE 'n' || l_quantity::BIGINT END AS x, l_quantity::BIGINT AS q FROM lineitem) SELECT l_orderkey % 4 AS form, count(*) AS n, coalesce(sum(CASE WHEN l_orderkey % 4 < 2 THEN q END), 0)::BIGINT AS total FROM t GROUP BY ALL")
+def integer_coercion(spark, sf_dir):
+    """Integers among texts: plain, with a zero fraction, with another one, and none at all."""
+    q, k = F.col("l_quantity").cast("bigint").cast("string"), F.col("l_orderkey") % 4
+    text = F.when(k == 0, q).when(k == 1, F.concat(q, F.lit(".0"))).when(k == 2, F.concat(q, F.lit(".5"))).otherwise(F.concat(F.lit("n"), q))
+    own = table(spark, sf_dir, "lineitem").select(k.alias("form"), contracts.integer_of(text).alias("i"))
+    return own.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("i"), F.lit(0)).alias("total"))
+
+
+@query("SELECT s_suppkey, 'img' || (s_suppkey % 3) || ',x' || CASE WHEN s_suppkey % 2 = 1 THEN ',y' ELSE '' END AS parts, 'img' || s_suppkey || '/a.png' AS path FROM supplier")
+def list_forms(spark, sf_dir):
+    """Parts of lists with bars, and paths with either slash."""
+    k = lambda n: (F.col("s_suppkey") % n).cast("string")
+    listed = F.concat(F.lit("img"), k(3), F.lit("||x|"), F.when(F.col("s_suppkey") % 2 == 1, "y").otherwise("x"), F.lit("|"))
+    path = F.concat(F.lit("crm\\img"), F.col("s_suppkey").cast("string"), F.lit("\\a.png"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(X.clean_list(listed), ",").alias("parts"), X.slash_path(path, "crm/").alias("path"))
+
+
+@query("SELECT event_type, count(*) AS n, count_if(event_id % 5 > 0 AND event_id % 7 > 0)::BIGINT AS kept, round(sum(CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 THEN value ELSE 0 END), 4) AS total FROM events GROUP BY event_type")
+def finite_values(spark, sf_dir):
+    """Numbers as a JSON document may hold them: NaN and infinities become null."""
+    k = F.col("event_id")
+    x = V.finite(F.when(k % 5 == 0, float("nan")).when(k % 7 == 0, float("-inf")).otherwise(F.col("value")))
+    return table(spark, sf_dir, "events").select("event_type", x.alias("x")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("kept"), F.round(F.sum("x"), 4).alias("total"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 10 > 3 AND length(regexp_replace(text, '\\s', '', 'g')) > 0) AS kept, count(*) AS n FROM documents")
+def non_empty_rows(spark, sf_dir):
+    """Rows whose text is neither null nor blank, some of them blanked."""
+    k = F.col("doc_id") % 10
+    text = F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, " \t\n").when(k == 3, "  ").otherwise(F.col("text"))
+    d = table(spark, sf_dir, "documents").select(text.alias("text"))
+    return prep.non_empty(d, ["text"]).agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))
