@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from uqframe.functions import text as X
-from uqframe.plans.base import F, POOLED, SERVED, SYS, TEST, S, V, contracts, metrics, prep, query, r6, rounded, sql, table, test_rows
-from uqframe.plans.report_queries import _SEL_SQL, _selective
+from uqframe.plans.analysis import _paired
+from uqframe.plans.base import F, POOLED, SERVED, SYS, TEST, S, V, contracts, metrics, prep, query, r6, rounded, rules, sql, table, test_rows
+from uqframe.plans.report_queries import _DIFF_SQL, _SEL_SQL, _differences, _selective
 from uqframe.sources import files, readers
 from uqframe.sources.shared import shared_dir
 
@@ -56,19 +57,48 @@ def export_plan(spark, sf_dir):
     return contracts.export_plan(tags, ("cb", "pgs"), ("argmax", "pgs"), have)
 
 
-@query("WITH " + sql.frame() + """, a AS (SELECT image, checkpoint, mode, avg((pred = label)::INT) FILTER (split = 'test') AS accuracy, round(avg((pred = label)::INT) FILTER (split = 'val'), 4) AS val FROM preds GROUP BY ALL),
+_FLAGS_SQL = "WITH " + sql.frame() + """, a AS (SELECT image, checkpoint, mode, avg((pred = label)::INT) FILTER (split = 'test') AS accuracy, round(avg((pred = label)::INT) FILTER (split = 'val'), 4) AS val FROM preds GROUP BY ALL),
 x AS (SELECT *, CASE WHEN image = 'imgC' THEN NULL WHEN checkpoint = 'cb' THEN [val] ELSE [val, round(accuracy, 4)] END AS expected, CASE WHEN mode = 'pgs' THEN accuracy + CASE WHEN image = 'imgB' THEN 0.01e0 ELSE 0e0 END END AS recorded FROM a),
-y AS (SELECT *, list_transform(expected, lambda e: abs(e - accuracy)) AS off FROM x)
-SELECT image, checkpoint, mode, round(accuracy, 6) AS accuracy, expected[list_position(off, list_min(off))] AS nearest, round(100 * (accuracy - expected[list_position(off, list_min(off))]), 4) + 0e0 AS off_pp, coalesce(CASE WHEN expected IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', accuracy))) > 0 END::VARCHAR, 'unknown') AS by_computed,
-coalesce(CASE WHEN expected IS NOT NULL AND recorded IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', recorded))) > 0 END::VARCHAR, 'unknown') AS by_manifest, coalesce((abs(recorded - accuracy) > 5e-5)::VARCHAR, 'unknown') AS drifted FROM y""")
-def reproduction_flags(spark, sf_dir):
-    """Recomputed accuracies against expected ones and what a list recorded; flags stay null where there is nothing to compare."""
+y AS (SELECT *, list_transform(expected, lambda e: abs(e - accuracy)) AS off, CASE WHEN expected IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', accuracy))) > 0 END AS by_computed,
+CASE WHEN expected IS NOT NULL AND recorded IS NOT NULL THEN len(list_filter(expected, lambda e: printf('%.4f', e) = printf('%.4f', recorded))) > 0 END AS by_manifest FROM x) """
+
+
+def _flags(spark, sf_dir):
+    """Accuracies of the systems against expectations of the validation split, and what a list recorded of some."""
     a = S.predictions(spark, sf_dir).groupBy(*SYS).agg(F.avg(F.when(F.col("split") == "test", metrics.correct())).alias("accuracy"), F.round(F.avg(F.when(F.col("split") == "val", metrics.correct())), 4).alias("val"))
     expected = F.when(F.col("image") == "imgC", None).when(F.col("checkpoint") == "cb", F.array("val")).otherwise(F.array(F.col("val"), F.round("accuracy", 4)))
     recorded = F.when(F.col("mode") == "pgs", F.col("accuracy") + F.when(F.col("image") == "imgB", 0.01).otherwise(0.0))
-    flags = contracts.reproduction(a.withColumns({"expected": expected, "recorded": recorded}), SYS, "accuracy", "expected", "recorded")
+    return contracts.reproduction(a.withColumns({"expected": expected, "recorded": recorded}), SYS, "accuracy", "expected", "recorded")
+
+
+@query(_FLAGS_SQL + """SELECT image, checkpoint, mode, round(accuracy, 6) AS accuracy, expected[list_position(off, list_min(off))] AS nearest, round(100 * (accuracy - expected[list_position(off, list_min(off))]), 4) + 0e0 AS off_pp,
+coalesce(by_computed::VARCHAR, 'unknown') AS by_computed, coalesce(by_manifest::VARCHAR, 'unknown') AS by_manifest, coalesce((abs(recorded - accuracy) > 5e-5)::VARCHAR, 'unknown') AS drifted FROM y""")
+def reproduction_flags(spark, sf_dir):
+    """Recomputed accuracies against expected ones and what a list recorded; unknown where there is nothing to compare."""
     shown = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("by_computed", "by_manifest", "drifted")}
-    return flags.withColumns({"accuracy": r6("accuracy"), "off_pp": F.round("off_pp", 4) + F.lit(0.0), **shown})
+    return _flags(spark, sf_dir).withColumns({"accuracy": r6("accuracy"), "off_pp": F.round("off_pp", 4) + F.lit(0.0), **shown})
+
+
+_APART = "(f_lo > 0 OR f_hi < 0)"
+
+
+@query("SELECT * FROM (" + _DIFF_SQL + f"""SELECT 'C1' AS claim, CASE WHEN da < 0 AND p < 0.05 THEN 'SUPPORTED' WHEN da < 0 THEN 'QUALIFIED' ELSE 'CONTRADICTED' END AS verdict FROM diff WHERE row = 'R4'
+UNION ALL SELECT 'C2', CASE WHEN p < 0.05 OR {_APART} THEN 'CONTRADICTED' ELSE 'SUPPORTED' END FROM diff WHERE row = 'R5' UNION ALL SELECT 'C3', CASE WHEN p_holm >= 0.05 AND NOT {_APART} THEN 'SUPPORTED' WHEN p_holm < 0.05 AND {_APART} THEN 'CONTRADICTED' ELSE 'QUALIFIED' END FROM diff WHERE row = 'R1'
+UNION ALL SELECT 'C6', CASE WHEN count_if(a.pred <> b.pred) = 130 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END FROM preds a JOIN preds b USING (image, checkpoint, row_id) WHERE image = 'imgA' AND checkpoint = 'pgs' AND a.mode = 'argmax' AND b.mode = 'pgs')
+UNION ALL SELECT * FROM (""" + _SEL_SQL + """SELECT 'C4', CASE WHEN a.a_lo <= 0.5 THEN 'CONTRADICTED' WHEN NOT (a.a_lo <= b.a_hi AND b.a_lo <= a.a_hi) AND a.auroc < b.auroc THEN 'QUALIFIED' ELSE 'SUPPORTED' END FROM sel a, sel b WHERE a.score_id = 'S5' AND b.score_id = 'S1')
+UNION ALL SELECT * FROM (""" + _FLAGS_SQL + """SELECT 'C5', CASE WHEN count_if(NOT coalesce(by_manifest, true) OR NOT coalesce(by_computed, true)) > 0 THEN 'CONTRADICTED' WHEN count_if(by_manifest <> by_computed) > 0 OR count_if(by_manifest IS NOT NULL OR by_computed IS NOT NULL) = 0 THEN 'QUALIFIED' ELSE 'SUPPORTED' END FROM y)""")
+def claim_states(spark, sf_dir):
+    """The six verdicts on shared draws, with the list's flags beside the recomputed ones."""
+    diff, sel, col = _differences(spark, sf_dir), _selective(spark, sf_dir), F.col
+    at = lambda df, by, keys, columns: df.agg(*[F.max(F.when(col(by) == k, col(c))).alias(f"{c}_{k}") for k in keys for c in columns])
+    d = at(diff, "row", ("R1", "R4", "R5"), ("d_accuracy", "p", "p_holm", "d_macro_f1_lo", "d_macro_f1_hi"))
+    s = at(sel, "score_id", ("S1", "S5"), ("auroc", "auroc_lo", "auroc_hi"))
+    flags = _flags(spark, sf_dir)
+    differ = _paired(spark, sf_dir).where("row = 'R4'").select("differ")
+    one = d.join(F.broadcast(s)).join(F.broadcast(flags.agg(rules.reproduced(flags).alias("c5")))).join(F.broadcast(differ))  # one row each
+    f1 = lambda r: (col(f"d_macro_f1_lo_{r}"), col(f"d_macro_f1_hi_{r}"))
+    verdicts = {"C1": rules.lower_accuracy(col("d_accuracy_R4"), col("p_R4")), "C2": rules.within_variance(col("p_R5"), *f1("R5")), "C3": rules.indistinguishable(col("p_holm_R1"), *f1("R1")), "C4": rules.signal_value(*[col(f"{c}_{k}") for k in ("S5", "S1") for c in ("auroc", "auroc_lo", "auroc_hi")]), "C5": col("c5"), "C6": rules.disagreements(col("differ"))}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("claim"), v.alias("verdict")) for k, v in verdicts.items()])).alias("e")).select("e.*")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, lang FROM documents WHERE text IS NOT NULL")

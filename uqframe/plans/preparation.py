@@ -175,7 +175,7 @@ def centroid_scorer(spark, sf_dir):
     return rounded(scorer.centroid_scores(e, scorer.centroids(e), "vec_id"))
 
 
-@query()
+@query("WITH z AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS z FROM embeddings) SELECT vec_id, (list_position(z, list_max(z)) - 1)::INT AS pred, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS confidence FROM z")
 def scorer_udf(spark, sf_dir):
     import numpy as np
 
