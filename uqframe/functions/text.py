@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from uqframe.functions import vectors as V
+
 MINUS = "−"
 
 
@@ -26,24 +28,31 @@ def fixed(x: Column, places: int, plus: bool = False) -> Column:
 
     Java's own formatting rounds the shortest decimal form half up, so the value is rounded exactly first.
     """
-    shown = F.format_string(f"%.{places}f", F.abs(_half_even(x, places)))
-    zero = shown == ("0." + "0" * places if places else "0")
-    sign = F.when((x < 0) & ~zero, MINUS).when(F.lit(plus) & ~zero & (x > 0), "+").otherwise("")
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "n/a").otherwise(F.concat(sign, shown))
+    none = "0." + "0" * places if places else "0"
+
+    def signed(v: Column, shown: Column) -> Column:
+        sign = F.when((v < 0) & (shown != none), MINUS).when(F.lit(plus) & (shown != none) & (v > 0), "+").otherwise("")
+        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "n/a").otherwise(F.concat(sign, shown))
+
+    # named once, a value is computed once, and the code of long reports stays small
+    return V.let(x, lambda v: V.let(F.format_string(f"%.{places}f", F.abs(_half_even(v, places))), lambda shown: signed(v, shown)))
 
 
 def _half_even(x: Column, places: int) -> Column:
     """``x`` rounded by its exact binary value. The size is cut into a high part of 26 bits and the rest, so the distance from
     the middle between two neighbours is computed without error. Sizes beyond 2^53 / (2 * 10^places), 4.5e11 for four
     decimals, are rounded by their shortest decimal form."""
-    size, double = F.abs(x), 2.0 * 10**places
-    scaled = size * F.lit(134217729.0)
-    high = scaled - (scaled - size)
-    below = F.floor(size * F.lit(10.0**places)).cast("double")
-    off = (high * double - (2.0 * below + 1.0)) + (size - high) * double
-    up = F.when((off > 0) | ((off == 0) & (below % 2 == 1)), 1.0).otherwise(0.0)
-    rounded = F.when(size < 2.0**53 / double, (below + up) / F.lit(10.0**places)).otherwise(F.bround(size.cast("decimal(38,10)"), min(places, 10)).cast("double"))
-    return F.when(x < 0, -rounded).otherwise(rounded)
+    double = 2.0 * 10**places
+
+    def of(v: Column, size: Column, below: Column) -> Column:
+        scaled = size * F.lit(134217729.0)
+        high = scaled - (scaled - size)
+        off = (high * double - (2.0 * below + 1.0)) + (size - high) * double
+        up = V.let(off, lambda d: F.when((d > 0) | ((d == 0) & (below % 2 == 1)), 1.0).otherwise(0.0))
+        rounded = F.when(size < 2.0**53 / double, (below + up) / F.lit(10.0**places)).otherwise(F.bround(size.cast("decimal(38,10)"), min(places, 10)).cast("double"))
+        return V.let(rounded, lambda r: F.when(v < 0, -r).otherwise(r))
+
+    return V.let(x, lambda v: V.let(F.abs(v), lambda size: V.let(F.floor(size * F.lit(10.0**places)).cast("double"), lambda below: of(v, size, below))))
 
 
 def fmt_metric(x: Column) -> Column:
