@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from uqframe.functions import vectors as V
+
+#: Successes up to which an exact tail is added term by term.
+TERMS = 2_000
+
 
 def pivot_systems(df: DataFrame, names: list[str], system: str = "system", key: str = "row_id") -> DataFrame:
     """One row a sample with ``<name>_pred`` of each system and the label, without a self-join; samples that lack a system are dropped."""
@@ -22,12 +27,24 @@ def discordant(a: Column, b: Column) -> list[Column]:
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Two-sided exact p of min(b, c) successes in b + c fair draws; 1 if there are none."""
-    n, m = (b + c).cast("bigint"), F.least(b, c).cast("bigint")
+    """Two-sided exact p of min(b, c) successes in b + c fair draws; 1 if there are none.
+
+    The tail is its last term times a sum of falling ratios. Up to ``TERMS`` successes every term is added; beyond, the
+    last term is Stirling's series, and ratios end after ten standard deviations, where they are below 1e-80.
+    """
+    return V.let(F.struct((b + c).cast("bigint").alias("n"), F.least(b, c).cast("bigint").alias("m")), lambda t: _exact(t["n"], t["m"]))
+
+
+def _exact(n: Column, m: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("s"), F.lit(0.0).alias("l"))
     step = lambda a, i: F.struct((1.0 + a["s"] * i / (n - i + 1)).alias("s"), (a["l"] + F.ln((n - i + 1) / i)).alias("l"))
-    tail = F.aggregate(F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: a["s"] * F.exp(a["l"] - n * math.log(2.0)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    few = F.aggregate(F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: a["s"] * F.exp(a["l"] - n * math.log(2.0)))
+    x, y, off = m.cast("double"), (n - m).cast("double"), (n - 2 * m) / n
+    rest = lambda v: 1 / (12 * v) - 1 / (360 * v * v * v) + 1 / (1260 * v * v * v * v * v)  # noqa: E731  what Stirling's formula leaves of ln v!
+    last = rest(n.cast("double")) - rest(x) - rest(y) - x * F.log1p(-off) - y * F.log1p(off) - 0.5 * F.ln(2 * math.pi * x * (y / n))
+    ends = F.least(m, F.ceil(10 * F.sqrt(n.cast("double"))))
+    ratios = F.aggregate(F.sequence(ends, F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")), F.lit(1.0), lambda s, j: 1.0 + s * (m - j + 1) / (n - m + j))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * F.when(m <= TERMS, few).otherwise(ratios * F.exp(last))))
 
 
 def holm(df: DataFrame, family: str, p: str = "p", key: str = "row") -> DataFrame:
@@ -77,18 +94,37 @@ def mcnemar_corrected(b: Column, c: Column) -> Column:
 def worst_cases(df: DataFrame, keys: list[str], better: str = "better", worse: str = "worse", n: str = "n", most: str = "most") -> DataFrame:
     """keys, k_better, k_worse, b, c, p, p_corrected: the largest exact p that two accuracies printed with four decimals allow.
 
-    ``n`` is the sample's size and ``most`` a bound on discordant pairs (null: none). All counts that print as the two
-    accuracies are tried, a few for each row; of equal p the least counts. Rows that no pair of counts with
-    k_better > k_worse fits have no result.
+    ``n`` is the sample's size and ``most`` a bound on discordant pairs (null: none); of equal p the least counts. Rows that
+    no pair of counts with k_better > k_worse fits have no result.
+
+    No pair has to be tried but two: with b - c = k_better - k_worse, the tail only grows as that difference falls, as
+    k_better falls and as k_worse rises, bounded or not. So the least k_better goes with the greatest k_worse below it. Where
+    both accuracies print alike, neighbours have p = 1, the least of them too. Where that p is 0 in a double, all are.
     """
     prints = lambda k, shown: F.round(k / F.col(n).cast("double"), 4) == F.round(F.col(shown), 4)
     near = lambda shown, off: F.col(shown) * F.col(n) + off * F.col(n)
     counts = lambda shown: F.filter(F.sequence(F.floor(near(shown, -5e-5)), F.ceil(near(shown, 5e-5))), lambda k: prints(k, shown))
-    pairs = df.select(*keys, n, most, F.explode(counts(better)).alias("k_better"), counts(worse).alias("w")).select(*keys, n, most, "k_better", F.explode("w").alias("k_worse")).where("k_better > k_worse")
-    d = F.col("k_better") - F.col("k_worse")
-    free = 2 * F.least(F.col(n) - F.col("k_better"), F.col(n) - F.col("k_worse") - d) + d
-    cap = F.col(most) - (F.col(most) - d) % 2
-    c = F.floor((F.coalesce(F.least(free, cap), free) - d) / 2).cast("bigint")
-    tried = pairs.withColumn("c", c).where("c >= 0").withColumn("b", F.col("c") + d).withColumn("p", mcnemar_exact(F.col("b"), F.col("c")))
-    kept = F.max_by(F.struct("k_better", "k_worse", "b", "c", "p"), F.struct("p", -F.col("k_better"), -F.col("k_worse")))
-    return tried.groupBy(*keys).agg(kept.alias("r")).select(*keys, "r.*", mcnemar_corrected(F.col("r.b"), F.col("r.c")).alias("p_corrected"))
+
+    def least_c(k_better: Column, k_worse: Column) -> Column:
+        d = k_better - k_worse
+        free = 2 * F.least(F.col(n) - k_better, F.col(n) - k_worse - d) + d
+        cap = F.col(most) - (F.col(most) - d) % 2
+        return F.floor((F.coalesce(F.least(free, cap), free) - d) / 2).cast("bigint")
+
+    def once(rows: DataFrame, *names: str, **made: Column) -> DataFrame:
+        """``rows`` with columns that are computed once, however often later ones name them."""
+        entry = F.struct(*[F.col(c) for c in names], *[c.alias(k) for k, c in made.items()])
+        return rows.select(F.explode(F.array(entry)).alias("e")).select("e.*")
+
+    def with_p(rows: DataFrame, k_worse: Column) -> DataFrame:
+        rows = once(rows, *same, "k_better", "__w", k_worse=k_worse)
+        rows = once(rows, *same, "k_better", "__w", "k_worse", c=least_c(F.col("k_better"), F.col("k_worse"))).withColumn("b", F.col("c") + F.col("k_better") - F.col("k_worse"))
+        return once(rows, *same, "k_better", "__w", "k_worse", "b", "c", p=mcnemar_exact(F.col("b"), F.col("c")))
+
+    same = [*keys, n, most]
+    rows = once(df, *same, __b=counts(better), __w=counts(worse))
+    rows = once(rows, *same, "__w", k_better=F.array_min(F.filter("__b", lambda k: k > F.array_min("__w"))))
+    rows = once(rows, *same, "k_better", __w=F.filter("__w", lambda k: (k < F.col("k_better")) & (least_c(F.col("k_better"), k) >= 0))).where("size(__w) > 0")
+    best = with_p(rows, F.array_max("__w"))
+    best = with_p(best, F.when(F.col("p") > 0, F.col("k_worse")).otherwise(F.array_min("__w")))
+    return best.select(*keys, "k_better", "k_worse", "b", "c", "p", mcnemar_corrected(F.col("b"), F.col("c")).alias("p_corrected"))
