@@ -126,3 +126,29 @@ def test_sums_that_pass_the_bound_are_returned_in_parts(spark):
 def test_sign_of_a_comparison(spark, overlap, less, excludes, delta, sign):
     one = spark.range(1).select(rules.signal_sign(F.lit(overlap), F.lit(less), F.lit(excludes), F.lit(delta)).alias("s"), rules.direction(F.lit(delta - 1), F.lit(delta + 1)).alias("d")).head()
     assert one.s == sign and one.d == "unchanged"
+
+
+def test_weights_are_the_steps_a_word_reaches():
+    from uqframe.operators.draws import MULTIPLIERS, STEPS, Weights
+
+    def mix(x):
+        for shift, m in zip((16, 15), MULTIPLIERS):
+            x = (x ^ x >> shift) * m % 2**32
+        return x ^ x >> 16
+
+    w = Weights(np.arange(-3, 200))
+    got = w.of(5, 400)
+    for i in (0, 3, 4, 100, 202):
+        for rep in (5, 6, 77, 399):
+            u = mix(int(w.a[i]) ^ mix(int(w.b[i]) ^ mix(rep + 1 ^ int(w.seed[0]))))
+            assert got[rep - 5, i] == sum(u >= s for s in STEPS)
+    assert got.max() < 12 and Weights(np.zeros(0, np.int64)).of(0, 3).shape == (3, 0)
+
+
+def test_words_at_a_step_are_told_apart():
+    from uqframe.operators import draws
+
+    upper = np.array(draws.STEPS, np.uint64) >> np.uint64(16)
+    assert (draws._BY_UPPER[upper.astype(int)] == draws.OPEN).all() and np.count_nonzero(draws._BY_UPPER == draws.OPEN) == len(set(upper.tolist()))
+    for s in draws.STEPS[:4]:
+        assert draws._BY_UPPER[(s >> 16) - 1] == draws.STEPS.index(s) and draws._BY_UPPER[(s >> 16) + 1] == draws.STEPS.index(s) + 1

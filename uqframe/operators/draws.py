@@ -29,16 +29,21 @@ MULTIPLIERS, WORDS = (0x7FEB352D, 0x2C1B3C6D), (0x9E3779B9, 0x85EBCA6B)
 #: A weight is the number of these that a 32-bit word reaches: Poisson(1) by its inverse distribution.
 STEPS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 #: Words that are mixed at once, bytes of sums that a task holds before it returns them, rows of a block, blocks of a group.
-TILE, HELD_BYTES, BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 18, 256 << 20, 20_000, 16, 4_096
+TILE, HELD_BYTES, BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 16, 256 << 20, 20_000, 16, 4_096
 _LOW = np.uint64(0xFFFFFFFF)
+#: The weight of all words with the same upper half; OPEN where a step lies among them.
+OPEN = 255
+_BY_UPPER, _LAST = (np.searchsorted(np.array(STEPS, np.uint64), (np.arange(1 << 16, dtype=np.uint64) << np.uint64(16)) + np.uint64(low), "right").astype(np.uint8) for low in (0, 0xFFFF))
+_BY_UPPER[_BY_UPPER != _LAST] = OPEN
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Two rounds of shift and multiply on 32-bit words, in place."""
+def _mix(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """Two rounds of shift and multiply on 32-bit words, in place; ``spare`` is overwritten."""
+    spare = np.empty_like(x) if spare is None else spare
     for shift, m in zip((16, 15), MULTIPLIERS):
-        x ^= x >> np.uint32(shift)
+        x ^= np.right_shift(x, np.uint32(shift), out=spare)
         x *= np.uint32(m)
-    x ^= x >> np.uint32(16)
+    x ^= np.right_shift(x, np.uint32(16), out=spare)
     return x
 
 
@@ -54,10 +59,12 @@ class Weights:
 
     def of(self, start: int, stop: int) -> np.ndarray:
         c = _mix(np.arange(start + 1, stop + 1, dtype=np.uint32) ^ self.seed)
-        u = _mix(self.a ^ _mix(self.b ^ c[:, None]))
-        out = np.zeros(u.shape, np.uint8)
-        for step in STEPS:
-            out += u >= np.uint32(step)
+        u = self.b ^ c[:, None]
+        spare = np.empty_like(u)
+        u = _mix(np.bitwise_xor(self.a, _mix(u, spare), out=u), spare)
+        out = _BY_UPPER[np.right_shift(u, np.uint32(16), out=spare)]
+        near = np.flatnonzero(out == OPEN)
+        out.flat[near] = np.searchsorted(np.array(STEPS, np.uint32), u.flat[near], "right")
         return out
 
     def tiles(self, reps: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -218,10 +225,17 @@ def auroc(df: DataFrame, keys: list[str], score: str = "score", positive: str =
     def area(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__x", ignore_index=True)
         x, up, made = frame["__x"].to_numpy(), frame[positive].to_numpy(bool), []
-        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        for start, w in Weights(frame[row_key].fillna(-1).to_numpy(), seed).tiles(reps):
-            pos, neg = (np.add.reduceat(np.where(s, w, 0), first, axis=1, dtype=np.float64) for s in (up, ~up))
-            made.append(pd.DataFrame({"rep": np.arange(start, start + len(w)), "pos": pos.sum(axis=1), "neg": neg.sum(axis=1), "area": (pos * (neg.cumsum(axis=1) - 0.5 * neg)).sum(axis=1)}))
+        row = frame[row_key].fillna(-1).to_numpy()
+        of_pos, of_neg = Weights(row[up], seed), Weights(row[~up], seed)
+        # a positive beats the negatives before the first of its score, and half of those up to the last
+        before, upto = (np.searchsorted(x[~up], x[up], side) for side in ("left", "right"))
+        step = max(1, TILE // len(x))
+        for start in range(0, reps, step):
+            stop = min(reps, start + step)
+            pos, neg = of_pos.of(start, stop), np.zeros((stop - start, len(of_neg.a) + 1), np.int64)
+            np.cumsum(of_neg.of(start, stop), axis=1, out=neg[:, 1:])
+            beaten = np.take(neg, before, axis=1) + np.take(neg, upto, axis=1)
+            made.append(pd.DataFrame({"rep": np.arange(start, stop), "pos": pos.sum(axis=1, dtype=np.float64), "neg": neg[:, -1].astype(np.float64), "area": 0.5 * np.einsum("ij,ij->i", pos, beaten, dtype=np.float64, casting="unsafe")}))
         out = pd.concat(made)
         for k in [*keys, "__block"]:
             out[k] = frame[k].iloc[0]
