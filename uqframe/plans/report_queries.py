@@ -111,7 +111,8 @@ UNION ALL SELECT 'T1_AUROC', max(CASE score_id WHEN 'S1' THEN printf('%.4f', aur
 def report_values(spark, sf_dir):
     """Every number of the report under its key, as printed."""
     t, cal = _calibration(spark, sf_dir)
-    diff, sel = _differences(spark, sf_dir), _selective(spark, sf_dir)
+    # a few rows each, dear to make and read by several entries: made once
+    cal, diff, sel = cal.persist(), _differences(spark, sf_dir).persist(), _selective(spark, sf_dir).persist()
     col, m = F.col, X.fmt_metric
     t5 = _listed(cal, "T5", col("row"), {"ACC": m(col("accuracy")), "CONF": m(col("mean_confidence")), "ECE": X.fmt_metric_ci(col("ece"), col("ece_lo"), col("ece_hi")), "BRIER": m(col("brier")), "NLL": m(col("nll"))})
     change = lambda c: X.fmt_pp_ci(col(c), col(f"{c}_lo"), col(f"{c}_hi"))
@@ -138,7 +139,7 @@ UNION ALL SELECT 'chance', score_id, CASE WHEN a_hi < 0.5 THEN 'below' WHEN a_lo
 def report_decisions(spark, sf_dir):
     """What the report's sentences say, as states: calibration, deferral and coverage by each score, chance, the best score."""
     _, cal = _calibration(spark, sf_dir)
-    sel, col = _selective(spark, sf_dir), F.col
+    sel, col = _selective(spark, sf_dir).persist(), F.col  # six rows, dear to make and read by two entries: made once
     at = cal.agg(*[F.max(F.when(col("row") == r, col(c))).alias(f"{c}_{r}") for r in ("R3", "R4", "R5") for c in ("ece", "ece_lo", "ece_hi")])
     row = lambda decision, subject, state: F.struct(F.lit(decision).alias("decision"), subject.alias("subject"), state.alias("state"))
     change = rules.calibration_change(*[col(f"{c}_{r}") for r in ("R4", "R3") for c in ("ece", "ece_lo", "ece_hi")])
