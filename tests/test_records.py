@@ -173,3 +173,14 @@ def test_only_changed_files_are_read_again(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         cache.refresh(spark, str(inputs), out, lambda df: df.select(cache.SOURCE, F.raise_error(F.lit("lost")).alias("v")))
     assert sorted(r.v[0] for r in cache.read(spark, out).collect()) == [4, 5, 6]  # as before
+
+
+def test_derived_refresh_holds_where_sorted_partitions_come_in_another_order(spark, sf_dir, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from uqframe.plans import registry
+
+    calls = iter(range(1000))  # as on a cluster, where coalesce takes partitions by their hosts: another order at each call
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: df.repartition(n).sortWithinPartitions(F.xxhash64(F.col(df.columns[0]), F.col(df.columns[1]), F.lit(next(calls)))))
+    states = sorted(r.state for r in registry.queries()["derived_refresh"](spark, sf_dir).collect())
+    assert states == ["changed", "fresh", "fresh", "gone", "new"]

@@ -102,21 +102,26 @@ def derived_refresh(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"), F.col("value").alias("q"))
     modes = sorted(r["mode"] for r in rows.select("mode").distinct().collect())  # a handful of types of event
 
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    store = path(base).getFileSystem(context._jsc.hadoopConfiguration())
+    place = lambda folder, mode: path(f"{base}/{folder}/{mode.replace(' ', '_')}.parquet")
+
     def put(mode, factor, folder):
-        """One input file: files of the two stages that aren't meant to differ are equal to the byte."""
-        one = rows.where(F.col("mode") == mode).groupBy("mode", (F.col("q") * factor).alias("q")).agg(F.count(F.lit(1)).alias("times")).orderBy("q").coalesce(1)
+        """One input file. Sorted within one partition: coalesce would take sorted partitions in the order of their hosts."""
+        one = rows.where(F.col("mode") == mode).groupBy("mode", (F.col("q") * factor).alias("q")).agg(F.count(F.lit(1)).alias("times")).repartition(1).sortWithinPartitions("q")
         one.write.mode("overwrite").parquet(f"{base}/staged")
-        context = spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path
-        store = path(base).getFileSystem(context._jsc.hadoopConfiguration())
         store.mkdirs(path(f"{base}/{folder}"))
         written = next(s.getPath() for s in store.globStatus(path(f"{base}/staged/part-*.parquet")))
-        store.rename(written, path(f"{base}/{folder}/{mode.replace(' ', '_')}.parquet"))
+        store.rename(written, place(folder, mode))
 
     for m in modes[:-1]:
         put(m, 1, "first")
     for m in modes[1:]:
-        put(m, 2 if m == modes[1] else 1, "second")
+        if m in modes[2:-1]:  # the same file in both stages: a copy, so equal to the byte wherever it was written
+            context._jvm.org.apache.hadoop.fs.FileUtil.copy(store, place("first", m), store, place("second", m), False, context._jsc.hadoopConfiguration())
+        else:
+            put(m, 2 if m == modes[1] else 1, "second")
     make = lambda df: df.select(cache.SOURCE, "mode", "q", "times")
     cache.refresh(spark, f"{base}/first", f"{base}/out", make)
     steps = cache.refresh(spark, f"{base}/second", f"{base}/out", make)
