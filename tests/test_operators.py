@@ -379,3 +379,21 @@ def test_ties_are_cut_by_the_next_column(spark):
         assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" in plan
+
+
+def test_auroc_of_counted_resamples_is_that_of_drawn_rows(spark):
+    reps, n = 3, 60
+    rng = np.random.default_rng(4)
+    rows = [(i, k, float(rng.integers(0, 9)) if k == "tied" else float(rng.random()), bool(rng.random() < 0.4)) for i in range(n) for k in ("tied", "own")]
+    df = spark.createDataFrame(rows, "pos long, score_id string, score double, positive boolean")
+    draws, counts = resample.hash_resamples(spark, n, reps), resample.hash_counts(spark, n, reps)
+    drawn = {(r.rep, r.pos): r.cnt for r in draws.collect()}
+    assert {(i, r.pos): c for r in counts.collect() for i, c in enumerate(r.cnt) if c} == drawn and sum(drawn.values()) == reps * n
+    got = {(r.score_id, r.rep): r.auroc for r in resample.auroc_of_counts(df.join(counts, "pos"), ["score_id"], reps, rows=7).collect()}
+    for k in ("tied", "own"):
+        for rep in range(reps):
+            own = [(s, p, drawn.get((rep, i), 0)) for i, name, s, p in rows if name == k]
+            pairs = [(wa * wb, (a > b) + 0.5 * (a == b)) for a, p, wa in own if p for b, q, wb in own if not q]
+            assert got[k, rep] == pytest.approx(sum(w * x for w, x in pairs) / sum(w for w, _ in pairs), abs=1e-12)
+    one_class = df.withColumn("positive", F.lit(True)).join(counts, "pos")
+    assert all(r.auroc is None for r in resample.auroc_of_counts(one_class, ["score_id"], reps).collect())

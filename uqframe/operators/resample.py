@@ -15,6 +15,8 @@ from uqframe.operators.ranking import running
 
 #: 32-bit words of the exact stream that are drawn at once.
 STREAM_BLOCK = 1 << 20
+#: Rows of a block whose area under the curve is taken at once.
+AREA_ROWS = 100_000
 
 
 def hash_resamples(spark: SparkSession, n: int, reps: int) -> DataFrame:
@@ -24,6 +26,14 @@ def hash_resamples(spark: SparkSession, n: int, reps: int) -> DataFrame:
     return draws.select("rep", pos.alias("pos")).groupBy("rep", "pos").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def hash_counts(spark: SparkSession, n: int, reps: int) -> DataFrame:
+    """pos, cnt (array of its count in each resample) of ``hash_resamples``: a row a position, for statistics that order rows once."""
+    draws = spark.range(reps * n).select((F.col("id") / n).cast("bigint").alias("rep"), (F.col("id") % n).alias("draw"))
+    pos = F.conv(F.substring(F.md5(F.concat_ws("-", "rep", "draw")), 1, 8), 16, 10).cast("bigint") % n
+    dealt = draws.select(F.col("rep").cast("int").alias("rep"), pos.alias("pos")).repartition("pos")  # before they are counted: few draws of a position meet earlier
+    return dealt.groupBy("pos").agg(*[F.count_if(F.col("rep") == r).alias(f"c{r}") for r in range(reps)]).select("pos", F.array(*[f"c{r}" for r in range(reps)]).alias("cnt"))
+
+
 def positions(df: DataFrame, order: str = "row_id") -> DataFrame:
     """``df`` with ``pos`` from 0 in the order of ``order``, without a single-task sort."""
     return running(df, [], [order], {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
@@ -182,6 +192,41 @@ def auroc_resamples(df: DataFrame, keys: list[str], reps: int, score: str = "sco
         return {"pos": pos.sum(axis=1), "neg": neg.sum(axis=1), "area": (pos * (neg.cumsum(axis=1) - 0.5 * neg)).sum(axis=1)}
 
     parts = resample_cells(ranges(cells, keys, score, count), keys, [score, positive], area, "pos double, neg double, area double", reps)
+    return _whole_area(parts, keys)
+
+
+def auroc_of_counts(df: DataFrame, keys: list[str], reps: int, score: str = "score", positive: str = "positive", counts: str = "cnt", rows: int = AREA_ROWS) -> DataFrame:
+    """keys, rep, auroc of rows with an array of their counts in each resample; null where a resample lacks a class.
+
+    Rows are cut at quantiles of the score and summed to cells of equal score and class; a block of cells is sorted once for all
+    resamples and gives its own area and totals only.
+    """
+    most = max((r["n"] for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
+    count = max(2, min(10_000, -(-most // rows)))
+    grid = F.percentile_approx(F.col(score), [i / count for i in range(1, count)], 10_000)
+    bounds = df.groupBy(*keys).agg(F.array_distinct(grid).alias("__b"))
+    cut = df.join(F.broadcast(bounds), keys).withColumn("block", F.size(F.filter("__b", lambda b: b < F.col(score))))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), count)
+    cells = cut.repartition(tasks, *keys, "block").groupBy(*keys, "block", score, positive).agg(*[F.sum(F.get(counts, r)).alias(f"c{r}") for r in range(reps)])
+
+    def area(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(score, ignore_index=True)
+        value, up = frame[score].to_numpy(), frame[positive].to_numpy(bool)[:, None]
+        first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) & ~((value[1:] != value[1:]) & (value[:-1] != value[:-1]))])
+        drawn = frame[[f"c{r}" for r in range(reps)]].to_numpy(np.float64)
+        pos, neg = (np.add.reduceat(np.where(x, drawn, 0.0), first, axis=0) for x in (up, ~up))
+        made = pd.DataFrame({"rep": np.arange(reps), "pos": pos.sum(axis=0), "neg": neg.sum(axis=0), "area": (pos * (neg.cumsum(axis=0) - 0.5 * neg)).sum(axis=0)})
+        for k in [*keys, "block"]:
+            made[k] = frame[k].iloc[0]
+        return made
+
+    types = dict(cells.dtypes)
+    parts = cells.groupBy(*keys, "block").applyInPandas(area, ", ".join([f"{k} {types[k]}" for k in [*keys, "block"]] + ["rep bigint", "pos double", "neg double", "area double"]))
+    return _whole_area(parts, keys)
+
+
+def _whole_area(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rep, auroc from the area and totals of each block of a resample."""
     below = Window.partitionBy(*keys, "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = parts.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     return whole.groupBy(*keys, "rep").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auroc"))

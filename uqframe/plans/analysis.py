@@ -210,9 +210,16 @@ _WAUROC = _SCORES + _DRAWS + ", x AS (SELECT rep, score_id, score, sum(CASE WHEN
 
 
 def _boot_auroc(spark, sf_dir):
-    rows, draws = _resamples(spark, sf_dir, _score_rows(spark, sf_dir).where("score_id in ('S1', 'S5')"))
-    weighted = draws.join(rows.select("pos", "score_id", "score", (~F.col("ok")).alias("positive")), "pos")
-    return selective.auroc(weighted, ["rep", "score_id"], weight="cnt")
+    """AUROC of S1 and S5 in each resample. Kept once a session, 20 rows a score: both queries of it read the same resamples."""
+
+    def make():
+        placed = resample.positions(S.samples(spark, sf_dir).where("split = 'test'").select("row_id"))
+        n = S.samples(spark, sf_dir).where("split = 'test'").count()
+        rows = _score_rows(spark, sf_dir).where("score_id in ('S1', 'S5')").join(placed, "row_id").select("pos", "score_id", "score", (~F.col("ok")).alias("positive"))
+        # Spark takes the draws for as small as their range, and would broadcast them
+        return resample.auroc_of_counts(rows.join(resample.hash_counts(spark, n, REPS).hint("merge"), "pos"), ["score_id"], REPS)
+
+    return shared.kept(spark, "boot-auroc", sf_dir, make)
 
 
 @query(_WAUROC + "SELECT score_id, " + _CI.format("v") + " FROM s GROUP BY score_id")
