@@ -397,3 +397,48 @@ def test_auroc_of_counted_resamples_is_that_of_drawn_rows(spark):
             assert got[k, rep] == pytest.approx(sum(w * x for w, x in pairs) / sum(w for w, _ in pairs), abs=1e-12)
     one_class = df.withColumn("positive", F.lit(True)).join(counts, "pos")
     assert all(r.auroc is None for r in resample.auroc_of_counts(one_class, ["score_id"], reps).collect())
+
+
+def test_temperature_losses_are_matrices(spark):
+    p, label, grid = np.array([[0.7, 0.2, 0.1], [0.0, 1.0, 0.0]]), np.array([1, 0]), [0.5, 1.0, 2.0]
+    logs = np.log(np.clip(p, 1e-12, 1))
+    want = [np.log(np.exp(logs / t).sum(axis=1)) - logs[[0, 1], label] / t for t in grid]
+    assert np.allclose(temperature.losses(p, label, grid), want)
+    rows = [("a", p[0].tolist(), 1), ("a", p[1].tolist(), 0), ("a", None, 0), ("a", p[0].tolist(), 3), (None, [0.5, 0.5], 1), ("c", p[0].tolist(), None)]
+    got = {(r.g, r.temperature): r.nll for r in temperature.grid_losses(spark.createDataFrame(rows, "g string, probs array<double>, label int"), grid, ["g"]).collect()}
+    assert len(got) == 9 and all(abs(got["a", t] - w.mean()) < 1e-12 and abs(got[None, t] - np.log(2)) < 1e-12 and got["c", t] is None for t, w in zip(grid, want))
+
+
+def test_groups_of_the_same_rows_share_one_draw(spark):
+    rng = np.random.default_rng(8)
+    probs = rng.dirichlet([1, 1, 1], 120)
+    rows = [(g, i, int(i % 3), int(probs[i].argmax()), probs[i].tolist()) for g in ("x", "y") for i in range(120)] + [("z", i, 0, 0, [0.6, 0.2, 0.2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, row_id bigint, label int, pred int, probs array<double>")
+    drawn = resample.calibration_resamples(df, ["g"], 50, blocks=3)
+    assert "FlatMapGroupsInPandas [block" in drawn._jdf.queryExecution().toString()  # a task has all groups of a block
+    got = {(r.g, r.rep): tuple(r)[2:] for r in drawn.collect()}
+    assert len(got) == 150 and all(np.allclose(got["x", r], got["y", r]) for r in range(50)) and len({got["x", r] for r in range(50)}) > 40
+
+
+def test_cells_of_few_rows_are_dealt_row_by_row():
+    class Rows:
+        """A generator that can draw rows only."""
+
+        integers = np.random.default_rng(9).integers
+
+    n = np.array([1.0, 2, 1, 3, 1])
+    drawn = resample._deal(Rows(), np.full(20_000, 8), n)
+    assert (drawn.sum(axis=1) == 8).all() and np.abs(drawn.mean(axis=0) - n).max() < 0.05
+
+
+def test_auroc_by_ranges_of_scores(spark):
+    rng = np.random.default_rng(10)
+    score, up = np.r_[rng.integers(0, 5, 150) / 5, rng.random(150)], rng.random(300) < 0.3
+    rows = [("a", float(s), bool(u)) for s, u in zip(score, up)] + [("b", 0.5, True), ("b", 0.5, False), ("b", None, False), ("c", 1.0, True)]
+    df = spark.createDataFrame(rows, "g string, score double, positive boolean")
+    cut = resample.ranges(df.where("g = 'a'"), ["g"], "score", 7)
+    ends = cut.groupBy("block").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("block").collect()
+    assert 4 <= len(ends) <= 8 and all(a.hi < b.lo for a, b in zip(ends, ends[1:])) and "lambda" not in cut._jdf.queryExecution().toString()
+    want = ((score[up][:, None] > score[~up]) + 0.5 * (score[up][:, None] == score[~up])).mean()
+    got = {r.g: r.auroc for r in selective.auroc(df, ["g"]).collect()}
+    assert abs(got["a"] - want) < 1e-12 and got["b"] == 0.75 and got["c"] is None
