@@ -15,8 +15,12 @@ from uqframe.operators.ranking import running
 
 #: 32-bit words of the exact stream that are drawn at once.
 STREAM_BLOCK = 1 << 20
-#: Rows of a block whose area under the curve is taken at once.
-AREA_ROWS = 100_000
+#: Rows of a block whose area under the curve is taken at once, and of one whose calibration is.
+AREA_ROWS, CALIBRATION_ROWS = 100_000, 100_000
+#: Counts that are drawn at once: what stays in a core's cache.
+TILE = 1 << 17
+#: Rows a cell, up to which rows are drawn one by one: a multinomial count costs as much as that many draws.
+ROWS_A_CELL = 4
 
 
 def hash_resamples(spark: SparkSession, n: int, reps: int) -> DataFrame:
@@ -133,18 +137,50 @@ def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, b
 
 
 def ranges(cells: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
-    """``cells`` with ``block``: which of ``count`` ranges of ``order``, cut at each group's quantiles; equal values share a block."""
-    at = F.percentile_approx(F.col(order), [i / count for i in range(1, count)], 10_000)
-    bounds = cells.groupBy(*keys).agg(F.array_distinct(at).alias("__b"))
-    return cells.join(bounds, keys).withColumn("block", F.size(F.filter("__b", lambda b: b < F.col(order)))).drop("__b")
+    """``cells`` with ``block``: which of ``count`` ranges of ``order``, cut at each group's quantiles; equal values share a block.
+
+    The ranges' ends, fewer than ``count`` numbers a group, reach the driver; a value finds its range by bisection. Nulls are
+    before all others, in block -1.
+    """
+    at = F.percentile_approx(F.col(order).cast("double"), [i / count for i in range(1, count)] or [0.5], 10_000)
+    name = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
+    ends = {r["k"]: np.unique(np.array(r["b"] or [], np.float64)) for r in cells.groupBy(name.alias("k")).agg(at.alias("b")).collect()}
+    shared = cells.sparkSession.sparkContext.broadcast(ends)
+
+    def block(key: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int32)
+        for k, own in key.groupby(key).indices.items():
+            out[own] = np.searchsorted(shared.value[k], x.to_numpy()[own], "left")
+        return pd.Series(out)
+
+    return cells.withColumn("block", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.pandas_udf(block, "int")(name, F.col(order).cast("double"))))
 
 
 def _deal(rng: np.random.Generator, totals: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Some resamples by cells: each deals its total over the cells by their sizes ``n``."""
-    if (n != 1).any():
+    """Some resamples by cells: each deals its total over the cells by their sizes ``n``, row by row unless cells hold many rows."""
+    rows = int(n.sum())
+    if rows > ROWS_A_CELL * len(n):
         return rng.multinomial(totals, n / n.sum())
-    cell = np.repeat(np.arange(len(totals)), totals) * len(n) + rng.integers(0, len(n), int(totals.sum()))
-    return np.bincount(cell, minlength=len(totals) * len(n)).reshape(len(totals), len(n))
+    cell = None if rows == len(n) else np.repeat(np.arange(len(n), dtype=np.int32), n.astype(np.int64))
+    out = np.empty((len(totals), len(n)), np.int64)
+    for i, total in enumerate(totals):
+        drawn = rng.integers(0, rows, total, dtype=np.int32)
+        out[i] = np.bincount(drawn if cell is None else cell[drawn], minlength=len(n))
+    return out
+
+
+def _sizes(cells: DataFrame, keys: list[str]) -> dict[tuple, dict[int, int]]:
+    """The rows of each block of each group."""
+    sizes: dict[tuple, dict[int, int]] = {}
+    for r in cells.groupBy(*keys, "block").agg(F.sum("n").alias("n")).orderBy(*keys, "block").collect():
+        sizes.setdefault(tuple(r[k] for k in keys), {})[r["block"]] = r["n"]
+    return sizes
+
+
+def _totals(sizes: dict[int, int], block: int, reps: int, seed: int) -> np.ndarray:
+    """What ``block`` gets of each resample of a group with these blocks; the same in every task."""
+    of_blocks = np.array(list(sizes.values()), dtype=np.float64)
+    return np.random.default_rng(seed).multinomial(int(of_blocks.sum()), of_blocks / of_blocks.sum(), size=reps)[:, list(sizes).index(block)]
 
 
 def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statistic: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], schema: str, reps: int, seed: int = 42) -> DataFrame:
@@ -155,21 +191,18 @@ def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statisti
     every task, then the counts within a block. ``statistic`` gets a block's cells in ``order`` and a matrix of some
     resamples by cells. Groups of ``keys`` are drawn apart; what must share its draws belongs into one cell.
     """
-    sizes: dict[tuple, dict[int, int]] = {}
-    for r in cells.groupBy(*keys, "block").agg(F.sum("n").alias("n")).orderBy(*keys, "block").collect():
-        sizes.setdefault(tuple(r[k] for k in keys), {})[r["block"]] = r["n"]
+    sizes = _sizes(cells, keys)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, ignore_index=True)
         group, block = tuple(frame[k].iloc[0] for k in keys), int(frame["block"].iloc[0])
-        own = sizes[group]
-        of_blocks = np.array(list(own.values()), dtype=np.float64)
-        totals = np.random.default_rng(seed).multinomial(int(of_blocks.sum()), of_blocks / of_blocks.sum(), size=reps)[:, list(own).index(block)]
-        n, rng, out = frame["n"].to_numpy(np.float64), np.random.default_rng([seed, block]), []
-        step = max(1, 2_000_000 // len(frame))
+        totals = _totals(sizes[group], block, reps, seed)
+        n, rng, parts = frame["n"].to_numpy(np.float64), np.random.default_rng([seed, block]), []
+        step = max(1, TILE // len(frame))
         for start in range(0, reps, step):
-            out.append(pd.DataFrame({"rep": np.arange(start, min(reps, start + step)), **statistic(frame, _deal(rng, totals[start : start + step], n))}))
-        made = pd.concat(out)
+            parts.append(statistic(frame, _deal(rng, totals[start : start + step], n)))
+        columns = {c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[0]}
+        made = pd.DataFrame({"rep": np.arange(reps), **{c: list(v) if v.ndim > 1 else v for c, v in columns.items()}})
         for k in [*keys, "block"]:
             made[k] = frame[k].iloc[0]
         return made
@@ -182,14 +215,17 @@ def resample_cells(cells: DataFrame, keys: list[str], order: list[str], statisti
 
 def auroc_resamples(df: DataFrame, keys: list[str], reps: int, score: str = "score", positive: str = "positive", blocks: int | None = None) -> DataFrame:
     """keys, rep, auroc: rows are summed to cells of equal score and class, and a block gives its own area and totals only."""
-    cells = df.groupBy(*keys, score, positive).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(*keys, score, positive).agg(F.count(F.lit(1)).alias("n")).persist()
     count = blocks or max(8, min(1_000, cells.count() // 20_000))
 
     def area(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
-        up = frame[positive].to_numpy(bool)
-        first = np.flatnonzero(np.r_[True, frame[score].to_numpy()[1:] != frame[score].to_numpy()[:-1]])
-        pos, neg = (np.add.reduceat(np.where(x, counts, 0), first, axis=1).astype(np.float64) for x in (up, ~up))
-        return {"pos": pos.sum(axis=1), "neg": neg.sum(axis=1), "area": (pos * (neg.cumsum(axis=1) - 0.5 * neg)).sum(axis=1)}
+        up, value = frame[positive].to_numpy(bool), frame[score].to_numpy()
+        pos, neg = counts[:, up], np.zeros((len(counts), int((~up).sum()) + 1), np.int64)
+        np.cumsum(counts[:, ~up], axis=1, out=neg[:, 1:])
+        # a positive beats the negatives before the first of its score, and half of those up to the last
+        before, upto = (np.searchsorted(value[~up], value[up], side) for side in ("left", "right"))
+        beaten = np.take(neg, before, axis=1) + np.take(neg, upto, axis=1)
+        return {"pos": pos.sum(axis=1).astype(np.float64), "neg": neg[:, -1].astype(np.float64), "area": 0.5 * np.einsum("ij,ij->i", pos, beaten, dtype=np.float64, casting="unsafe")}
 
     parts = resample_cells(ranges(cells, keys, score, count), keys, [score, positive], area, "pos double, neg double, area double", reps)
     return _whole_area(parts, keys)
@@ -255,19 +291,38 @@ def paired_resamples(df: DataFrame, keys: list[str], classes: int, reps: int) ->
 def calibration_resamples(df: DataFrame, keys: list[str], reps: int, key: str = "row_id", bins: int = V.BINS, blocks: int | None = None) -> DataFrame:
     """keys, rep, accuracy, mean_confidence, ece, brier, nll of predictions (label, pred, probs, ``key``).
 
-    Rows are dealt into blocks by the hash of ``key``; a block gives sums only, one row a resample.
+    Rows are dealt into blocks by the hash of ``key``; a block gives sums only, one row a resample. Groups whose blocks are
+    of the same sizes have the same draws, so a task draws a block's counts once for all of them and adds all their sums in one product.
     """
     conf = V.confidence(F.col("probs"))
     rows = df.select(*keys, F.col(key).alias("__k"), (F.col("pred") == F.col("label")).cast("double").alias("accuracy"), conf.alias("mean_confidence"), V.brier(F.col("probs"), F.col("label")).alias("brier"), V.nll(F.col("probs"), F.col("label")).alias("nll"), V.bin_index(conf, bins).alias("bin"), F.lit(1).alias("n"))
-    count = blocks or max(8, min(1_000, rows.count() // 20_000))
+    count = blocks or max(8, min(1_000, rows.count() // CALIBRATION_ROWS))
     sums, gaps = ["accuracy", "mean_confidence", "brier", "nll"], [f"gap_{i}" for i in range(bins)]
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("__k"), F.lit(count)).cast("int"))
+    sizes, seed, types = _sizes(dealt, keys), 42, dict(dealt.dtypes)
 
-    def totals(frame: pd.DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
+    def values(frame: pd.DataFrame) -> np.ndarray:
         off = (frame["accuracy"] - frame["mean_confidence"]).to_numpy()[:, None] * (frame["bin"].to_numpy()[:, None] == np.arange(bins))
-        made = counts.astype(np.float64) @ np.hstack([frame[sums].to_numpy(np.float64), off, np.ones((len(frame), 1))])
-        return dict(zip([*sums, *gaps, "n"], made.T))
+        return np.hstack([frame[sums].to_numpy(np.float64), off])
 
-    parts = resample_cells(rows.withColumn("block", F.pmod(F.xxhash64("__k"), F.lit(count)).cast("int")), keys, ["__k"], totals, ", ".join(f"{c} double" for c in [*sums, *gaps, "n"]), reps)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        block, alike, made = int(frame["block"].iloc[0]), {}, []
+        frame = frame.sort_values("__k", ignore_index=True)
+        for k, own in frame.groupby(keys, dropna=False, sort=False).indices.items() if keys else [((), np.arange(len(frame)))]:
+            group = tuple(frame[c].iloc[own[0]] for c in keys)
+            alike.setdefault(tuple(sizes[group].items()), []).append((group, values(frame.iloc[own])))
+        for own, groups in alike.items():
+            totals, rng = _totals(dict(own), block, reps, seed), np.random.default_rng([seed, block])
+            x = np.hstack([v for _, v in groups])
+            step, one = max(1, TILE // len(x)), np.ones(len(x))
+            drawn = np.concatenate([_deal(rng, totals[start : start + step], one).astype(np.float64) @ x for start in range(0, reps, step)])
+            for (group, _), part in zip(groups, np.split(drawn, len(groups), axis=1)):
+                made.append(pd.DataFrame({**dict(zip(keys, group)), "rep": np.arange(reps), **dict(zip([*sums, *gaps], part.T)), "n": totals.astype(np.float64)}))
+        return pd.concat(made)
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "rep bigint", *[f"{c} double" for c in [*sums, *gaps, "n"]]])
+    # as many partitions as blocks: a row is a few bytes but thousands of draws, so small partitions must not be merged
+    parts = dealt.repartition(max(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").groupBy("block").applyInPandas(run, schema)
     whole = parts.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in [*sums, *gaps, "n"]])
     ece = sum((F.abs(g) for g in gaps), F.lit(0.0)) / F.col("n")
     return whole.select(*keys, "rep", *[(F.col(c) / F.col("n")).alias(c) for c in sums], ece.alias("ece"))

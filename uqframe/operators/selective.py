@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from uqframe.functions import vectors as V
-from uqframe.operators.ranking import running
+from uqframe.operators.ranking import RANGES, running
+from uqframe.operators.resample import ranges
 
 #: Scores are ranked at this many decimals, so engines that differ in the last digit agree.
 PLACES = 12
@@ -31,13 +33,18 @@ def scores_long(served: DataFrame, pooled: DataFrame) -> DataFrame:
 def auroc(df: DataFrame, keys: list[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
     """Chance that a positive scores above a negative, ties one half; null unless both occur.
 
-    Rows are summed by distinct score before they are ordered, so ties cost nothing.
+    Rows are summed by distinct score before they are ordered, so ties cost nothing. Each of RANGES ranges of scores is ordered
+    by itself and gives its own area and totals; ``df`` is read twice, for the ranges' ends and for the sums.
     """
     w = F.col(weight) if weight else F.lit(1)
-    by_score = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(positive), w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(positive), 0).otherwise(w)).alias("neg"))
-    ranked = running(by_score, keys, [score], {"upto": F.col("neg")})
-    area = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") + 0.5 * F.col("neg")))
-    return ranked.groupBy(*keys).agg((area / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auroc"))
+    own = df.select(*keys, score, F.col(positive).alias("__up"), w.alias("__w"))
+    pos, neg = F.sum(F.when(F.col("__up"), F.col("__w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("__up"), 0).otherwise(F.col("__w"))).alias("neg")
+    by_score = ranges(own, keys, score, RANGES).groupBy(*keys, "block", score).agg(pos, neg)
+    upto = F.sum("neg").over(Window.partitionBy(*keys, "block").orderBy(score))
+    parts = by_score.withColumn("area", F.col("pos") * (upto - F.col("neg") + 0.5 * F.col("neg"))).groupBy(*keys, "block").agg(*[F.sum(c).alias(c) for c in ("area", "pos", "neg")])
+    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    whole = parts.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(below.cast("double"), F.lit(0.0)))
+    return whole.groupBy(*keys).agg((F.sum("area") / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auroc"))
 
 
 def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
