@@ -152,3 +152,16 @@ def test_words_at_a_step_are_told_apart():
     assert (draws._BY_UPPER[upper.astype(int)] == draws.OPEN).all() and np.count_nonzero(draws._BY_UPPER == draws.OPEN) == len(set(upper.tolist()))
     for s in draws.STEPS[:4]:
         assert draws._BY_UPPER[(s >> 16) - 1] == draws.STEPS.index(s) and draws._BY_UPPER[(s >> 16) + 1] == draws.STEPS.index(s) + 1
+
+
+def test_blocks_are_narrow_around_a_quantile_only(spark, monkeypatch):
+    monkeypatch.setattr(draws, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(4)
+    v = np.r_[rng.random(900), np.full(100, 0.25)]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "row_id bigint, v double")
+    for q in (0.5, 0.3, 0.01):
+        assert draws._blocked(df, [], "v", ["row_id"], None, q).select("__block").distinct().count() <= 2 * len(draws.NEAR) + 1
+        got = {r.rep: r.quantile for r in draws.quantile(df, [], "v", q, reps=60).collect()}
+        order = np.argsort(v, kind="stable")
+        w = draws.Weights(order.astype(np.int64)).of(0, 60).cumsum(axis=1, dtype=np.int64)
+        assert got == {r: float(v[order][np.searchsorted(w[r], q * w[r, -1], "left")]) for r in range(60)}

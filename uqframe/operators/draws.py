@@ -30,6 +30,8 @@ MULTIPLIERS, WORDS = (0x7FEB352D, 0x2C1B3C6D), (0x9E3779B9, 0x85EBCA6B)
 STEPS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 #: Words that are mixed at once, bytes of sums that a task holds before it returns them, rows of a block, blocks of a group.
 TILE, HELD_BYTES, BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 16, 256 << 20, 20_000, 16, 4_096
+#: Ends of blocks around a quantile, in its standard errors.
+NEAR = (-8.0, -5.0, -3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 5.0, 8.0)
 _LOW = np.uint64(0xFFFFFFFF)
 #: The weight of all words with the same upper half; OPEN where a step lies among them.
 OPEN = 255
@@ -183,16 +185,21 @@ class _Ranges:
         return 2 * at + np.isin(values, list(hot))
 
 
-def _blocked(df: DataFrame, keys: list[str], value: str, columns: list[str], blocks: int | None) -> DataFrame:
+def _blocked(df: DataFrame, keys: list[str], value: str, columns: list[str], blocks: int | None, q: float | None = None) -> DataFrame:
     """Columns ``key`` (the group as text), ``x`` (the value) and ``block`` beside ``columns``; rows without a value are left out.
 
-    The blocks' ends, at most ``MOST_BLOCKS`` numbers a group, are all that reaches the driver.
+    The blocks' ends, at most ``MOST_BLOCKS`` numbers a group, are all that reaches the driver. Blocks are as many as the
+    largest group needs; with ``q`` they are few, and narrow only around that quantile, at ``NEAR`` of its standard errors.
     """
     name = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
     own = df.select(*[F.col(c) for c in dict.fromkeys([*keys, *columns])], name.alias("__key"), F.col(value).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
-    count = blocks or max(LEAST_BLOCKS, min(MOST_BLOCKS, own.count() // BLOCK_ROWS))
-    grid = [i / count for i in range(1, count)] or [0.5]
-    found = own.groupBy("__key").agg(F.percentile_approx("__x", grid, 10 * count + 100).alias("b")).collect()
+    most = 0 if blocks else own.groupBy("__key").count().agg(F.max("count")).head()[0] or 0
+    count = blocks or max(LEAST_BLOCKS, min(MOST_BLOCKS, most // BLOCK_ROWS))
+    grid, accuracy = [i / count for i in range(1, count)] or [0.5], 10 * count + 100
+    if q is not None and count > LEAST_BLOCKS and not blocks:
+        error = math.sqrt(max(q * (1 - q), 1 / most) / most)
+        grid, accuracy = sorted({min(1.0, max(0.0, q + z * error)) for z in NEAR}), min(1_000_000, math.ceil(4 / error))
+    found = own.groupBy("__key").agg(F.percentile_approx("__x", grid, accuracy).alias("b")).collect()
     shared = df.sparkSession.sparkContext.broadcast(_Ranges({(r["__key"],): r["b"] for r in found}))
 
     def block(key: pd.Series, x: pd.Series) -> pd.Series:
@@ -252,15 +259,16 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, row_key
     """keys, rep, quantile: the least value at which a resample's running weight reaches ``q`` of its total.
 
     Not a sum of rows, so it takes two steps of mergeable states, one a resample and block of values: the weight of
-    each block tells in which block a resample's quantile lies, then that block alone is put in order. Rows without a
-    value are left out; a resample without weight has no row.
+    each block tells in which block a resample's quantile lies, then that block alone is put in order. Blocks are narrow
+    where resamples' quantiles are to be expected, so states are few and little is ordered; one that lies elsewhere is found
+    in its wide block all the same. Rows without a value are left out; a resample without weight has no row.
     """
-    rows = _blocked(df, keys, value, [row_key], blocks)
+    rows = _blocked(df, keys, value, [row_key], blocks, q)
     weight = sums(rows, [*keys, "__block"], {}, row_key=row_key, reps=reps, seed=seed).where("n > 0")
     upto = Window.partitionBy(*keys, "rep").orderBy("__block")
     goal = F.lit(q) * F.sum("n").over(Window.partitionBy(*keys, "rep"))
     at = weight.withColumn("upto", F.sum("n").over(upto)).withColumn("goal", goal)
-    at = at.where("upto >= goal and upto - n < goal or goal <= 0 and upto = n").select(*keys, "__block", "rep", (F.col("goal") - F.col("upto") + F.col("n")).alias("rest"))
+    at = at.where("upto >= goal and upto - n < goal or goal <= 0 and upto = n").select(*keys, "__block", "rep", (F.col("goal") - F.col("upto") + F.col("n")).alias("rest")).persist()  # a row a resample, read three times
     types = dict(df.dtypes)
 
     def inside(key: tuple, frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
