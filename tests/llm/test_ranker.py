@@ -96,3 +96,17 @@ def test_scores_equal_a_plain_fit_of_the_same_pairs(spark, sf_dir):
     for r in ranker.judge(docs, labels).collect():
         s = 1 / (1 + math.exp(-(strength[r.doc_id] - cut + math.log(0.7 / 0.3))))
         assert abs(r.score - s) < 1e-6 and r.predicted == int(r.score >= 0.7)
+
+
+def test_every_labelled_row_teaches(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ranker, "MOST_LABELLED", 40, raising=False)  # the bound there once was
+    monkeypatch.setattr(ranker, "PAIR_BLOCK", 100, raising=False)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    for turned, few in ((False, 4_096), (True, 0)):  # either class may be the larger one; joined by broadcast or by key
+        monkeypatch.setattr(ranker, "FEW_ROWS", few, raising=False)
+        told = labels.withColumn("quality", 1 - F.col("quality")) if turned else labels
+        got = ranker.fit(docs, told)
+        own = docs.join(told, "doc_id").where(~ranker.held_out(F.col("doc_id"))).select("quality", ranker.features(F.col("text")).alias("x")).orderBy(F.xxhash64("doc_id")).toPandas()
+        want = ranker.learn(np.array(own["x"].tolist()), own["quality"].to_numpy())
+        assert len(own) > 40
+        assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale) and np.allclose(got.weights, want.weights, atol=1e-7) and abs(got.threshold - want.threshold) < 1e-7

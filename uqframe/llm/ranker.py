@@ -4,21 +4,27 @@ A document's strength is a weighted sum of text features. In a preference pair a
 0; the weights minimise the logistic loss of the pairs' feature differences (no intercept, ridge, Newton steps). The
 threshold is a quantile of the strengths: that of the share of label 0. The score is the logistic of the strength,
 moved so that the quantile has the score ``CUT``. Features are DataFrame expressions, computed where a text is read;
-weights are learned from a bounded sample of labelled rows, and every document is scored.
+weights and threshold are learned from every labelled row that isn't held out, and every document is scored. Pairs are
+joined in Spark and packed as matrices of PAIR_BLOCK differences; a Newton step is a sum over these blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import UPPER, count_in, count_of, full_lines, hashes, let, words
+from uqframe.llm.common import UPPER, count_in, count_of, cut, discard, full_lines, hashes, let, shuffle_partitions, words
+from uqframe.operators.ranking import running
 
-#: Labelled rows that the fit reads at most, those of least key hash: the sample's bound, whatever the corpus.
-MOST_LABELLED = 8_000
+#: Pairs, or labelled rows, of a block whose sums a task takes at once; blocks whose sums are added before the driver gets them.
+PAIR_BLOCK, BLOCKS_MERGED = 4_096, 256
+#: Rows of the smaller class up to which every task has them all: so few would be the keys of too many pairs.
+FEW_ROWS = 4_096
 #: Pairs for each row of the larger class.
 PAIRS = 6
 RIDGE = 1e-3
@@ -79,13 +85,15 @@ class Ranker:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
+    def total(self, features_: Column, shift: float) -> Column:
+        """The strength as a column, its constant part replaced by ``shift``."""
+        weights = F.array(*[F.lit(float(x)) for x in self.weights / self.scale])
+        return F.aggregate(F.zip_with(features_, weights, lambda a, b: a * b), F.lit(shift), lambda s, x: s + x)
+
     def score(self, features_: Column) -> Column:
         """The logistic of strength - threshold, CUT at the threshold."""
-        w = self.weights / self.scale
-        shift = float(np.log(CUT / (1 - CUT)) - self.threshold - w @ self.mean)
-        weights = F.array(*[F.lit(float(x)) for x in w])
-        total = F.aggregate(F.zip_with(features_, weights, lambda a, b: a * b), F.lit(shift), lambda s, x: s + x)
-        return 1 / (1 + F.exp(-total))
+        shift = float(np.log(CUT / (1 - CUT)) - self.threshold - self.weights / self.scale @ self.mean)
+        return 1 / (1 + F.exp(-self.total(features_, shift)))
 
 
 def learn(x: np.ndarray, y: np.ndarray) -> Ranker:
@@ -100,34 +108,130 @@ def learn(x: np.ndarray, y: np.ndarray) -> Ranker:
     n = max(len(good), len(bad))
     i = np.arange(n)
     diff = np.concatenate([z[good[i % len(good)]] - z[bad[(i * (2 * p + 1) + p * 7919) % len(bad)]] for p in range(PAIRS)])
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        return _slopes(diff, w)
+
+    w = _newton(d, len(diff), slopes)
+    own = np.sort(z @ w)
+    rank = len(bad)  # the quantile at the share of label 0, between the two strengths around it
+    return Ranker(mean, scale, w, float((own[rank - 1] + own[min(rank, len(own) - 1)]) / 2))
+
+
+def _slopes(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the pairs' loss, flat and summed over the pairs."""
+    p = 1 / (1 + np.exp(np.clip(diff @ w, -35, 35)))  # chance that the pair goes the wrong way
+    return np.r_[-diff.T @ p, ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()]
+
+
+def _newton(d: int, pairs: int, slopes: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights of least loss; ``slopes`` gives the sums of ``_slopes`` over all pairs."""
     w = np.zeros(d)
     for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -35, 35)))  # chance that the pair goes the wrong way
-        gradient = RIDGE * w - diff.T @ p / len(diff)
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + RIDGE * np.eye(d)
-        step = np.linalg.solve(hessian, gradient)
+        both = slopes(w) / pairs
+        step = np.linalg.solve(both[d:].reshape(d, d) + RIDGE * np.eye(d), RIDGE * w + both[:d])
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    own = np.sort(z @ w)
-    cut = len(bad)  # the quantile at the share of label 0, between the two strengths around it
-    return Ranker(mean, scale, w, float((own[cut - 1] + own[min(cut, len(own) - 1)]) / 2))
+    return w
+
+
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of ``parts`` (block, sums): always in the order of the blocks, so equal input gives equal bits. One row of BLOCKS_MERGED reaches the driver."""
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "sums": [np.stack(frame.sort_values("block")["sums"]).sum(axis=0)]})
+
+    merged = parts.groupBy(F.expr(f"block div {BLOCKS_MERGED}")).applyInPandas(add, "block bigint, sums array<double>")
+    return np.sum([r["sums"] for r in sorted(merged.collect(), key=lambda r: r["block"])], axis=0)
+
+
+def _placed(docs: DataFrame, sure: DataFrame, key: str, text: str) -> DataFrame:
+    """y, pos (from 0 within the label, by the key's hash), x: the features of every labelled row, kept as a table."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sure, "k")
+    rows = cut(rows.select("k", "y", F.xxhash64("k").alias("h"), F.xxhash64("t").alias("th"), features(F.col("t")).alias("x")), "ranker-rows")
+    placed = cut(running(rows, ["y"], ["h", "k", "th"], {"pos": F.lit(1)}).select("y", (F.col("pos") - 1).alias("pos"), "x"), "ranker-placed")
+    discard(rows)
+    return placed
+
+
+def _moments(placed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each feature, centred before squaring."""
+    blocks = placed.withColumn("block", F.expr(f"2 * (pos div {PAIR_BLOCK}) + y"))
+
+    def total(shift: np.ndarray, power: int) -> np.ndarray:
+        def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"block": [key[0]], "sums": [((np.stack(frame.sort_values("pos")["x"]) - shift) ** power).sum(axis=0)]})
+
+        return _added(blocks.groupBy("block").applyInPandas(one, "block bigint, sums array<double>")) / n
+
+    mean = total(np.zeros(len(FEATURES)), 1)
+    return mean, np.sqrt(total(mean, 2))
+
+
+def _packed_pairs(placed: DataFrame, good: int, bad: int, scale: np.ndarray) -> DataFrame:
+    """block, d: the feature differences of PAIR_BLOCK pairs each, as bytes of a matrix of doubles; the pairs of ``learn``."""
+    n, spark = max(good, bad), placed.sparkSession
+    i, p = F.col("id") % n, F.expr(f"id div {n}")
+    pairs = spark.range(n * PAIRS).select("id", (i % good).alias("g"), ((i * (2 * p + 1) + p * 7919) % bad).alias("b"))
+    few = lambda df, rows: F.broadcast(df) if rows <= FEW_ROWS else df.hint("merge")
+    better = placed.where("y = 1").select(F.col("pos").alias("g"), F.col("x").alias("xg"))
+    worse = placed.where("y = 0").select(F.col("pos").alias("b"), F.col("x").alias("xb"))
+    both = pairs.join(few(better, good), "g").join(few(worse, bad), "b").select(F.expr(f"id div {PAIR_BLOCK}").alias("block"), "id", "xg", "xb")
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        return pd.DataFrame({"block": [key[0]], "d": [((np.stack(frame["xg"]) - np.stack(frame["xb"])) / scale).tobytes()]})
+
+    tasks = max(shuffle_partitions(spark), n * PAIRS // (16 * PAIR_BLOCK))  # some 10 MB of blocks each
+    return cut(both.repartition(tasks, "block").groupBy("block").applyInPandas(pack, "block bigint, d binary"), "ranker-pairs")
+
+
+def _cut_strength(strength: DataFrame, rank: int, n: int) -> float:
+    """The mean of the values ``s`` of rank ``rank`` and the next, from 0: exact, from a narrow range around them."""
+    room = 2e-5
+    while True:
+        ends = [max(0.0, (rank - 1) / n - room), min(1.0, (rank + 2) / n + room)]
+        lo, hi = strength.agg(F.percentile_approx("s", ends, 100_000)).head()[0]
+        below = strength.where(F.col("s") < lo).count()
+        inside = strength.where(F.col("s").between(lo, hi)).groupBy("s").count().orderBy("s").collect()
+        upto = below + np.cumsum([r["count"] for r in inside])
+        if below <= rank and (upto[-1] > min(rank + 1, n - 1)):
+            at = [inside[int(np.searchsorted(upto, k, "right"))]["s"] for k in (rank, min(rank + 1, n - 1))]
+            return float(sum(at) / 2)
+        room *= 4
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranker:
-    """Learn from at most MOST_LABELLED labelled documents that aren't held out; null keys and labels teach nothing.
+    """Learn from all labelled documents that aren't held out; null keys and labels teach nothing.
 
-    Labels that contradict each other for one key teach nothing either. The sample is bounded, so it is broadcast to
-    the scan of the documents, and its feature rows come to the driver.
+    Labels that contradict each other for one key teach nothing either. Gives what ``learn`` gives for the same rows, in
+    the order of the keys' hashes, but rows and pairs stay in tables: sums of blocks alone reach the driver.
     """
     own = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
-    sure = own.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y")
-    sample = sure.orderBy(F.xxhash64("k"), "k").limit(MOST_LABELLED)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
-    picked = rows.select("k", "y", F.xxhash64("k").alias("h"), F.xxhash64("t").alias("th"), features(F.col("t")).alias("x")).orderBy("h", "k", "th").limit(MOST_LABELLED).select("y", "x").toPandas()
-    if not len(picked):
-        return learn(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return learn(np.array(picked["x"].tolist(), dtype=np.float64), picked["y"].to_numpy())
+    sure = own.groupBy("k").agg(F.min("y").cast("int").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y")
+    placed = _placed(docs, sure, key, text)
+    sizes = {r["y"]: r["count"] for r in placed.groupBy("y").count().collect()}
+    good, bad = sizes.get(1, 0), sizes.get(0, 0)
+    if not good or not bad:
+        discard(placed)
+        return learn(np.zeros((len(sizes), len(FEATURES))), np.array(list(sizes)))
+    mean, scale = _moments(placed, good + bad)
+    scale[scale < 1e-9] = 1.0
+    d, blocks = len(FEATURES), _packed_pairs(placed, good, bad, scale)
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"block": frame["block"], "sums": [_slopes(np.frombuffer(x).reshape(-1, d), w) for x in frame["d"]]})
+
+        return _added(blocks.mapInPandas(run, "block bigint, sums array<double>"))
+
+    w = _newton(d, max(good, bad) * PAIRS, slopes)
+    found = Ranker(mean, scale, w, 0.0)
+    found.threshold = _cut_strength(placed.select(found.total(F.col("x"), -float(w / scale @ mean)).alias("s")), bad - 1, good + bad)
+    discard(placed, blocks)
+    return found
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
