@@ -110,3 +110,22 @@ def test_every_labelled_row_teaches(spark, sf_dir, monkeypatch):
         want = ranker.learn(np.array(own["x"].tolist()), own["quality"].to_numpy())
         assert len(own) > 40
         assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale) and np.allclose(got.weights, want.weights, atol=1e-7) and abs(got.threshold - want.threshold) < 1e-7
+
+
+def test_no_text_is_shuffled_or_read_twice(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    written, real = {}, ranker.cut
+
+    def noted(df, name):
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(ranker, "cut", noted)
+    before, bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(bound, "-1")  # as with more labels than can be broadcast
+    try:
+        plan = ranker.judge(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(bound, before)
+    readers = [name for name, p in written.items() if "documents.parquet" in p]
+    assert readers == ["ranker-rows"] and "Exchange" not in written["ranker-rows"] and "documents.parquet" not in plan
