@@ -442,3 +442,17 @@ def test_auroc_by_ranges_of_scores(spark):
     want = ((score[up][:, None] > score[~up]) + 0.5 * (score[up][:, None] == score[~up])).mean()
     got = {r.g: r.auroc for r in selective.auroc(df, ["g"]).collect()}
     assert abs(got["a"] - want) < 1e-12 and got["b"] == 0.75 and got["c"] is None
+
+
+def test_exact_quantiles_are_merged_in_no_single_task(spark, sf_dir):
+    from uqframe.plans import registry
+
+    rows = spark.range(60_001).select((F.xxhash64("id") % 100_003 / 7.0).alias("x")).unionByName(spark.createDataFrame([(None,)], "x double"))
+    tied = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") % 7).alias("x"))
+    for df in (rows, tied, rows.limit(2), rows.where("x > 0").limit(1)):
+        for q in (0.0, 0.005, 0.5, 0.77, 1.0):
+            assert ranking.quantile(df, "x", q) == df.agg(F.percentile("x", F.lit(q))).head()[0]
+    assert ranking.quantile(rows.where("false"), "x") is None
+    for name in ("mi_summary", "mi_histogram"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"(percentile|median)\(", plan), plan

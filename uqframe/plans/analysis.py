@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, resample, rounded, rules, selective, sql, table, temperature, test_rows
+from uqframe.plans.base import F, PAIR, POOLED, SERVED, SYS, TEST, S, V, Window, X, contracts, metrics, paired, prep, query, r6, ranking, resample, rounded, rules, selective, sql, table, temperature, test_rows
 from uqframe.sources import shared
 
 #: Resamples of the queries that have SQL, as it says.
@@ -93,7 +93,9 @@ def best_two_scores(spark, sf_dir):
 @query(_SCORES + ", p AS (SELECT ok, score FROM scores WHERE score_id = 'S5'), f AS (SELECT pow(10, floor(log10(quantile_cont(score, 0.005)))) AS floor_, max(score) AS hi FROM p WHERE score > 0), b AS (SELECT ok, least(38, greatest(0, floor(39 * ln(greatest(score, floor_) / floor_) / ln(hi / floor_))))::INT AS bin FROM p, f) SELECT ok, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY ok)::DOUBLE, 6) AS weight FROM b GROUP BY ok, bin")
 def mi_histogram(spark, sf_dir):
     p = _score_rows(spark, sf_dir).where("score_id = 'S5'").select("ok", "score")
-    f = p.where("score > 0").agg(F.pow(F.lit(10.0), F.floor(F.log10(F.percentile("score", F.lit(0.005))))).alias("floor_"), F.max("score").alias("hi"))
+    positive = p.where("score > 0")
+    low = F.lit(ranking.quantile(positive, "score", 0.005)).cast("double")
+    f = positive.agg(F.pow(F.lit(10.0), F.floor(F.log10(low))).alias("floor_"), F.max("score").alias("hi"))
     at = F.floor(39 * F.ln(F.greatest("score", "floor_") / F.col("floor_")) / F.ln(F.col("hi") / F.col("floor_")))
     b = p.join(F.broadcast(f)).select("ok", F.least(F.lit(38), F.greatest(F.lit(0), at)).cast("int").alias("bin"))
     n = b.groupBy("ok", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -103,7 +105,8 @@ def mi_histogram(spark, sf_dir):
 @query(_SCORES + "SELECT count_if(score = 0)::BIGINT AS zeros, round(min(CASE WHEN score > 0 THEN score END), 6) AS least_positive, round(median(CASE WHEN ok THEN score END), 6) AS median_right, round(median(CASE WHEN NOT ok THEN score END), 6) AS median_wrong, round(avg(score), 6) AS mean FROM scores WHERE score_id = 'S5'")
 def mi_summary(spark, sf_dir):
     p = _score_rows(spark, sf_dir).where("score_id = 'S5'")
-    return rounded(p.agg(F.count_if(F.col("score") == 0).alias("zeros"), F.min(F.when(F.col("score") > 0, F.col("score"))).alias("least_positive"), F.median(F.when(F.col("ok"), F.col("score"))).alias("median_right"), F.median(F.when(~F.col("ok"), F.col("score"))).alias("median_wrong"), F.avg("score").alias("mean")))
+    medians = {"median_right": ranking.quantile(p.where("ok"), "score"), "median_wrong": ranking.quantile(p.where("not ok"), "score")}
+    return rounded(p.agg(F.count_if(F.col("score") == 0).alias("zeros"), F.min(F.when(F.col("score") > 0, F.col("score"))).alias("least_positive"), *[F.lit(m).cast("double").alias(n) for n, m in medians.items()], F.avg("score").alias("mean")))
 
 
 _WIDE = "WITH " + sql.frame(tuple(_NAMES.values()), "test") + ", w AS (SELECT row_id, max(label) AS label, " + ", ".join(f"max(CASE WHEN image = '{i}' AND checkpoint = '{c}' AND mode = '{m}' THEN pred END) AS {n}" for n, (i, c, m) in _NAMES.items()) + " FROM preds GROUP BY row_id), cmp(row, family, x, y) AS (VALUES ('R1', 'encoders', 'B', 'C'), ('R2', 'encoders', 'B', 'D'), ('R3', 'encoders', 'C', 'D'), ('R4', 'modes', 'B', 'A'), ('R5', 'modes', 'B', 'E')), l AS (" + " UNION ALL ".join(f"SELECT row_id, '{n}' AS s, {n} = label AS ok, {n} AS pred FROM w" for n in _NAMES) + "), d AS (SELECT row, family, count_if(a.ok AND NOT b.ok)::BIGINT AS b, count_if(NOT a.ok AND b.ok)::BIGINT AS c, round(avg(a.ok::INT) - avg(b.ok::INT), 6) + 0e0 AS d_accuracy, count_if(a.pred <> b.pred)::BIGINT AS differ FROM cmp JOIN l a ON a.s = x JOIN l b ON b.s = y AND b.row_id = a.row_id GROUP BY row, family), p AS (SELECT *, CASE WHEN b + c = 0 THEN 1e0 ELSE least(1e0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2e0))))) END AS p FROM d) "
