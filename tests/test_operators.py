@@ -456,3 +456,17 @@ def test_exact_quantiles_are_merged_in_no_single_task(spark, sf_dir):
     for name in ("mi_summary", "mi_histogram"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"(percentile|median)\(", plan), plan
+
+
+def test_exact_stream_draws_are_not_shuffled(spark):
+    n = 1000
+    x = np.random.default_rng(3).random((n, 2))
+    x[7, 1] = np.nan
+    df = spark.createDataFrame([(i, float(a), None if np.isnan(b) else float(b)) for i, (a, b) in enumerate(x)], "row_id bigint, x double, y double").repartition(3)
+    want = x[np.random.default_rng(42).integers(0, n, (30, n))].mean(axis=1)
+    for held, draws in ((1 << 22, 1 << 28), (137, 5000), (999, 10**9)):
+        got = resample.exact_stream(df, ["x", "y"], 30, block=512, held=held, draws=draws).orderBy("rep")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().optimizedPlan().toString() and "cnt" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = got.collect()
+        assert [r.rep for r in rows] == list(range(30))
+        assert np.allclose([r.x for r in rows], want[:, 0], atol=1e-12) and np.allclose([r.y for r in rows], want[:, 1], atol=1e-12, equal_nan=True) and np.isnan([r.y for r in rows]).any()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +14,8 @@ from pyspark.sql.window import Window
 from uqframe.functions import vectors as V
 from uqframe.operators.ranking import running
 
-#: 32-bit words of the exact stream that are drawn at once.
-STREAM_BLOCK = 1 << 20
+#: 32-bit words of the exact stream that a state starts, positions whose values a task holds, draws of a task and draws at once.
+STREAM_BLOCK, HELD_POSITIONS, TASK_DRAWS, DRAWS_AT_ONCE = 1 << 20, 1 << 22, 1 << 28, 1 << 16
 #: Rows of a block whose area under the curve is taken at once, and of one whose calibration is.
 AREA_ROWS, CALIBRATION_ROWS = 100_000, 100_000
 #: Counts that are drawn at once: what stays in a core's cache.
@@ -84,56 +85,89 @@ def stream_words(seed: int, start: int, count: int, n: int) -> tuple[np.ndarray,
     return (product >> 32).astype(np.int64), (product & 0xFFFFFFFF) >= np.uint64((1 << 32) % n)
 
 
-def stream_resamples(spark: SparkSession, n: int, reps: int, seed: int = 42, block: int = STREAM_BLOCK) -> DataFrame:
-    """rep, pos, cnt of NumPy's default_rng(seed).integers(0, n, (reps, n)), drawn in parallel; 1 <= n < 2^32.
+def stream_starts(spark: SparkSession, n: int, reps: int, seed: int = 42, block: int = STREAM_BLOCK) -> list[tuple[int, int]]:
+    """(block of words, draws accepted before it) of NumPy's default_rng(seed).integers(0, n, (reps, n)), counted in parallel; 1 < n < 2^32.
 
-    A first pass counts what each block of words accepts, which tells where in the index stream the block starts; a
-    second one draws it. One number a block reaches the driver.
+    One number a block reaches the driver.
     """
-    if n == 1:  # NumPy draws nothing
-        return spark.range(reps).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("cnt"))
     if not 1 < n < 1 << 32:
         raise ValueError("the exact stream is NumPy's 32-bit one: 1 to 2^32 - 1 samples")
-    tasks = lambda blocks: max(1, min(blocks, 10_000))
+    least = np.uint32((1 << 32) % n)
 
     def accepted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"b": frame["id"], "n": [int(stream_words(seed, int(b) * block, block, n)[1].sum()) for b in frame["id"]]})
+            made = []
+            for b in frame["id"]:
+                words = np.random.PCG64(seed).advance(int(b) * block // 2).random_raw(block // 2).view("<u4")
+                made.append(int(np.count_nonzero(words * np.uint32(n) >= least)))
+            yield pd.DataFrame({"b": frame["id"], "n": made})
 
     starts, total = [], 0
     while total < reps * n:
         at, more = len(starts), -(-(reps * n - total) // block)
-        counted = spark.range(at, at + more, 1, tasks(more)).mapInPandas(accepted, "b bigint, n bigint")
+        counted = spark.range(at, at + more, 1, max(1, min(more, 10_000))).mapInPandas(accepted, "b bigint, n bigint")
         for r in sorted(counted.collect()):
             starts.append((r.b, total))
             total += r.n
+    return starts
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for b, first in frame.itertuples(index=False):
-                values, ok = stream_words(seed, int(b) * block, block, n)
-                at = first + np.arange(int(ok.sum()))
-                own = at < reps * n
-                cells, cnt = np.unique(np.stack([at[own] // n, values[ok][own]]), axis=1, return_counts=True)
-                yield pd.DataFrame({"rep": cells[0], "pos": cells[1], "cnt": cnt})
-
-    blocks = spark.createDataFrame(starts, "b bigint, first bigint").repartition(tasks(len(starts)))
-    return blocks.mapInPandas(draw, "rep bigint, pos bigint, cnt bigint")
 
-
-def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, block: int = STREAM_BLOCK, order: str = "row_id") -> DataFrame:
+def exact_stream(df: DataFrame, columns: list[str], reps: int, seed: int = 42, block: int = STREAM_BLOCK, order: str = "row_id", held: int = HELD_POSITIONS, draws: int = TASK_DRAWS) -> DataFrame:
     """rep and the resampled mean of each column, by the index stream of NumPy's default_rng(seed).integers(0, n).
 
-    Values stay in Spark: the draws meet them by position. A null value makes the mean NaN, as NaN does.
+    Draws are neither stored nor shuffled: positions are cut into ranges of at most ``held``, the stream into parts of about
+    ``draws``, and a task draws one part and adds up the values of one range. So values are shuffled once for each part, and a
+    part is drawn once for each range. A null value makes the mean NaN, as NaN does, where it is drawn.
     """
-    n = df.count()
+    spark, n, names = df.sparkSession, df.count(), [f"v{i}" for i in range(len(columns))]
     if n == 0:
-        return df.sparkSession.createDataFrame([], "rep bigint, " + ", ".join(f"{c} double" for c in columns))
-    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
-    # Spark takes the draws for as small as the list of blocks, and would broadcast them
-    draws = stream_resamples(df.sparkSession, n, reps, seed, block + block % 2).hint("merge")
-    sums = resampled(positions(df.select(order, *columns), order), draws, [], values)
-    return sums.select("rep", *[(F.col(c) / n).alias(c) for c in columns])
+        return spark.createDataFrame([], "rep bigint, " + ", ".join(f"{c} double" for c in columns))
+    own = positions(df.select(order, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(v) for c, v in zip(columns, names)]), order).select("pos", *names)
+    if n == 1:  # NumPy draws nothing
+        return own.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"), *[F.col(v).alias(c) for v, c in zip(names, columns)])
+    block += block % 2
+    starts = stream_starts(spark, n, reps, seed, block)
+    cuts, tasks = -(-n // held), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(len(starts), max(-(-2 * tasks // cuts), -(-reps * n // draws)))
+    of_part = [starts[len(starts) * i // parts : len(starts) * (i + 1) // parts] for i in range(parts)]
+    ends = [p[0][1] for p in of_part[1:]] + [reps * n]
+    spans = [(p[0][0], p[0][1], end) for p, end in zip(of_part, ends)]  # a part's first block, and its draws from and to
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = batch.column(0).to_numpy()
+            values = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
+            for cut in np.unique(pos // held):
+                at = pos // held == cut
+                yield pa.RecordBatch.from_pydict({"cut": [cut], "pos": [pos[at].astype("<i8").tobytes()], "x": [values[at].tobytes()]})
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        cut, part = (k.as_py() for k in key)
+        low, x = cut * held, np.empty((min(held, n - cut * held), len(names)))
+        for pos, values in zip(table.column("pos"), table.column("x")):
+            x[np.frombuffer(pos.as_py(), "<i8") - low] = np.frombuffer(values.as_py()).reshape(-1, len(names))
+        columns_ = [np.ascontiguousarray(c) for c in x.T]
+        first, at, end = spans[part]
+        stream = np.random.Generator(np.random.PCG64(seed).advance(first * block // 2))
+        reps_, sums = [], []
+        while at < end:
+            rep, upto, total = at // n, min(end, (at // n + 1) * n), np.zeros(len(names))
+            while at < upto:
+                drawn = stream.integers(0, n, min(DRAWS_AT_ONCE, upto - at), np.uint32)
+                at += len(drawn)
+                if cuts > 1:
+                    drawn -= np.uint32(low)  # those before the range wrap around
+                    drawn = drawn[drawn < len(x)]
+                total += [np.take(c, drawn).sum() for c in columns_]
+            reps_.append(rep)
+            sums.append(total)
+        return pa.table({"rep": pa.array(reps_, pa.int64()), **{v: c for v, c in zip(names, np.array(sums).T.copy())}})
+
+    pieces = own.mapInArrow(packed, "cut bigint, pos binary, x binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # as many partitions as groups: a group is a few bytes but millions of draws, so small partitions must not be merged
+    dealt = pieces.repartition(max(tasks, min(10_000, cuts * parts)), "cut", "part").groupBy("cut", "part")
+    made = dealt.applyInArrow(added, "rep bigint, " + ", ".join(f"{v} double" for v in names))
+    return made.groupBy("rep").agg(*[(F.sum(v) / n).alias(c) for v, c in zip(names, columns)])
 
 
 def ranges(cells: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
