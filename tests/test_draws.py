@@ -165,3 +165,32 @@ def test_blocks_are_narrow_around_a_quantile_only(spark, monkeypatch):
         order = np.argsort(v, kind="stable")
         w = draws.Weights(order.astype(np.int64)).of(0, 60).cumsum(axis=1, dtype=np.int64)
         assert got == {r: float(v[order][np.searchsorted(w[r], q * w[r, -1], "left")]) for r in range(60)}
+
+
+def test_areas_are_added_row_by_row_and_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    score, up = np.sort(np.r_[rng.random(200), np.full(60, 0.5), np.repeat(0.25, 5)]), rng.random(265) < 0.3
+    w = whole_weights(np.arange(265))
+    for rows, tile in ((4096, 1 << 16), (9, 90)):
+        monkeypatch.setattr(draws, "AREA_ROWS", rows)
+        monkeypatch.setattr(draws, "TILE", tile)
+        pos, neg, area = draws.area(score, up, draws.Weights(np.arange(265)), REPS)
+        assert (pos == (w * up).sum(1)).all() and (neg == (w * ~up).sum(1)).all()
+        assert area / (pos * neg) == pytest.approx(plain_auroc(w, score, up), abs=1e-12)
+
+
+def test_products_of_counts_and_of_other_numbers():
+    rng = np.random.default_rng(7)
+    x = np.c_[rng.random((500, 3)), rng.random((500, 4)) < 0.2, np.full(500, 1e6)]
+    got = draws._products(draws.Weights(np.arange(500)), x, REPS)
+    assert np.allclose(got, whole_weights(np.arange(500)) @ x, rtol=1e-13) and (got[:, 3:7] == np.rint(got[:, 3:7])).all()
+
+
+def test_a_row_s_weights_are_drawn_once_for_all_systems(spark):
+    _, df = frame(spark, 400)
+    tasks = draws.together(df).select("row_id", F.spark_partition_id().alias("t")).distinct()
+    assert tasks.count() == 400  # both systems' rows of a key lie in one task, beside each other
+    some = draws.calibration(df, ["system"], 3, reps=5, measures=("ece",))
+    assert some.columns == ["system", "rep", "ece"] and "tp" not in some._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.system, r.rep): r.ece for r in draws.calibration(df, ["system"], 3, reps=5).collect()}
+    assert {(r.system, r.rep): r.ece for r in some.collect()} == pytest.approx(whole, abs=1e-12)

@@ -34,7 +34,7 @@ def _calibration(spark, sf_dir):
     rows = test_rows(spark, sf_dir, tuple(("imgA", c, m) for c, m in _T5.values())).select(name.alias("row"), "row_id", "label", "pred", "probs")
     scaled = rows.where("row = 'R3'").withColumns({"row": F.lit("R5"), "probs": V.apply_temperature(F.col("probs"), t)})
     every = rows.union(scaled)
-    ci = resample.intervals(draws.calibration(every, ["row"], S.CLASSES), ["row"], ["ece"])
+    ci = resample.intervals(draws.calibration(every, ["row"], S.CLASSES, measures=("ece",)), ["row"], ["ece"])
     return t, metrics.calibration(every, ["row"]).join(ci, "row")
 
 
@@ -45,7 +45,7 @@ def _differences(spark, sf_dir):
     name = F.coalesce(*[F.when((F.col("a") == x) & (F.col("b") == y), F.lit(r)) for r, _, x, y in _COMPARISONS])
     of = lambda drawn: draws.deltas(drawn, "system", pairs, ["accuracy", "macro_f1"]).select(name.alias("row"), F.col("accuracy").alias("d_accuracy"), F.col("macro_f1").alias("d_macro_f1"))
     whole = metrics.accuracy(rows, ["system"]).join(metrics.macro_f1(metrics.confusion(rows, ["system"]), ["system"], S.CLASSES), "system").withColumn("rep", F.lit(0))
-    ci = resample.intervals(of(draws.calibration(rows, ["system"], S.CLASSES)), ["row"], ["d_accuracy", "d_macro_f1"])
+    ci = resample.intervals(of(draws.calibration(rows, ["system"], S.CLASSES, measures=("accuracy", "macro_f1"))), ["row"], ["d_accuracy", "d_macro_f1"])
     tests = paired.holm(_paired(spark, sf_dir), "family").select("row", "b", "c", "p", "p_holm")
     return of(whole).join(ci, "row").join(tests, "row")
 

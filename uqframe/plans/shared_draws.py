@@ -41,7 +41,7 @@ _PAIR_ROWS = ", cmp(row, x, y) AS (VALUES " + ", ".join(f"('{r}', '{x}', '{y}')"
 def paired_intervals(spark, sf_dir):
     """Intervals of both differences of every comparison; all comparisons share their resamples, so they may be set against each other."""
     spec = (*_COMPARISONS, _SUPPLEMENT)
-    drawn = draws.calibration(_named(spark, sf_dir, {**_NAMES, "F": ("imgA", "cb", "pgs")}), ["system"], S.CLASSES)
+    drawn = draws.calibration(_named(spark, sf_dir, {**_NAMES, "F": ("imgA", "cb", "pgs")}), ["system"], S.CLASSES, measures=("accuracy", "macro_f1"))
     d = draws.deltas(drawn, "system", [(x, y) for _, _, x, y in spec], ["accuracy", "macro_f1"])
     named = F.coalesce(*[F.when((F.col("a") == x) & (F.col("b") == y), F.lit(r)) for r, _, x, y in spec])
     d = d.select(named.alias("row"), F.col("accuracy").alias("d_accuracy"), F.col("macro_f1").alias("d_macro_f1"))
@@ -73,7 +73,7 @@ def paired_calibration_ci(spark, sf_dir):
     rows = _arms(spark, sf_dir)
     pairs = [(a, "served") for a in _ARMS]
     split = lambda df: df.select("a", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in _CAL])).alias("e")).select(F.col("a").alias("arm"), "e.*")
-    ci = resample.interval(split(draws.deltas(draws.calibration(rows, ["arm"], S.CLASSES), "arm", pairs, list(_CAL))), ["arm", "metric"], "v")
+    ci = resample.interval(split(draws.deltas(draws.calibration(rows, ["arm"], S.CLASSES, measures=_CAL), "arm", pairs, list(_CAL))), ["arm", "metric"], "v")
     point = split(draws.deltas(metrics.calibration(rows, ["arm"]).withColumn("rep", F.lit(0)), "arm", pairs, list(_CAL)))
     out = rounded(point.withColumnRenamed("v", "delta").join(ci, ["arm", "metric"]))
     return out.withColumn("direction", rules.direction(F.col("lo"), F.col("hi")))
